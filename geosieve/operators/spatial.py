@@ -29,13 +29,25 @@ from geosieve.sizing import BROADCAST_BYTES, BROADCAST_ROWS, salt_sides, sized_j
 BASE = 4
 LOWEST_LEVEL = -10
 SLACK = 1 + 1e-9
-FINE, COARSE = 8, 2  # cells per side of a full-size source
 TILE_BYTES = 96
 SMALL_SOURCE_ROWS = 100
 
 Radius = float | int | str | Column | None
 
 
+@dataclass(frozen=True)
+class Grid:
+    """How finely one level is cut, and how many levels below it are matched on it too."""
+
+    per_side: int
+    span: int
+
+
+# a broadcast source may be cut finer than one that has to be shuffled cell by cell
+BROADCAST_GRID = {"point": Grid(8, 3), "wide": Grid(4, 3)}
+SHUFFLE_GRID = {"point": Grid(4, 2), "wide": Grid(2, 2)}
+
+
 @dataclass(frozen=True)
 class JoinPlan:
     """What a spatial join needs to know about the sizes of its sides."""
@@ -46,6 +58,7 @@ class JoinPlan:
     strategy: str
     source_rows: int = 0
     tiles: int = 0
+    salted: bool = True  # a stream cannot be sampled for its hot cells
 
     @property
     def levels(self) -> tuple[int, ...]:
@@ -54,6 +67,17 @@ class JoinPlan:
         lowest = min(self.source_levels)
         return tuple(sorted(set(self.source_levels) | {lv for lv in self.target_levels if lv > lowest}))
 
+    def grouped(self, level: Column, side: str) -> Column:
+        """The level a row is matched on: the lowest one of its side that is not below its own."""
+        steps = self.source_levels if side == "source" else self.target_levels
+        if not steps:
+            return level
+        case = F.when(level <= steps[0], F.lit(steps[0]))
+        for step in steps[1:]:
+            case = case.when(level <= step, F.lit(step))
+        # a plan made before the data grew still places every row
+        return case.otherwise(level)
+
     def reach(self, level: int) -> float:
         """Longest side of the targets that are matched on ``level``."""
         sides = [float(BASE) ** lv for lv in self.target_levels if lv <= level]
@@ -63,6 +87,17 @@ class JoinPlan:
         return float(BASE) ** level / self.per_side
 
 
+def group_levels(levels, span: int) -> dict[int, int]:
+    """Each level with the level it is matched on: runs of ``span`` levels, from the top."""
+    groups: dict[int, int] = {}
+    top = None
+    for level in sorted(set(levels), reverse=True):
+        if top is None or level <= top - span:
+            top = level
+        groups[level] = top
+    return groups
+
+
 # --- sides -----------------------------------------------------------------------------------------
 
 
@@ -101,7 +136,7 @@ def _radius(radius: Radius) -> Column:
     return F.col(radius).cast("double") if isinstance(radius, str) else F.lit(float(radius))
 
 
-def _source_side(source: Layer, radius: Radius, keep_shape: bool) -> DataFrame:
+def _source_side(source: Layer, radius: Radius, keep_shape: bool, plan: JoinPlan | None = None) -> DataFrame:
     g = source.geometry
     x0, y0, x1, y1 = (c.cast("double") for c in g.bbox())
     columns = {f"_s_{k}": F.col(k) for k in source.pk}
@@ -116,10 +151,11 @@ def _source_side(source: Layer, radius: Radius, keep_shape: bool) -> DataFrame:
     df = df.where(F.col("_sr").isNotNull())
     pad = F.greatest(F.col("_sr"), F.lit(0.0)) * SLACK
     side = F.greatest(F.col("_sx1") - F.col("_sx0"), F.col("_sy1") - F.col("_sy0")) + 2 * pad
-    return df.withColumn("_spad", pad).withColumn("_slvl", level_of(side))
+    level = level_of(side)
+    return df.withColumn("_spad", pad).withColumn("_slvl", plan.grouped(level, "source") if plan else level)
 
 
-def _target_side(target: Layer, keep_shape: bool) -> DataFrame:
+def _target_side(target: Layer, keep_shape: bool, plan: JoinPlan | None = None) -> DataFrame:
     g = target.geometry
     x0, y0, x1, y1 = (c.cast("double") for c in g.bbox())
     columns = {"_tx0": x0, "_ty0": y0, "_tx1": x1, "_ty1": y1}
@@ -129,7 +165,8 @@ def _target_side(target: Layer, keep_shape: bool) -> DataFrame:
     if g.kind == "point":
         return df.withColumn("_tlvl", F.lit(LOWEST_LEVEL))
     side = F.greatest(F.col("_tx1") - F.col("_tx0"), F.col("_ty1") - F.col("_ty0"))
-    return df.withColumn("_tlvl", level_of(side))
+    level = level_of(side)
+    return df.withColumn("_tlvl", plan.grouped(level, "target") if plan else level)
 
 
 def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str = "auto") -> JoinPlan:
@@ -140,42 +177,46 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
     """
     side = _source_side(source, radius, False)
     wide = target.geometry.kind != "point"
-    shape = source.geometry.kind == "shape"
-    span = F.greatest(F.col("_sx1") - F.col("_sx0"), F.col("_sy1") - F.col("_sy0")) + 2 * F.col("_spad")
-    edges = F.size("_sedges") if shape else F.lit(0)
-
-    def cells(per_side):
-        per_axis = F.floor(span * per_side / F.pow(F.lit(float(BASE)), F.col("_slvl"))) + 2
-        return per_axis * per_axis
-
-    rows = side.groupBy("_slvl").agg(
-        F.count("*").alias("n"),
-        F.sum(cells(FINE)).alias("fine"),
-        F.sum(cells(COARSE)).alias("coarse"),
-        F.sum(cells(FINE) * edges).alias("fine_edges"),
-        F.sum(cells(COARSE) * edges).alias("coarse_edges"),
-    ).collect()
-    source_levels = tuple(sorted(r["_slvl"] for r in rows))
-    target_levels: tuple[int, ...] = ()
+    grid_kind = "wide" if wide else "point"
+    target_found: list[int] = []
     if wide:
-        found = _target_side(target, False).groupBy("_tlvl").count().collect()
-        target_levels = tuple(sorted(r["_tlvl"] for r in found))
-
-    def total(name):
-        return sum(r[name] for r in rows)
-
-    n = total("n")
-    if wide:
-        # a source lists at most (2 * COARSE + 2) ** 2 cells on each level it is matched on
-        tiles = n * (2 * COARSE + 2) ** 2 * (1 + len(target_levels))
-        size, per_side = tiles * TILE_BYTES + 32 * (total("coarse_edges") * 9 * (1 + len(target_levels))), COARSE
-    elif shape and total("fine") <= BROADCAST_ROWS:
-        tiles, size, per_side = total("fine"), total("fine") * TILE_BYTES + 32 * total("fine_edges"), FINE
-    else:
-        tiles, size, per_side = total("coarse"), total("coarse") * TILE_BYTES + 32 * total("coarse_edges"), COARSE
-    if strategy == "auto":
-        strategy = "broadcast" if tiles <= BROADCAST_ROWS and size <= BROADCAST_BYTES else "shuffle"
-    return JoinPlan(source_levels, target_levels, per_side, strategy, n, tiles)
+        target_found = [r[0] for r in _target_side(target, False).groupBy("_tlvl").count().collect()]
+    edges = F.size("_sedges") if source.geometry.kind == "shape" else F.lit(0)
+    pad = 2 * F.col("_spad")
+
+    def cells(grid: Grid, up: int) -> Column:
+        # cells a row lists when it is matched ``up`` levels above its own, targets' reach included
+        scale = F.lit(float(grid.per_side)) / F.pow(F.lit(float(BASE)), F.col("_slvl") + up)
+        more = grid.per_side + 2 if wide else 2
+        per_axis = [F.floor((F.col(hi) - F.col(lo) + pad) * scale) + more
+                    for lo, hi in (("_sx0", "_sx1"), ("_sy0", "_sy1"))]
+        return per_axis[0] * per_axis[1]
+
+    sums = [F.count("*").alias("n"), F.sum(edges).alias("edges")]
+    for name, grid in (("b", BROADCAST_GRID[grid_kind]), ("s", SHUFFLE_GRID[grid_kind])):
+        for up in range(grid.span):
+            sums += [F.sum(cells(grid, up)).alias(f"{name}{up}"),
+                     F.sum(cells(grid, up) * edges).alias(f"{name}{up}_edges")]
+    found = {r["_slvl"]: r for r in side.groupBy("_slvl").agg(*sums).collect()}
+
+    def layout(name: str, grid: Grid) -> tuple[JoinPlan, int]:
+        groups = group_levels([*found, *target_found], grid.span)
+        source_levels = tuple(sorted({groups[lv] for lv in found}))
+        target_levels = tuple(sorted({groups[lv] for lv in target_found}))
+        tiles = size = 0
+        for level, r in found.items():
+            up = groups[level] - level
+            higher = sum(lv > groups[level] for lv in target_levels) * (grid.per_side + 3) ** 2
+            tiles += r[f"{name}{up}"] + r["n"] * higher
+            size += 32 * (r[f"{name}{up}_edges"] + r["edges"] * higher)
+        n = sum(r["n"] for r in found.values())
+        plan = JoinPlan(source_levels, target_levels, grid.per_side, "broadcast" if name == "b" else "shuffle", n, tiles)
+        return plan, size + tiles * TILE_BYTES
+
+    plan, size = layout("b", BROADCAST_GRID[grid_kind])
+    if strategy == "broadcast" or (strategy == "auto" and plan.tiles <= BROADCAST_ROWS and size <= BROADCAST_BYTES):
+        return plan
+    return layout("s", SHUFFLE_GRID[grid_kind])[0]
 
 
 def _tiles(side: DataFrame, plan: JoinPlan, level: int, shape_cells: bool) -> DataFrame:
@@ -302,8 +343,10 @@ def _eroded(names, tk, sk, t, s, edges, kind, tcol) -> Column:
     return pr.any_of(table.get(n, pr.never()) for n in names)
 
 
-def _meeting(tcol) -> Column:
+def _candidate(t: Layer, s: Layer, radius: Radius, tcol) -> Column:
     """Boxes of the pair overlap, the source's grown by its radius."""
+    if _is_plain(radius) and "shape" not in (t.geometry.kind, s.geometry.kind):
+        return F.lit(True)  # the closed forms are no dearer than this test
     pad = F.col("_spad")
     return pr.bbox_overlap(
         tuple(tcol(c) for c in ("_tx0", "_ty0", "_tx1", "_ty1")),
@@ -358,14 +401,16 @@ def spatial_filter(target: Layer, source: Layer, predicates=("intersects",), rad
 
 
 def _matching(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan, found: bool) -> DataFrame:
-    """Targets with (or, for ``found=False``, without) a matching source: one EXISTS per level."""
+    """Targets with (or, for ``found=False``, without) a matching source."""
     keep_shape = "shape" in (t.geometry.kind, s.geometry.kind) and t.geometry.kind != "point"
     shape_cells = t.geometry.kind == "point" and s.geometry.kind == "shape"
-    source = _source_side(s, radius, keep_shape)
+    source = _source_side(s, radius, keep_shape, plan)
     if plan.strategy == "shuffle":
         # copies of a source decide nothing anew
         source = source.drop(*[c for c in source.columns if c.startswith("_s_")]).distinct()
-    targets = _target_side(t, keep_shape)
+    targets = _target_side(t, keep_shape, plan)
+    one_level = len(plan.levels) == 1
+    tcol = F.col if one_level else lambda name: F.col(name).outer()
     hits = []
     for i, level in enumerate(plan.levels):
         cell = plan.cell(level)
@@ -378,13 +423,16 @@ def _matching(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan, found:
             targets = salted.withColumnsRenamed({"_scx": x, "_scy": y, "_salt": salt})
         else:
             tiles = F.broadcast(tiles)
-        tcol = lambda name: F.col(name).outer()
-        match = (F.col("_scx") == tcol(x)) & (F.col("_scy") == tcol(y)) & _meeting(tcol)
-        if t.geometry.kind != "point":
-            match &= F.greatest(tcol("_tlvl"), F.col("_slvl")) == level
+        match = (F.col("_scx") == tcol(x)) & (F.col("_scy") == tcol(y))
         if plan.strategy == "shuffle":
             match &= F.col("_salt") == tcol(salt)
-        hits.append(tiles.where(match & _exact(names, t, s, radius, tcol)).exists())
+        if t.geometry.kind != "point" and not one_level:
+            match &= F.greatest(tcol("_tlvl"), F.col("_slvl")) == level
+        match &= _candidate(t, s, radius, tcol) & _exact(names, t, s, radius, tcol)
+        if one_level:
+            return targets.join(tiles, match, "left_semi" if found else "left_anti")
+        hits.append(tiles.where(match).exists())
+    # several levels: one EXISTS each, so that a target is still read once and never multiplied
     hit = reduce(lambda a, b: a | b, hits)
     return targets.where(hit if found else ~hit)
 
@@ -394,7 +442,7 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
     related = needs_relation(names, t, s, radius)
     keep_shape = "shape" in (t.geometry.kind, s.geometry.kind) and t.geometry.kind != "point"
     shape_cells = t.geometry.kind == "point" and s.geometry.kind == "shape"
-    source, targets = _source_side(s, radius, keep_shape), _target_side(t, keep_shape)
+    source, targets = _source_side(s, radius, keep_shape, plan), _target_side(t, keep_shape, plan)
     levels = plan.levels
     cells = [F.struct(F.lit(lv).alias("lv"), F.floor(F.col("_tx0") / plan.cell(lv)).alias("cx"),
                       F.floor(F.col("_ty0") / plan.cell(lv)).alias("cy")) for lv in levels]
@@ -408,13 +456,13 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
     tiles = reduce(DataFrame.unionByName,
                    [_tiles(source, plan, lv, shape_cells).withColumn("_lv", F.lit(lv)) for lv in levels])
     keys = ["_lv", "_scx", "_scy"]
-    if plan.strategy == "shuffle":
+    if plan.strategy == "broadcast":
+        tiles = F.broadcast(tiles)
+    elif plan.salted:
         targets, tiles = salt_sides(targets, tiles, keys, t.pk)
         keys = [*keys, "_salt"]
-    else:
-        tiles = F.broadcast(tiles)
-    joined = targets.join(tiles, keys, "inner").where(_meeting(F.col))
-    if t.geometry.kind != "point":
+    joined = targets.join(tiles, keys, "inner").where(_candidate(t, s, radius, F.col))
+    if t.geometry.kind != "point" and len(levels) > 1:
         joined = joined.where(F.greatest("_tlvl", "_slvl") == F.col("_lv"))
     if related:
         return joined.withColumn("_relation", relation(F.col("_tgeom"), F.col("_sgeom"))).where(
@@ -438,6 +486,20 @@ def spatial_pairs(target: Layer, source: Layer, predicates=("intersects",), radi
     return _pairs(t, s, names, radius, plan).select(*out)
 
 
+def spatial_join(target: Layer, source: Layer, predicates=("intersects",), radius: Radius = None,
+                 plan: JoinPlan | None = None, strategy: str = "auto") -> DataFrame:
+    """Inner join: the target's columns and the source's key as ``s_<key>``, one row per matching pair."""
+    names = pr.check_predicates(predicates)
+    t, s = _sides(target, source, None, "point_on_surface", False)
+    plan = plan or plan_join(t, s, radius, strategy)
+    out = [F.col(c) for c in target.df.columns] + [F.col(f"_s_{k}").alias(f"s_{k}") for k in source.pk]
+    if not names or not plan.source_levels:
+        types = source.df.select(*source.pk).dtypes
+        return target.df.where(F.lit(False)).withColumns(
+            {f"_s_{k}": F.lit(None).cast(t) for k, t in types}).select(*out)
+    return _pairs(t, s, names, radius, plan).select(*out)
+
+
 def _disjoint(t: Layer, s: Layer, radius: Radius, mode: str, plan: JoinPlan | None, strategy: str) -> DataFrame:
     plan = plan or plan_join(t, s, radius, strategy)
     present = t.df.where(t.geometry.present())

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 HOT_KEYS = 512  # a key outside the 512 hottest holds less than 1/512 of the rows
@@ -75,12 +75,20 @@ def sized_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
                floor: int = HOT_SAMPLE_ROWS) -> DataFrame:
     """Equi-join for ``inner``, ``left``, ``left_semi`` and ``left_anti``.
 
-    ``right`` is broadcast when its counted rows are few; otherwise both sides are shuffled, with the hot
-    keys of ``left`` salted. ``strategy`` ("broadcast" or "shuffle") skips the count.
+    ``auto`` leaves the choice to Catalyst and to adaptive execution, which broadcasts a side that turns out
+    small and splits skewed partitions of ``left``. In sessions without it, and for ``strategy="sized"``,
+    ``right`` is counted: few rows are broadcast, otherwise the hot keys of ``left`` are salted.
+    ``broadcast`` and ``shuffle`` take one of these ways without a count.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     if strategy == "auto":
+        conf = left.sparkSession.conf
+        adaptive = all(conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "skewJoin.enabled"))
+        if adaptive:
+            return left.join(right, list(keys), how)
+        strategy = "sized"
+    if strategy == "sized":
         strategy = "broadcast" if fits_broadcast(right, max_rows) else "shuffle"
     if strategy == "broadcast":
         return left.join(F.broadcast(right), list(keys), how)
