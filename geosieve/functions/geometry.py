@@ -40,6 +40,11 @@ def make_polygon(*rings: Column) -> Column:
     return make_shape("POLYGON", F.array(F.array(*rings)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 # --- structure -------------------------------------------------------------------------------------
 
 
@@ -178,33 +183,41 @@ def centroid(geom: Column) -> Column:
 
     A polygon without area falls back to its edges, edges without length to the vertices.
     """
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
-
-    def weigh(acc, w, x, y):
-        return F.struct((acc["w"] + w).alias("w"), (acc["sx"] + w * x).alias("sx"), (acc["sy"] + w * y).alias("sy"))
-
-    def ring_moments(r):
-        signed = _sum(_ring_edges(r), _cross) / 2
-        mx = _sum(_ring_edges(r), lambda e: (e["x1"] + e["x2"]) * _cross(e)) / 6
-        my = _sum(_ring_edges(r), lambda e: (e["y1"] + e["y2"]) * _cross(e)) / 6
-        turn = F.when(signed < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        return F.struct((turn * signed).alias("w"), (turn * mx).alias("mx"), (turn * my).alias("my"))
-
-    def add_ring(acc, m, sign):
-        return F.struct((acc["w"] + sign * m["w"]).alias("w"), (acc["sx"] + sign * m["mx"]).alias("sx"),
-                        (acc["sy"] + sign * m["my"]).alias("sy"))
-
-    signed_rings = F.flatten(F.transform(geom["parts"], lambda part: F.transform(
-        part, lambda r, i: F.struct(ring_moments(r).alias("m"),
-                                    F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign")))))
-    by_area = F.aggregate(signed_rings, zero, lambda acc, s: add_ring(acc, s["m"], s["sign"]))
-    by_edge = F.aggregate(edges(geom), zero, lambda acc, e: weigh(
-        acc, _edge_length(e), (e["x1"] + e["x2"]) / 2, (e["y1"] + e["y2"]) / 2))
-    by_vertex = F.aggregate(vertices(geom), zero, lambda acc, p: weigh(acc, F.lit(1.0), p["x"], p["y"]))
-
-    moments = F.when(geom["type"].endswith("POLYGON") & (area(geom) > 0), by_area).when(
-        ~geom["type"].endswith("POINT") & (_edge_sum(geom) > 0), by_edge).otherwise(by_vertex)
-    return F.when(F.size(vertices(geom)) > 0, _pt(moments["sx"] / moments["w"], moments["sy"] / moments["w"]))
+    names = ("a", "ax", "ay", "l", "lx", "ly")
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+
+    def plus(acc, values):
+        return F.struct(*[(acc[n] + v).alias(n) for n, v in zip(names, values)])
+
+    def moments(origin):
+        # positions count from the first vertex and divisions come last, so that round figures stay exact
+        def add_edge(acc, e):
+            x1, y1, x2, y2 = (e["x1"] - origin["x"], e["y1"] - origin["y"], e["x2"] - origin["x"],
+                              e["y2"] - origin["y"])
+            cross, length = x1 * y2 - x2 * y1, _edge_length(e)
+            return plus(acc, (cross, (x1 + x2) * cross, (y1 + y2) * cross, length, length * (x1 + x2),
+                              length * (y1 + y2)))
+
+        def ring_moments(r, i):
+            # shells count and holes are taken off, whatever way they turn
+            role = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+            return let(F.aggregate(_ring_edges(r), zero, add_edge), lambda m: F.struct(
+                *[m[n].alias(n) for n in names], F.when(m["a"] < 0, -role).otherwise(role).alias("turn")))
+
+        by_ring = F.flatten(F.transform(geom["parts"], lambda part: F.transform(part, ring_moments)))
+        total = F.aggregate(by_ring, zero, lambda acc, m: plus(acc, (
+            m["turn"] * m["a"], m["turn"] * m["ax"], m["turn"] * m["ay"], m["l"], m["lx"], m["ly"])))
+        return let(total, lambda m: position(m, origin))
+
+    def position(m, origin):
+        mean = let(vertices(geom), lambda v: _pt(_sum(v["x"], lambda x: x) / F.size(v),
+                                                 _sum(v["y"], lambda y: y) / F.size(v)))
+        by_area = _pt(origin["x"] + m["ax"] / (3 * m["a"]), origin["y"] + m["ay"] / (3 * m["a"]))
+        by_edge = _pt(origin["x"] + m["lx"] / (2 * m["l"]), origin["y"] + m["ly"] / (2 * m["l"]))
+        return F.when(geom["type"].endswith("POLYGON") & (m["a"] > 0), by_area).when(
+            ~geom["type"].endswith("POINT") & (m["l"] > 0), by_edge).otherwise(mean)
+
+    return F.when(F.size(vertices(geom)) > 0, let(vertices(geom)[0], moments))
 
 
 def point_on_surface(geom: Column) -> Column:
@@ -213,24 +226,35 @@ def point_on_surface(geom: Column) -> Column:
     Polygons: middle of the widest inner span of a scan line half way up, moved off every vertex.
     Lines: middle of the middle edge. Points: the first point.
     """
-    e, v = edges(geom), vertices(geom)
-    _, ymin, _, ymax = bbox(geom)
-    mid = (ymin + ymax) / 2
-    below = F.array_max(F.filter(v["y"], lambda y: y <= mid))
-    above = F.array_min(F.filter(v["y"], lambda y: y > mid))
-    scan = F.coalesce((below + above) / 2, mid)
-    hits = F.array_sort(F.transform(
-        F.filter(e, lambda s: ((s["y1"] <= scan) & (s["y2"] > scan)) | ((s["y2"] <= scan) & (s["y1"] > scan))),
-        lambda s: s["x1"] + (scan - s["y1"]) * (s["x2"] - s["x1"]) / (s["y2"] - s["y1"])))
-    starts = F.filter(hits, lambda _, i: i % 2 == 0)
-    stops = F.filter(hits, lambda _, i: i % 2 == 1)
-    spans = F.zip_with(starts, stops, lambda a, b: F.struct((b - a).alias("w"), ((a + b) / 2).alias("x")))
-    inside = _pt(F.array_max(spans)["x"], scan)
-    middle = F.get(e, F.floor(F.size(e) / 2).cast("int"))
-    on_line = _pt((middle["x1"] + middle["x2"]) / 2, (middle["y1"] + middle["y2"]) / 2)
-    first = F.get(v, F.lit(0))
-    return F.when(geom["type"].endswith("POLYGON") & (F.size(hits) >= 2), inside).when(
-        geom["type"].endswith("LINESTRING"), on_line).otherwise(first)
+
+    def across(s, scan):
+        return ((s["y1"] <= scan) & (s["y2"] > scan)) | ((s["y2"] <= scan) & (s["y1"] > scan))
+
+    def widest(hits, scan):
+        starts = F.filter(hits, lambda _, i: i % 2 == 0)
+        stops = F.filter(hits, lambda _, i: i % 2 == 1)
+        spans = F.zip_with(starts, stops, lambda a, b: F.struct((b - a).alias("w"), ((a + b) / 2).alias("x")))
+        return F.when(F.size(hits) >= 2, _pt(F.array_max(spans)["x"], scan))
+
+    def on_scan(e, scan):
+        hits = F.array_sort(F.transform(F.filter(e, lambda s: across(s, scan)), lambda s: s["x1"] + (
+            scan - s["y1"]) * (s["x2"] - s["x1"]) / (s["y2"] - s["y1"])))
+        return let(hits, lambda h: widest(h, scan))
+
+    def scan_height(ys):
+        def between(mid):
+            below = F.array_max(F.filter(ys, lambda y: y <= mid))
+            above = F.array_min(F.filter(ys, lambda y: y > mid))
+            return F.coalesce((below + above) / 2, mid)
+
+        return let((F.array_min(ys) + F.array_max(ys)) / 2, between)
+
+    inside = let(edges(geom), lambda e: let(let(vertices(geom)["y"], scan_height), lambda scan: on_scan(e, scan)))
+    middle = let(edges(geom), lambda e: F.get(e, F.floor(F.size(e) / 2).cast("int")))
+    on_line = let(middle, lambda m: _pt((m["x1"] + m["x2"]) / 2, (m["y1"] + m["y2"]) / 2))
+    first = F.get(vertices(geom), F.lit(0))
+    return F.coalesce(F.when(geom["type"].endswith("POLYGON"), inside).when(
+        geom["type"].endswith("LINESTRING"), on_line), first)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -242,8 +266,8 @@ def distance(a: Column, b: Column) -> Column:
             edges_b, lambda q: F.least(point_edge_gap_sq(p["x1"], p["y1"], q), point_edge_gap_sq(p["x2"], p["y2"], q))
         ))))
 
-    ea, eb = edges(a), edges(b)
-    gap = F.sqrt(F.least(ends_to(ea, eb), ends_to(eb, ea)))
+    sides = F.struct(edges(a).alias("a"), edges(b).alias("b"))
+    gap = let(sides, lambda s: F.sqrt(F.least(ends_to(s["a"], s["b"]), ends_to(s["b"], s["a"]))))
     return F.when(shapes_meet(a, b), F.lit(0.0)).otherwise(gap)
 
 
@@ -251,13 +275,17 @@ def shapes_meet(a: Column, b: Column) -> Column:
     """Two geometries share a point: edges meet, or one lies inside the other."""
     from geosieve.functions.predicates import odd_crossings
 
-    ea, eb = edges(a), edges(b)
-    edges_meet = F.exists(ea, lambda p: F.exists(eb, lambda q: segments_meet(p, q)))
-    # without an edge contact a part lies wholly inside or outside; one vertex per ring decides
-    firsts = lambda g: F.transform(rings(g), lambda r: r[0])
-    a_in_b = b["type"].endswith("POLYGON") & F.exists(firsts(a), lambda p: odd_crossings(p["x"], p["y"], eb))
-    b_in_a = a["type"].endswith("POLYGON") & F.exists(firsts(b), lambda p: odd_crossings(p["x"], p["y"], ea))
-    return edges_meet | a_in_b | b_in_a
+    def test(s):
+        ea, eb = s["a"], s["b"]
+        edges_meet = F.exists(ea, lambda p: F.exists(eb, lambda q: segments_meet(p, q)))
+        # without an edge contact a ring lies wholly inside or outside; one vertex of it decides
+        a_in_b = b["type"].endswith("POLYGON") & F.exists(
+            rings(a), lambda r: odd_crossings(r[0]["x"], r[0]["y"], eb))
+        b_in_a = a["type"].endswith("POLYGON") & F.exists(
+            rings(b), lambda r: odd_crossings(r[0]["x"], r[0]["y"], ea))
+        return edges_meet | a_in_b | b_in_a
+
+    return let(F.struct(edges(a).alias("a"), edges(b).alias("b")), test)
 
 
 def segments_meet(p: Column, q: Column) -> Column:

@@ -114,6 +114,14 @@ def finite(c: Column) -> Column:
     return F.coalesce(c - c == 0, F.lit(False))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row.
+
+    A plain projected expression is copied into every filter and column that uses it; a generator is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 @dataclass(frozen=True)
 class Layer:
     df: DataFrame

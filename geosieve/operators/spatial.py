@@ -23,7 +23,7 @@ from geosieve.functions import geometry as geo
 from geosieve.functions import predicates as pr
 from geosieve.functions.crs import METRIC, is_geographic, reproject
 from geosieve.functions.relate import relation, relation_holds
-from geosieve.layer import BoxColumns, Layer, PointColumns, ShapeColumn
+from geosieve.layer import Layer, PointColumns, finite, once
 from geosieve.sizing import BROADCAST_BYTES, BROADCAST_ROWS, salt_sides, sized_join
 
 BASE = 4
@@ -112,7 +112,7 @@ def as_points(layer: Layer, mode: str = "point_on_surface") -> Layer:
         return layer
     pick = {"point_on_surface": geo.point_on_surface, "centroid": geo.centroid}[mode]
     p = pick(layer.geometry.shape())
-    df = layer.df.withColumn("_p", p).withColumns({"_px": F.col("_p")["x"], "_py": F.col("_p")["y"]}).drop("_p")
+    df = once(layer.df, "_p", p).withColumns({"_px": F.col("_p")["x"], "_py": F.col("_p")["y"]}).drop("_p")
     return Layer(df, layer.pk, PointColumns("_px", "_py"), layer.crs, layer.name)
 
 
@@ -136,17 +136,28 @@ def _radius(radius: Radius) -> Column:
     return F.col(radius).cast("double") if isinstance(radius, str) else F.lit(float(radius))
 
 
+def _boxes(layer: Layer) -> tuple[DataFrame, Column, tuple[Column, ...]]:
+    """The rows, the test for a geometry, and the bounding box; shapes are taken apart once per row."""
+    g = layer.geometry
+    if g.kind != "shape":
+        return layer.df, g.present(), tuple(c.cast("double") for c in g.bbox())
+    x0, y0, x1, y1 = g.bbox()
+    info = F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
+                    geo.edges(g.shape()).alias("edges"), geo.line_ends(g.shape()).alias("ends"))
+    box = tuple(F.col("_info")[n] for n in ("x0", "y0", "x1", "y1"))
+    return once(layer.df, "_info", info), reduce(lambda a, b: a & b, map(finite, box)), box
+
+
 def _source_side(source: Layer, radius: Radius, keep_shape: bool, plan: JoinPlan | None = None) -> DataFrame:
-    g = source.geometry
-    x0, y0, x1, y1 = (c.cast("double") for c in g.bbox())
+    df, present, (x0, y0, x1, y1) = _boxes(source)
     columns = {f"_s_{k}": F.col(k) for k in source.pk}
     columns |= {"_sx0": x0, "_sy0": y0, "_sx1": x1, "_sy1": y1, "_sr": _radius(radius)}
-    if g.kind == "shape":
-        shape = g.shape()
-        columns |= {"_stype": shape["type"], "_sedges": geo.edges(shape), "_sends": geo.line_ends(shape)}
+    shape = source.geometry.shape()
+    if source.geometry.kind == "shape":
+        columns |= {"_stype": shape["type"], "_sedges": F.col("_info")["edges"], "_sends": F.col("_info")["ends"]}
     if keep_shape:
-        columns["_sgeom"] = g.shape()
-    df = source.df.where(g.present()).select(*[c.alias(n) for n, c in columns.items()])
+        columns["_sgeom"] = shape
+    df = df.where(present).select(*[c.alias(n) for n, c in columns.items()])
     # a NULL radius is a NULL buffer: no match
     df = df.where(F.col("_sr").isNotNull())
     pad = F.greatest(F.col("_sr"), F.lit(0.0)) * SLACK
@@ -156,13 +167,12 @@ def _source_side(source: Layer, radius: Radius, keep_shape: bool, plan: JoinPlan
 
 
 def _target_side(target: Layer, keep_shape: bool, plan: JoinPlan | None = None) -> DataFrame:
-    g = target.geometry
-    x0, y0, x1, y1 = (c.cast("double") for c in g.bbox())
+    df, present, (x0, y0, x1, y1) = _boxes(target)
     columns = {"_tx0": x0, "_ty0": y0, "_tx1": x1, "_ty1": y1}
     if keep_shape:
-        columns["_tgeom"] = g.shape()
-    df = target.df.where(g.present()).withColumns(columns)
-    if g.kind == "point":
+        columns["_tgeom"] = target.geometry.shape()
+    df = df.where(present).withColumns(columns)
+    if target.geometry.kind == "point":
         return df.withColumn("_tlvl", F.lit(LOWEST_LEVEL))
     side = F.greatest(F.col("_tx1") - F.col("_tx0"), F.col("_ty1") - F.col("_ty0"))
     level = level_of(side)
@@ -244,14 +254,16 @@ def _classify_cells(tiles: DataFrame, cell: float) -> DataFrame:
         (F.greatest(e["y1"], e["y2"]) + reach >= y0)
         & (F.least(e["y1"], e["y2"]) - reach <= y1)
         & (F.greatest(e["x1"], e["x2"]) + reach >= x0)))
-    crossed = F.exists("_sedges", lambda e: (
-        (F.least(e["x1"], e["x2"]) - reach <= x1)))
-    inner = pr.odd_crossings((x0 + x1) / 2, (y0 + y1) / 2, F.col("_sedges"))
-    tiles = tiles.withColumn("_sedges", relevant).withColumn("_crossed", crossed)
-    tiles = tiles.withColumn("_sfull", ~F.col("_crossed") & polygon & inner)
-    tiles = tiles.where(F.col("_crossed") | F.col("_sfull"))
-    none = F.filter("_sedges", lambda e: F.lit(False))
-    return tiles.withColumn("_sedges", F.when(F.col("_sfull"), none).otherwise(F.col("_sedges"))).drop("_crossed")
+    tiles = once(tiles, "_near", relevant)
+    state = F.struct(
+        F.exists("_near", lambda e: F.least(e["x1"], e["x2"]) - reach <= x1).alias("crossed"),
+        (polygon & pr.odd_crossings((x0 + x1) / 2, (y0 + y1) / 2, F.col("_near"))).alias("inner"))
+    tiles = once(tiles, "_state", state)
+    crossed, inner = F.col("_state")["crossed"], F.col("_state")["inner"]
+    tiles = tiles.where(crossed | inner).withColumn("_sfull", ~crossed & inner)
+    none = F.filter("_near", lambda e: F.lit(False))
+    edges = F.when(F.col("_sfull"), none).otherwise(F.col("_near"))
+    return tiles.withColumn("_sedges", edges).drop("_near", "_state")
 
 
 # --- exact test ------------------------------------------------------------------------------------
@@ -353,6 +365,17 @@ def _candidate(t: Layer, s: Layer, radius: Radius, tcol) -> Column:
         (F.col("_sx0") - pad, F.col("_sy0") - pad, F.col("_sx1") + pad, F.col("_sy1") + pad))
 
 
+def _boxes_allow(names) -> Column:
+    """What the bounding boxes of a pair must satisfy for one of the predicates to be possible."""
+    t = tuple(F.col(c) for c in ("_tx0", "_ty0", "_tx1", "_ty1"))
+    s = tuple(F.col(c) for c in ("_sx0", "_sy0", "_sx1", "_sy1"))
+    covers = (t[0] <= s[0]) & (t[1] <= s[1]) & (t[2] >= s[2]) & (t[3] >= s[3])
+    covered = (s[0] <= t[0]) & (s[1] <= t[1]) & (s[2] >= t[2]) & (s[3] >= t[3])
+    table = {"contains": covers, "covers": covers, "within": covered, "coveredby": covered,
+             "equals": covers & covered}
+    return pr.any_of(table.get(n, F.lit(True)) for n in names)
+
+
 # --- operators -------------------------------------------------------------------------------------
 
 
@@ -465,7 +488,10 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
     if t.geometry.kind != "point" and len(levels) > 1:
         joined = joined.where(F.greatest("_tlvl", "_slvl") == F.col("_lv"))
     if related:
-        return joined.withColumn("_relation", relation(F.col("_tgeom"), F.col("_sgeom"))).where(
+        # the kernel is the dear part, and candidates are uneven: spread them first
+        n = int(t.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        joined = joined.where(_boxes_allow(names)).repartition(n, *t.pk, *[f"_s_{k}" for k in s.pk])
+        return once(joined, "_relation", relation(F.col("_tgeom"), F.col("_sgeom"))).where(
             pr.any_of(relation_holds(n, F.col("_relation")) for n in names))
     return joined.where(_exact(names, t, s, radius, F.col))
 

@@ -1,8 +1,6 @@
 """All registered queries with their SQL, by name."""
 
-from geosieve.plans import spatial
+from geosieve.plans import aggregate, attribute, spatial  # noqa: F401
+from geosieve.plans.registering import QUERIES, SQL
 
-QUERIES, SQL = {}, {}
-for module in (spatial,):
-    QUERIES |= module.QUERIES
-    SQL |= module.SQL
+__all__ = ["QUERIES", "SQL"]

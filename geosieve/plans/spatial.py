@@ -1,51 +1,355 @@
-"""Registered queries: spatial joins and filters."""
+"""Registered queries: spatial joins, proximity, disjoint, chains, many targets, exact relations."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geosieve.functions import geometry as geo
+from geosieve.functions.relate import relation, relation_holds
+from geosieve.layer import Layer, ShapeColumn, once
+from geosieve.operators import chains as ch
+from geosieve.operators import geometry_jobs as gj
 from geosieve.operators import spatial as sp
+from geosieve.operators.windows import bucketed_neighbour
 from geosieve.plans import layers as ly
+from geosieve.plans.registering import register
 
-QUERIES, SQL = {}, {}
+col = F.col
 
+GAP = "(t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y)"
+IN_BOX = "t.x BETWEEN s.xmin AND s.xmax AND t.y BETWEEN s.ymin AND s.ymax"
+IN_OPEN_BOX = "t.x > s.xmin AND t.x < s.xmax AND t.y > s.ymin AND t.y < s.ymax"
 
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
 
-    return add
+# --- J1-J4 -----------------------------------------------------------------------------------------
 
 
 @register("j1_spatial_semi_join", f"""
 SELECT o_orderkey, o_totalprice, x, y FROM {ly.ORDER_POINTS} t
 WHERE EXISTS (SELECT 1 FROM {ly.ZONES} s WHERE s.n_regionkey IN (1, 2) AND {ly.in_zone('t.x', 't.y', 's')})""")
 def j1(spark, sf_dir):
-    zones = ly.zones(spark, sf_dir).where(F.col("n_regionkey").isin(1, 2))
+    zones = ly.zones(spark, sf_dir).where(col("n_regionkey").isin(1, 2))
     return sp.spatial_filter(ly.order_points(spark, sf_dir), zones).select("o_orderkey", "o_totalprice", "x", "y")
 
 
 @register("j1_lines_in_boxes", f"""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {ly.LINE_POINTS} t WHERE EXISTS (
-  SELECT 1 FROM {ly.PART_BOXES} s WHERE t.x BETWEEN s.xmin AND s.xmax AND t.y BETWEEN s.ymin AND s.ymax)""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {ly.LINE_POINTS} t
+WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s WHERE {IN_BOX})""")
 def j1_lines(spark, sf_dir):
     lines = ly.line_points(spark, sf_dir)
     return sp.spatial_filter(lines, ly.part_boxes(spark, sf_dir)).select(*lines.pk)
 
 
+@register("j1_points_in_part_shapes", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t
+WHERE EXISTS (SELECT 1 FROM {ly.PART_SHAPES} s WHERE {ly.in_zone('t.x', 't.y', 's')})""")
+def j1_shapes(spark, sf_dir):
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.part_shapes(spark, sf_dir)).select("o_orderkey")
+
+
+@register("j1_boxes_with_points", f"""
+SELECT p_partkey FROM {ly.PART_BOXES} s WHERE EXISTS (SELECT 1 FROM {ly.ORDER_POINTS} t WHERE {IN_OPEN_BOX})""")
+def j1_boxes(spark, sf_dir):
+    """Boxes that contain an order point: the target is the wide side."""
+    return sp.spatial_filter(ly.part_boxes(spark, sf_dir), ly.order_points(spark, sf_dir), "contains").select(
+        "p_partkey")
+
+
+@register("j1_within_or_touches", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.ZONES} s
+  WHERE {ly.in_zone('t.x', 't.y', 's')} AND NOT {ly.in_zone('t.x', 't.y', 's', closed=False)})""")
+def j1_touches(spark, sf_dir):
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.zones(spark, sf_dir), "ST_Touches").select("o_orderkey")
+
+
+@register("j1_no_predicate", "SELECT o_orderkey FROM orders WHERE 1 = 0")
+def j1_none(spark, sf_dir):
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.zones(spark, sf_dir), ()).select("o_orderkey")
+
+
+@register("j2_small_source", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {ly.LINE_POINTS} t WHERE EXISTS (
+  SELECT 1 FROM {ly.ZONES} s WHERE s.kind = 'holed' AND {ly.in_zone('t.x', 't.y', 's', closed=False)})""")
+def j2(spark, sf_dir):
+    lines, zones = ly.line_points(spark, sf_dir), ly.zones(spark, sf_dir).where("kind = 'holed'")
+    way = "broadcast" if sp.small_source(zones) else "auto"
+    return sp.spatial_filter(lines, zones, "within", strategy=way).select(*lines.pk)
+
+
+@register("j3_select_by_location", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {ly.LINE_POINTS} t
+WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s WHERE s.p_size > 40 AND {IN_BOX})""")
+def j3(spark, sf_dir):
+    lines, boxes = ly.line_points(spark, sf_dir), ly.part_boxes(spark, sf_dir).where("p_size > 40")
+    return sp.select_by_location(lines, boxes, ("within", "touches", "overlaps")).select(*lines.pk)
+
+
+@register("j4_pairs", f"""
+SELECT t.o_orderkey AS t_o_orderkey, s.n_nationkey AS s_n_nationkey FROM {ly.ORDER_POINTS} t
+JOIN {ly.ZONES} s ON {ly.in_zone('t.x', 't.y', 's')}""")
+def j4(spark, sf_dir):
+    return sp.spatial_pairs(ly.order_points(spark, sf_dir), ly.zones(spark, sf_dir))
+
+
+# --- J5-J8 -----------------------------------------------------------------------------------------
+
+
+@register("j5_proximity", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.SUPPLIER_POINTS} s WHERE {GAP} <= 100)""")
+def j5(spark, sf_dir):
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.supplier_points(spark, sf_dir), radius=10).select(
+        "o_orderkey")
+
+
+@register("j5_dwithin_boxes", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s WHERE s.p_size > 30 AND
+  greatest(s.xmin - t.x, t.x - s.xmax, 0) ** 2 + greatest(s.ymin - t.y, t.y - s.ymax, 0) ** 2 <= 9)""")
+def j5_boxes(spark, sf_dir):
+    boxes = ly.part_boxes(spark, sf_dir).where("p_size > 30")
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), boxes, "dwithin", radius=3).select("o_orderkey")
+
+
+def _edge_gap_sq() -> str:
+    """SQL: squared distance of a point t from the nearest edge of a zone s, over its corners."""
+    corners = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, {a[0]} AS px, {a[1]} AS py, {b[0]} AS qx, {b[1]} AS qy"
+        for kind, rings in ly.CORNERS.items() for ring in rings for a, b in zip(ring, ring[1:]))
+    # all edges are parallel to an axis, so the nearest point of an edge is a clamp
+    return (f"(SELECT min((t.x - least(greatest(t.x, s.x0 + least(px, qx) * s.unit), s.x0 + greatest(px, qx) * s.unit))"
+            f" ** 2 + (t.y - least(greatest(t.y, s.y0 + least(py, qy) * s.unit), s.y0 + greatest(py, qy) * s.unit))"
+            f" ** 2) FROM ({corners}) e WHERE e.kind = s.kind)")
+
+
+@register("j5_near_zones", f"""
+SELECT DISTINCT t.o_orderkey FROM {ly.ORDER_POINTS} t JOIN {ly.ZONES} s ON s.n_regionkey = 3
+WHERE {ly.in_zone('t.x', 't.y', 's')} OR {_edge_gap_sq()} <= 25""")
+def j5_zones(spark, sf_dir):
+    zones = ly.zones(spark, sf_dir).where("n_regionkey = 3")
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), zones, radius=5.0).select("o_orderkey")
+
+
 @register("j6_row_radius_pairs", f"""
 SELECT t.o_orderkey AS t_o_orderkey, s.s_suppkey AS s_s_suppkey FROM {ly.ORDER_POINTS} t
-JOIN {ly.SUPPLIER_POINTS} s ON (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) <= s.radius * s.radius""")
+JOIN {ly.SUPPLIER_POINTS} s ON {GAP} <= s.radius * s.radius""")
 def j6_pairs(spark, sf_dir):
     return sp.spatial_pairs(ly.order_points(spark, sf_dir), ly.supplier_points(spark, sf_dir), radius="radius")
 
 
-@register("g15_box_pairs", f"""
-SELECT t.p_partkey AS t_p_partkey, s.p_partkey AS s_p_partkey FROM {ly.PART_BOXES} t JOIN {ly.PART_BOXES} s
-ON t.xmin <= s.xmax AND t.xmax >= s.xmin AND t.ymin <= s.ymax AND t.ymax >= s.ymin""")
-def box_pairs(spark, sf_dir):
+@register("j6_radius_expression", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.SUPPLIER_POINTS} s
+  WHERE {GAP} <= (CASE WHEN s.s_acctbal > 5000 THEN 50 ELSE 1 END) ** 2)""")
+def j6_expression(spark, sf_dir):
+    radius = F.when(col("s_acctbal") > 5000, 50).otherwise(1)
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.supplier_points(spark, sf_dir), radius=radius).select(
+        "o_orderkey")
+
+
+@register("j7_erosion", f"""
+SELECT DISTINCT t.o_orderkey FROM {ly.ORDER_POINTS} t JOIN {ly.ZONES} s ON {ly.in_zone('t.x', 't.y', 's')}
+WHERE {_edge_gap_sq()} >= 225""")
+def j7(spark, sf_dir):
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.zones(spark, sf_dir), radius=-15).select("o_orderkey")
+
+
+@register("j7_erosion_boxes", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s
+  WHERE s.xmax - s.xmin > 6 AND s.ymax - s.ymin > 6 AND t.x BETWEEN s.xmin + 3 AND s.xmax - 3
+  AND t.y BETWEEN s.ymin + 3 AND s.ymax - 3)""")
+def j7_boxes(spark, sf_dir):
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.part_boxes(spark, sf_dir), radius=-3).select("o_orderkey")
+
+
+@register("j8_disjoint_all", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t
+WHERE NOT EXISTS (SELECT 1 FROM {ly.PART_BOXES} s WHERE {IN_BOX})""")
+def j8_all(spark, sf_dir):
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.part_boxes(spark, sf_dir), "disjoint", mode="all").select(
+        "o_orderkey")
+
+
+@register("j8_disjoint_any", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t
+WHERE EXISTS (SELECT 1 FROM {ly.ZONES} s WHERE s.n_nationkey IN (3, 8) AND {GAP.replace('s.x', '(s.x0 + 100)').replace('s.y', '(s.y0 + 100)')} > 40000)""")
+def j8_any(spark, sf_dir):
+    """Two overlapping discs around zone centres: only points in both are left out."""
+    zones = ly.zones(spark, sf_dir).where("n_nationkey IN (3, 8)")
+    centres = Layer(zones.df.withColumns({"cx": col("x0") + 100, "cy": col("y0") + 100}), zones.pk,
+                    ly.PointColumns("cx", "cy"), zones.crs)
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), centres, "disjoint", radius=200).select("o_orderkey")
+
+
+@register("j8_disjoint_or_touches", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE NOT EXISTS (
+  SELECT 1 FROM {ly.ZONES} s WHERE {ly.in_zone('t.x', 't.y', 's')})
+OR EXISTS (SELECT 1 FROM {ly.ZONES} s WHERE {ly.in_zone('t.x', 't.y', 's')}
+  AND NOT {ly.in_zone('t.x', 't.y', 's', closed=False)})""")
+def j8_touches(spark, sf_dir):
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.zones(spark, sf_dir), ("disjoint", "touches"),
+                             mode="all").select("o_orderkey")
+
+
+# --- J9-J12 ----------------------------------------------------------------------------------------
+
+
+@register("j9_many_targets", f"""
+SELECT 'orders' AS layer, count(*) AS n FROM {ly.ORDER_POINTS} t WHERE EXISTS (
+  SELECT 1 FROM {ly.ZONES} s WHERE s.n_regionkey = 2 AND {ly.in_zone('t.x', 't.y', 's')})
+UNION ALL SELECT 'lines', count(*) FROM {ly.LINE_POINTS} t WHERE EXISTS (
+  SELECT 1 FROM {ly.ZONES} s WHERE s.n_regionkey = 2 AND {ly.in_zone('t.x', 't.y', 's')})
+UNION ALL SELECT 'suppliers', count(*) FROM {ly.SUPPLIER_POINTS} t WHERE EXISTS (
+  SELECT 1 FROM {ly.ZONES} s WHERE s.n_regionkey = 2 AND {ly.in_zone('t.x', 't.y', 's')})""")
+def j9(spark, sf_dir):
+    targets = {"orders": ly.order_points(spark, sf_dir), "lines": ly.line_points(spark, sf_dir),
+               "suppliers": ly.supplier_points(spark, sf_dir)}
+    found = sp.filter_many(targets, ly.zones(spark, sf_dir).where("n_regionkey = 2"))
+    return reduce(DataFrame.union, [df.agg(F.lit(name).alias("layer"), F.count("*").alias("n"))
+                                    for name, df in found.items()])
+
+
+@register("j10_chain_target", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t
+WHERE EXISTS (SELECT 1 FROM {ly.ZONES} s WHERE s.n_regionkey IN (0, 1, 2) AND {ly.in_zone('t.x', 't.y', 's')})
+  AND EXISTS (SELECT 1 FROM {ly.SUPPLIER_POINTS} s WHERE {GAP} <= 400)""")
+def j10(spark, sf_dir):
+    steps = [ch.SpatialStep(ly.zones(spark, sf_dir).where("n_regionkey IN (0, 1, 2)")),
+             ch.SpatialStep(ly.supplier_points(spark, sf_dir), radius=20)]
+    return ch.chain(ly.order_points(spark, sf_dir), steps, "target").select("o_orderkey")
+
+
+@register("j11_chain_source", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.SUPPLIER_POINTS} s WHERE {GAP} <= 400
+  AND EXISTS (SELECT 1 FROM {ly.ZONES} z WHERE z.n_regionkey IN (0, 1, 2) AND {ly.in_zone('s.x', 's.y', 'z')}))""")
+def j11(spark, sf_dir):
+    steps = [ch.SpatialStep(ly.zones(spark, sf_dir).where("n_regionkey IN (0, 1, 2)")),
+             ch.SpatialStep(ly.supplier_points(spark, sf_dir), radius=20)]
+    return ch.chain(ly.order_points(spark, sf_dir), steps, "source").select("o_orderkey")
+
+
+@register("j12_chain_with_custom", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE o_orderstatus = 'F'
+  AND EXISTS (SELECT 1 FROM {ly.SUPPLIER_POINTS} s WHERE {GAP} <= s.radius * s.radius AND s.s_acctbal > 2000
+  AND EXISTS (SELECT 1 FROM {ly.ZONES} z WHERE z.n_regionkey < 4 AND {ly.in_zone('s.x', 's.y', 'z')}))""")
+def j12(spark, sf_dir):
+    steps = [ch.SpatialStep(ly.zones(spark, sf_dir).where("n_regionkey < 4")),
+             ch.SpatialStep(ly.supplier_points(spark, sf_dir), radius="radius")]
+    target = ly.order_points(spark, sf_dir).where("o_orderstatus = 'F'")
+    return ch.chain(target, steps, "source", custom="s_acctbal > 2000").select("o_orderkey")
+
+
+# --- G14, G15 --------------------------------------------------------------------------------------
+
+
+@register("g14_tiles", f"""
+SELECT p_partkey, cx, cy FROM {ly.PART_BOXES} t,
+  unnest(generate_series(CAST(floor(xmin / 25) AS BIGINT), CAST(floor(xmax / 25) AS BIGINT))) AS a(cx),
+  unnest(generate_series(CAST(floor(ymin / 25) AS BIGINT), CAST(floor(ymax / 25) AS BIGINT))) AS b(cy)""")
+def g14(spark, sf_dir):
+    return gj.tile(ly.part_boxes(spark, sf_dir), 25)
+
+
+MEET = "t.xmin <= s.xmax AND t.xmax >= s.xmin AND t.ymin <= s.ymax AND t.ymax >= s.ymin"
+INNER = "t.xmin < s.xmax AND t.xmax > s.xmin AND t.ymin < s.ymax AND t.ymax > s.ymin"
+COVERS = "t.xmin <= s.xmin AND t.xmax >= s.xmax AND t.ymin <= s.ymin AND t.ymax >= s.ymax"
+COVERED = "s.xmin <= t.xmin AND s.xmax >= t.xmax AND s.ymin <= t.ymin AND s.ymax >= t.ymax"
+BOX_SQL = {
+    "intersects": MEET, "contains": COVERS, "covers": COVERS, "within": COVERED, "coveredby": COVERED,
+    "equals": f"{COVERS} AND {COVERED}", "touches": f"{MEET} AND NOT ({INNER})",
+    "overlaps": f"{INNER} AND NOT ({COVERS}) AND NOT ({COVERED})", "crosses": "1 = 0",
+}
+
+for _predicate, _sql in BOX_SQL.items():
+    def _box_pairs(spark, sf_dir, predicate=_predicate):
+        boxes = ly.part_boxes(spark, sf_dir)
+        return sp.spatial_pairs(boxes, boxes, predicate)
+
+    register(f"g15_box_{_predicate}", f"""
+SELECT t.p_partkey AS t_p_partkey, s.p_partkey AS s_p_partkey FROM {ly.PART_BOXES} t
+JOIN {ly.PART_BOXES} s ON {_sql}""")(_box_pairs)
+
+
+@register("g15_shape_relations", f"""
+SELECT t.p_partkey AS t_key, s.p_partkey AS s_key, {', '.join(f'({q}) AS {p}' for p, q in BOX_SQL.items())}
+FROM {ly.PART_BOXES} t JOIN {ly.PART_BOXES} s ON {MEET}""")
+def g15_shapes(spark, sf_dir):
+    """All predicates of the general kernel on rectangles, where closed forms can check them."""
+    boxes = ly.part_boxes(spark, sf_dir)
+    shapes = boxes.as_shapes().df.select("p_partkey", "geom")
+    pairs = sp.spatial_pairs(boxes, boxes).select(col("t_p_partkey").alias("t_key"), col("s_p_partkey").alias("s_key"))
+    both = pairs.join(shapes.select(col("p_partkey").alias("t_key"), col("geom").alias("t_geom")), "t_key").join(
+        shapes.select(col("p_partkey").alias("s_key"), col("geom").alias("s_geom")), "s_key")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    related = once(both.repartition(n, "t_key", "s_key"), "m", relation(col("t_geom"), col("s_geom")))
+    return related.select("t_key", "s_key", *[relation_holds(p, col("m")).alias(p) for p in BOX_SQL])
+
+
+def event_lines(spark, sf_dir) -> Layer:
+    """A line from each event of a user to the next one."""
+    events = ly.event_points(ly.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")).df
+    day = F.floor(F.unix_timestamp("ts") / 86400)
+    following = bucketed_neighbour(events, ["user_id"], ["ts", "event_id"], day, {"x2": "x", "y2": "y"}, step=1)
+    lines = following.where(col("x2").isNotNull())
+    line = geo.make_line((col("x"), col("y")), (col("x2"), col("y2")))
+    return Layer(lines.withColumn("geom", line), ("event_id",), ShapeColumn(), ly.PLANE, "event_lines")
+
+
+EVENT_LINES = f"""(SELECT * FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {ly.EVENT_POINTS} p
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE x2 IS NOT NULL)"""
+
+# a segment meets an axis-parallel box when its boxes overlap and the corners are not all on one side of it
+SEGMENT_IN_BOX = """least(t.x, t.x2) <= s.xmax AND greatest(t.x, t.x2) >= s.xmin AND least(t.y, t.y2) <= s.ymax
+  AND greatest(t.y, t.y2) >= s.ymin AND
+  NOT (least({0}) > 0 OR greatest({0}) < 0)""".format(", ".join(
+    f"(t.x2 - t.x) * (s.{y} - t.y) - (t.y2 - t.y) * (s.{x} - t.x)" for x in ("xmin", "xmax") for y in ("ymin", "ymax")))
+
+
+@register("g15_lines_meet_boxes", f"""
+SELECT DISTINCT t.event_id FROM {EVENT_LINES} t JOIN {ly.PART_BOXES} s ON s.p_size > 47 AND {SEGMENT_IN_BOX}""")
+def g15_lines(spark, sf_dir):
+    boxes = ly.part_boxes(spark, sf_dir).where("p_size > 47")
+    return sp.spatial_filter(event_lines(spark, sf_dir), boxes).select("event_id")
+
+
+@register("g15_shapes_meet", None)
+def g15_meet(spark, sf_dir):
+    """L-shaped, holed and square parts against each other, with the general kernel."""
+    shapes = ly.part_shapes(spark, sf_dir)
+    return sp.spatial_pairs(shapes, shapes, ("overlaps", "contains"))
+
+
+@register("g9_distances", f"""
+SELECT t.p_partkey AS t_key, s.p_partkey AS s_key, round(sqrt(
+  greatest(s.xmin - t.xmax, t.xmin - s.xmax, 0) ** 2 + greatest(s.ymin - t.ymax, t.ymin - s.ymax, 0) ** 2), 6) AS distance
+FROM {ly.PART_BOXES} t JOIN {ly.PART_BOXES} s ON t.p_size > 25 AND s.p_size < 5 AND
+  greatest(s.xmin - t.xmax, t.xmin - s.xmax, 0) ** 2 + greatest(s.ymin - t.ymax, t.ymin - s.ymax, 0) ** 2 <= 25""")
+def g9(spark, sf_dir):
     boxes = ly.part_boxes(spark, sf_dir)
-    return sp.spatial_pairs(boxes, boxes)
+    large, small = boxes.where("p_size > 25"), boxes.where("p_size < 5")
+    pairs = sp.spatial_pairs(large, small, radius=5)
+    shapes = lambda layer, key, name: layer.as_shapes(name).df.select(col("p_partkey").alias(key), name)
+    both = pairs.select(col("t_p_partkey").alias("t_key"), col("s_p_partkey").alias("s_key")).join(
+        shapes(large, "t_key", "a"), "t_key").join(shapes(small, "s_key", "b"), "s_key")
+    return gj.distances(both, "a", "b").select("t_key", "s_key", F.round("distance", 6).alias("distance"))
+
+
+@register("g5_metric_radius", f"""
+WITH m AS (SELECT o_orderkey, o_orderstatus, lon * (6378137.0 * pi() / 180) AS x,
+  ln(tan(pi() / 4 + lat * pi() / 360)) * 6378137.0 AS y FROM {ly.LONLAT_POINTS} l)
+SELECT t.o_orderkey FROM m t WHERE EXISTS (SELECT 1 FROM m s WHERE s.o_orderstatus = 'P'
+  AND s.x BETWEEN t.x - 20000 AND t.x + 20000 AND {GAP} <= 20000.0 * 20000.0 AND s.o_orderkey <> t.o_orderkey)
+  OR t.o_orderstatus = 'P'""")
+def g5(spark, sf_dir):
+    """Order positions within 20 km (in Mercator metres) of a pending one, itself included."""
+    layer = ly.lonlat_points(spark, sf_dir)
+    return sp.spatial_filter(layer, layer.where("o_orderstatus = 'P'"), radius=20000, metric=True).select("o_orderkey")
+
+
+@register("g7_centroid_targets", f"""
+SELECT p_partkey FROM {ly.PART_BOXES} b WHERE EXISTS (SELECT 1 FROM {ly.ZONES} s WHERE s.n_regionkey = 1
+  AND {ly.in_zone('((b.xmin + b.xmax) / 2)', '((b.ymin + b.ymax) / 2)', 's')})""")
+def g7_targets(spark, sf_dir):
+    zones = ly.zones(spark, sf_dir).where("n_regionkey = 1")
+    return sp.spatial_filter(ly.part_boxes(spark, sf_dir), zones, use_centroids="target", point_mode="centroid").select(
+        "p_partkey")
