@@ -353,27 +353,14 @@ def to_wkt(geom: Column, decimals: int = WKT_DECIMALS_PROJECTED) -> Column:
 def from_wkt(text: Column) -> Column:
     """Geometry struct of a WKT text, NULL where the text is not readable; Z and M are dropped."""
     head = r"^\s*(MULTI)?(POINT|LINESTRING|POLYGON)\s*(ZM|Z|M)?\s*"
-    upper = F.upper(F.trim(text))
-    kind = F.concat(F.regexp_extract(upper, head, 1), F.regexp_extract(upper, head, 2))
-    body = F.regexp_replace(F.regexp_replace(upper, head, ""), r"\s*([(),])\s*", "$1")
-    body = F.when(kind == "MULTIPOINT", F.regexp_replace(F.regexp_replace(body, r"\(\(", "("), r"\)\)", ")"))\
-        .otherwise(body)
-    body = F.when(kind == "MULTIPOINT", F.regexp_replace(body, r"\),\(", ",")).otherwise(body)
-
-    # the nesting of the brackets must be the one of the type
-    bare = F.regexp_replace(body, r"[^(),]+", "")
-    one = F.regexp_replace(F.regexp_replace(bare, r"\(,*\)", "r"), ",r", "")
-    two = F.regexp_replace(F.regexp_replace(one, r"\(r\)", "p"), ",p", "")
-    nested = F.when(kind.isin("POINT", "LINESTRING", "MULTIPOINT"), one == "r").when(
-        kind.isin("POLYGON", "MULTILINESTRING"), two == "p").when(kind == "MULTIPOLYGON", two == "(p)").otherwise(False)
+    parts_type = "array<array<array<struct<x: double, y: double>>>>"
 
     def strip(t):
         return F.regexp_replace(t, r"^\(+|\)+$", "")
 
     def read_vertex(v):
-        xy = F.split(F.trim(v), r"\s+")
-        return F.when(F.size(xy).between(2, 4),
-                      _pt(F.get(xy, F.lit(0)).try_cast("double"), F.get(xy, F.lit(1)).try_cast("double")))
+        return let(F.split(F.trim(v), r"\s+"), lambda xy: F.when(F.size(xy).between(2, 4), _pt(
+            F.get(xy, F.lit(0)).try_cast("double"), F.get(xy, F.lit(1)).try_cast("double"))))
 
     def read_ring(t):
         return F.transform(F.split(strip(t), ","), read_vertex)
@@ -381,18 +368,41 @@ def from_wkt(text: Column) -> Column:
     def read_rings(t):
         return F.transform(F.split(strip(t), r"\),\("), read_ring)
 
-    one_part = F.array(F.array(read_ring(body)))
-    many_points = F.transform(read_ring(body), lambda p: F.array(F.array(p)))
-    many_lines = F.transform(read_rings(body), lambda r: F.array(r))
-    many_polygons = F.transform(F.split(strip(body), r"\)\),\(\("), read_rings)
-    parts = F.when(kind.isin("POINT", "LINESTRING"), one_part).when(kind == "MULTIPOINT", many_points).when(
-        kind == "POLYGON", F.array(read_rings(body))).when(kind == "MULTILINESTRING", many_lines).otherwise(
-        many_polygons)
-    no_parts = F.array().cast("array<array<array<struct<x: double, y: double>>>>")
-    parts = F.when(body == "EMPTY", no_parts).when(nested, parts)
-    readable = F.forall(F.flatten(F.flatten(parts)), lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
-    lone = (kind != "POINT") | (F.size(F.flatten(F.flatten(parts))) <= 1)
-    return F.when((kind != "") & readable & lone, F.struct(kind.alias("type"), parts.alias("parts")).cast(SHAPE_DDL))
+    def nesting(kind, body):
+        # brackets alone: a ring becomes r, a list of rings p; what is left must suit the type
+        bare = F.regexp_replace(body, r"[^(),]+", "")
+        one = F.regexp_replace(F.regexp_replace(bare, r"\(,*\)", "r"), ",r", "")
+        two = F.regexp_replace(F.regexp_replace(one, r"\(r\)", "p"), ",p", "")
+        return F.when(kind.isin("POINT", "LINESTRING", "MULTIPOINT"), one == "r").when(
+            kind.isin("POLYGON", "MULTILINESTRING"), two == "p").otherwise(two == "(p)")
+
+    def read_body(t):
+        kind, body = t["kind"], t["body"]
+        parts = (
+            F.when(body == "EMPTY", F.array().cast(parts_type))
+            .when(~nesting(kind, body), F.lit(None).cast(parts_type))
+            .when(kind.isin("POINT", "LINESTRING"), F.array(F.array(read_ring(body))))
+            .when(kind == "MULTIPOINT", F.transform(read_ring(body), lambda p: F.array(F.array(p))))
+            .when(kind == "POLYGON", F.array(read_rings(body)))
+            .when(kind == "MULTILINESTRING", F.transform(read_rings(body), lambda r: F.array(r)))
+            .otherwise(F.transform(F.split(strip(body), r"\)\),\(\("), read_rings))
+        )
+        return let(parts, lambda p: check(kind, p))
+
+    def check(kind, parts):
+        flat = F.flatten(F.flatten(parts))
+        readable = F.forall(flat, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+        lone = (kind != "POINT") | (F.size(flat) <= 1)
+        return F.when((kind != "") & readable & lone, F.struct(kind.alias("type"), parts.alias("parts")).cast(SHAPE_DDL))
+
+    def take_apart(upper):
+        kind = F.concat(F.regexp_extract(upper, head, 1), F.regexp_extract(upper, head, 2))
+        body = F.regexp_replace(F.regexp_replace(upper, head, ""), r"\s*([(),])\s*", "$1")
+        # points of a multi-point may have brackets of their own
+        bare = F.regexp_replace(F.regexp_replace(body, r"\),\(", ","), r"^\(\((.*)\)\)$", "($1)")
+        return F.struct(kind.alias("kind"), F.when(kind == "MULTIPOINT", bare).otherwise(body).alias("body"))
+
+    return let(F.upper(F.trim(text)), lambda upper: let(take_apart(upper), read_body))
 
 
 # --- validity --------------------------------------------------------------------------------------

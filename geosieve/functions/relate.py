@@ -231,10 +231,14 @@ def _hull_udf(xs: pa.Array, ys: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.float64()))
 
 
-def convex_hull(geom: Column) -> Column:
-    """Convex hull of one geometry: polygon, or line or point where it has no area."""
+def hull_coordinates(geom: Column) -> Column:
+    """Corners of the convex hull of one geometry as a flat list x, y, x, y, ..."""
     v = geo.vertices(geom)
-    flat = _hull_udf(v["x"], v["y"])
+    return _hull_udf(v["x"], v["y"])
+
+
+def hull_shape(flat: Column) -> Column:
+    """The hull as a geometry: a polygon, or a line or point where it has no area."""
     n = (F.size(flat) / 2).cast("int")
     points = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
         F.get(flat, i * 2).alias("x"), F.get(flat, i * 2 + 1).alias("y")))
@@ -282,16 +286,24 @@ def _kept_udf(xs: pa.Array, ys: pa.Array, tolerance: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
 
-def simplified(geom: Column, tolerance: Column) -> Column:
-    """Rings and lines without the vertices nearer than ``tolerance``; a part that would collapse stays."""
-    flat = F.filter(F.flatten(geom["parts"]), lambda r: F.size(r) > 0)
-    kept = _kept_udf(F.transform(flat, lambda r: r["x"]), F.transform(flat, lambda r: r["y"]), tolerance)
+def kept_vertices(geom: Column, tolerance: Column) -> Column:
+    """Per ring or line: positions of the vertices that stay."""
+    flat = geo.rings(geom)
+    return _kept_udf(F.transform(flat, lambda r: r["x"]), F.transform(flat, lambda r: r["y"]), tolerance)
+
+
+def thinned(geom: Column, kept: Column) -> Column:
+    """The geometry with the kept vertices; a ring or line that would collapse stays as it is."""
     least = F.when(geom["type"].endswith("POLYGON"), F.lit(4)).otherwise(F.lit(2))
-    thin = F.zip_with(flat, kept, lambda r, k: F.when(
+    thin = F.zip_with(geo.rings(geom), kept, lambda r, k: F.when(
         F.size(k) >= least, F.transform(k, lambda i: F.get(r, i))).otherwise(r))
-    # parts keep their number of rings: cut the flat list up again
-    sizes = F.transform(geom["parts"], lambda p: F.size(F.filter(p, lambda r: F.size(r) > 0)))
-    starts = F.transform(sizes, lambda n, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b) + 1)
-    parts = F.zip_with(starts, sizes, lambda s, n: F.slice(thin, s, n))
-    fine = geom["type"].endswith("POINT") | tolerance.isNull()
-    return F.when(fine, geom).otherwise(F.struct(geom["type"].alias("type"), parts.alias("parts")).cast(SHAPE_DDL))
+
+    def regroup(rings):
+        # parts keep their number of rings: cut the flat list up again
+        sizes = F.transform(geom["parts"], lambda p: F.size(F.filter(p, lambda r: F.size(r) > 0)))
+        starts = lambda n, i: F.aggregate(F.slice(sizes, 1, i), F.lit(1), lambda a, b: a + b)
+        return F.zip_with(F.transform(sizes, starts), sizes, lambda at, n: F.slice(rings, at, n))
+
+    fine = geom["type"].endswith("POINT") | kept.isNull()
+    return F.when(fine, geom).otherwise(F.struct(
+        geom["type"].alias("type"), geo.let(thin, regroup).alias("parts")).cast(SHAPE_DDL))

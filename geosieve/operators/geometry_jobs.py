@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from geosieve.functions import geometry as geo
 from geosieve.functions.crs import METRES_PER_DEGREE, is_geographic
-from geosieve.functions.relate import convex_hull, simplified
-from geosieve.layer import SHAPE_DDL, Layer, ShapeColumn
+from geosieve.functions.relate import hull_coordinates, hull_shape, kept_vertices, thinned
+from geosieve.layer import SHAPE_DDL, Layer, ShapeColumn, once
 
 
 def ingest_wkt(df: DataFrame, wkt: str, geom: str = "geom") -> tuple[DataFrame, DataFrame]:
     """(rows with a geometry, rows whose text is not readable); a NULL text is a NULL geometry."""
-    read = df.withColumn(geom, geo.from_wkt(F.col(wkt)))
+    read = once(df, geom, geo.from_wkt(F.col(wkt)))
     bad = F.col(geom).isNull() & F.col(wkt).isNotNull()
     return read.where(~bad), read.where(bad).drop(geom)
 
@@ -39,11 +39,12 @@ def repair(layer: Layer) -> DataFrame:
 
     ``repair_kind`` says which: NULL, "hull", "box" or "none" (nothing to build one from).
     """
-    g = layer.as_shapes("_g").df.withColumn("_issue", geo.geometry_issue(F.col("_g")))
+    g = once(layer.as_shapes("_g").df, "_issue", geo.geometry_issue(F.col("_g")))
     good = F.filter(geo.vertices(F.col("_g")), lambda p: (p["x"] - p["x"] == 0) & (p["y"] - p["y"] == 0))
     cloud = F.when(F.col("_issue").isNotNull() & (F.size(good) > 0), F.struct(
         F.lit("MULTIPOINT").alias("type"), F.array(F.array(good)).alias("parts")).cast(SHAPE_DDL))
-    g = g.withColumn("_cloud", cloud).withColumn("_hull", convex_hull(F.col("_cloud")))
+    g = once(g, "_cloud", cloud)
+    g = once(g, "_flat", hull_coordinates(F.col("_cloud"))).withColumn("_hull", hull_shape(F.col("_flat")))
     is_area = F.col("_hull")["type"] == "POLYGON"
     kind = F.when(F.col("_issue").isNull(), F.lit(None)).when(is_area, "hull").when(
         F.col("_cloud").isNotNull(), "box").otherwise("none")
@@ -85,7 +86,8 @@ def buffer_points(layer: Layer, radius: Column | float | str, segments: int = 5)
 
 
 def hulls(layer: Layer) -> Layer:
-    df = layer.as_shapes("_g").df.withColumn("hull", convex_hull(F.col("_g"))).drop("_g")
+    flat = once(layer.as_shapes("_g").df, "_flat", hull_coordinates(F.col("_g")))
+    df = flat.withColumn("hull", hull_shape(F.col("_flat"))).drop("_g", "_flat")
     return replace(layer, df=df, geometry=ShapeColumn("hull"))
 
 
@@ -111,11 +113,12 @@ def simplify(layer: Layer, tolerance: Column | float) -> DataFrame:
     An empty or invalid outcome is replaced by the input.
     """
     tol = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
-    g = layer.as_shapes("_g").df.withColumn("_thin", simplified(F.col("_g"), tol.cast("double")))
-    kept = F.when(geo.is_valid(F.col("_thin")), F.col("_thin")).otherwise(F.col("_g"))
+    kept = once(layer.as_shapes("_g").df, "_kept", kept_vertices(F.col("_g"), tol.cast("double")))
+    g = once(kept, "_thin", thinned(F.col("_g"), F.col("_kept")))
+    result = F.when(geo.is_valid(F.col("_thin")), F.col("_thin")).otherwise(F.col("_g"))
     columns = [c for c in layer.df.columns if c not in layer.geometry.columns]
-    return g.select(*columns, kept.alias("geom"), geo.num_points(F.col("_g")).alias("vertices_before"),
-                    geo.num_points(kept).alias("vertices_after"))
+    return g.select(*columns, result.alias("geom"), geo.num_points(F.col("_g")).alias("vertices_before"),
+                    geo.num_points(result).alias("vertices_after"))
 
 
 def tile(layer: Layer, cell: float) -> DataFrame:

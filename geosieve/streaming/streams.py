@@ -36,7 +36,8 @@ def geofence(points: Layer, fences: Layer, time: str, delay: str = "10 minutes",
     if plan is None:
         plan = plan_join(points, fences, radius)
     plan = replace(plan, salted=False)
-    watched = points.with_df(points.df.withWatermark(time, delay))
+    timed = points.df.withColumn(time, F.col(time).cast("timestamp"))  # a watermark needs an instant
+    watched = points.with_df(timed.withWatermark(time, delay))
     hits = spatial_join(watched, fences, predicates, radius, plan)
     return hits.drop(*[f"s_{k}" for k in fences.pk]).dropDuplicatesWithinWatermark(list(points.pk))
 
