@@ -70,9 +70,18 @@ def edges(geom: Column) -> Column:
     return F.flatten(F.transform(rings(geom), _ring_edges))
 
 
-def line_ends(geom: Column) -> Column:
-    """First and last vertex of every line part."""
-    return F.flatten(F.transform(rings(geom), lambda r: F.array(r[0], F.element_at(r, -1))))
+def edges_sql(geom: str) -> str:
+    """``edges`` as expression text, for a geometry given as text."""
+    edge = "named_struct('x1', {0}.x, 'y1', {0}.y, 'x2', {1}.x, 'y2', {1}.y)"
+    return (f"flatten(transform(filter(flatten({geom}.parts), r -> size(r) > 0), r -> if(size(r) = 1, "
+            f"transform(r, p -> {edge.format('p', 'p')}), "
+            f"zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (p, q) -> {edge.format('p', 'q')}))))")
+
+
+def line_ends_sql(geom: str) -> str:
+    """First and last vertex of every line part, as expression text."""
+    return (f"flatten(transform(filter(flatten({geom}.parts), r -> size(r) > 0), "
+            f"r -> array(r[0], element_at(r, -1))))")
 
 
 def geometry_type(geom: Column) -> Column:
@@ -257,52 +266,49 @@ def point_on_surface(geom: Column) -> Column:
         geom["type"].endswith("LINESTRING"), on_line), first)
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Planar distance of two geometries, 0 when they meet."""
+def distance(a: str, b: str) -> Column:
+    """Planar distance of two geometry columns, 0 when they meet."""
+    return F.expr(distance_sql(a, b))
+
+
+def distance_sql(a: str, b: str) -> str:
     from geosieve.functions.predicates import point_edge_gap_sq
 
-    def ends_to(edges_a, edges_b):
-        return F.array_min(F.transform(edges_a, lambda p: F.array_min(F.transform(
-            edges_b, lambda q: F.least(point_edge_gap_sq(p["x1"], p["y1"], q), point_edge_gap_sq(p["x2"], p["y2"], q))
-        ))))
+    def ends_to(mine, theirs):
+        gap = [point_edge_gap_sq(f"p.x{i}", f"p.y{i}", "q") for i in (1, 2)]
+        return f"array_min(transform({mine}, p -> array_min(transform({theirs}, q -> least({gap[0]}, {gap[1]})))))"
+
+    pair = f"array(named_struct('a', {edges_sql(a)}, 'b', {edges_sql(b)}))"
+    gap = f"transform({pair}, s -> sqrt(least({ends_to('s.a', 's.b')}, {ends_to('s.b', 's.a')})))[0]"
+    return f"if({shapes_meet_sql(a, b)}, 0D, {gap})"
 
-    sides = F.struct(edges(a).alias("a"), edges(b).alias("b"))
-    gap = let(sides, lambda s: F.sqrt(F.least(ends_to(s["a"], s["b"]), ends_to(s["b"], s["a"]))))
-    return F.when(shapes_meet(a, b), F.lit(0.0)).otherwise(gap)
 
+def shapes_meet(a: str, b: str) -> Column:
+    """Two geometry columns share a point: edges meet, or one lies inside the other."""
+    return F.expr(shapes_meet_sql(a, b))
 
-def shapes_meet(a: Column, b: Column) -> Column:
-    """Two geometries share a point: edges meet, or one lies inside the other."""
+
+def shapes_meet_sql(a: str, b: str) -> str:
     from geosieve.functions.predicates import odd_crossings
 
-    def test(s):
-        ea, eb = s["a"], s["b"]
-        edges_meet = F.exists(ea, lambda p: F.exists(eb, lambda q: segments_meet(p, q)))
+    def ring_inside(inner, outer, outer_edges):
         # without an edge contact a ring lies wholly inside or outside; one vertex of it decides
-        a_in_b = b["type"].endswith("POLYGON") & F.exists(
-            rings(a), lambda r: odd_crossings(r[0]["x"], r[0]["y"], eb))
-        b_in_a = a["type"].endswith("POLYGON") & F.exists(
-            rings(b), lambda r: odd_crossings(r[0]["x"], r[0]["y"], ea))
-        return edges_meet | a_in_b | b_in_a
+        return (f"({outer}.type LIKE '%POLYGON' AND exists(filter(flatten({inner}.parts), r -> size(r) > 0), "
+                f"r -> {odd_crossings('r[0].x', 'r[0].y', outer_edges)}))")
 
-    return let(F.struct(edges(a).alias("a"), edges(b).alias("b")), test)
+    pair = f"array(named_struct('a', {edges_sql(a)}, 'b', {edges_sql(b)}))"
+    touch = f"exists(s.a, p -> exists(s.b, q -> {_segments_meet('p', 'q')}))"
+    return f"exists({pair}, s -> {touch} OR {ring_inside(a, b, 's.b')} OR {ring_inside(b, a, 's.a')})"
 
 
-def segments_meet(p: Column, q: Column) -> Column:
-    def turn(e, x, y):
-        return F.signum((e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]))
+def _segments_meet(p: str, q: str) -> str:
+    def side(e, x, y):
+        return f"signum(({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({e}.y2 - {e}.y1) * ({x} - {e}.x1))"
 
-    boxes = (
-        (F.least(p["x1"], p["x2"]) <= F.greatest(q["x1"], q["x2"]))
-        & (F.least(q["x1"], q["x2"]) <= F.greatest(p["x1"], p["x2"]))
-        & (F.least(p["y1"], p["y2"]) <= F.greatest(q["y1"], q["y2"]))
-        & (F.least(q["y1"], q["y2"]) <= F.greatest(p["y1"], p["y2"]))
-    )
-    return (
-        boxes
-        & (turn(p, q["x1"], q["y1"]) * turn(p, q["x2"], q["y2"]) <= 0)
-        & (turn(q, p["x1"], p["y1"]) * turn(q, p["x2"], p["y2"]) <= 0)
-    )
+    boxes = " AND ".join(
+        f"least({m}.{c}1, {m}.{c}2) <= greatest({o}.{c}1, {o}.{c}2)" for c in "xy" for m, o in ((p, q), (q, p)))
+    apart = [f"{side(m, f'{o}.x1', f'{o}.y1')} * {side(m, f'{o}.x2', f'{o}.y2')} <= 0" for m, o in ((p, q), (q, p))]
+    return f"({boxes} AND {apart[0]} AND {apart[1]})"
 
 
 # --- constructors ----------------------------------------------------------------------------------

@@ -1,17 +1,17 @@
-"""Exact spatial predicates as Column expressions.
+"""Exact spatial predicates as SQL expressions.
 
 ``P(target, source)`` everywhere: ``contains`` means the target contains the source. Closed forms cover
 point and box pairs and stay inside whole-stage codegen; a point against a line or polygon is
 classified over the edge array of the shape (interior, boundary, exterior) with JVM higher-order
 functions. Distances are compared squared, so that no root is taken.
+
+The functions take and return expression text for ``F.expr``: one text is parsed once in the JVM, while the
+same thing built Column by Column costs hundreds of calls from Python.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
 # Predicate names.
 PREDICATES = (
@@ -28,11 +28,9 @@ PREDICATES = (
     "dwithin",
 )
 
-Box = tuple[Column, Column, Column, Column]
-
-
-def never() -> Column:
-    return F.lit(False)
+MIRROR = {"within": "contains", "contains": "within", "covers": "coveredby", "coveredby": "covers"}
+NEVER = "false"
+Box = tuple[str, str, str, str]
 
 
 def check_predicates(names) -> tuple[str, ...]:
@@ -44,146 +42,124 @@ def check_predicates(names) -> tuple[str, ...]:
     return cleaned
 
 
-def any_of(conditions) -> Column:
-    conditions = list(conditions)
-    return reduce(lambda a, b: a | b, conditions) if conditions else never()
+def any_of(conditions: Iterable[str]) -> str:
+    found = [c for c in conditions if c != NEVER]
+    return "(" + " OR ".join(found) + ")" if found else NEVER
+
+
+def pick(names, table: dict[str, str]) -> str:
+    return any_of(table.get(n, NEVER) for n in names)
+
 
+def bbox_overlap(t: Box, s: Box) -> str:
+    return f"({t[0]} <= {s[2]} AND {t[2]} >= {s[0]} AND {t[1]} <= {s[3]} AND {t[3]} >= {s[1]})"
 
-def bbox_overlap(t: Box, s: Box) -> Column:
-    return (t[0] <= s[2]) & (t[2] >= s[0]) & (t[1] <= s[3]) & (t[3] >= s[1])
+
+def bbox_covers(a: Box, b: Box) -> str:
+    return f"({a[0]} <= {b[0]} AND {a[2]} >= {b[2]} AND {a[1]} <= {b[1]} AND {a[3]} >= {b[3]})"
 
 
 # --- distances ---------------------------------------------------------------------------------
 
 
-def box_gap_sq(t: Box, s: Box) -> Column:
+def _squares(dx: str, dy: str) -> str:
+    return f"({dx} * {dx} + {dy} * {dy})"
+
+
+def box_gap_sq(t: Box, s: Box) -> str:
     """Squared distance of two boxes (points are boxes without extent)."""
-    zero = F.lit(0.0)
-    dx = F.greatest(s[0] - t[2], t[0] - s[2], zero)
-    dy = F.greatest(s[1] - t[3], t[1] - s[3], zero)
-    return dx * dx + dy * dy
+    if t[0] == t[2] and s[0] == s[2]:
+        return _squares(f"({t[0]} - {s[0]})", f"({t[1]} - {s[1]})")
+    return _squares(f"greatest({s[0]} - {t[2]}, {t[0]} - {s[2]}, 0D)", f"greatest({s[1]} - {t[3]}, {t[1]} - {s[3]}, 0D)")
 
 
-def box_reach_sq(t: Box, s: Box) -> Column:
+def box_reach_sq(t: Box, s: Box) -> str:
     """Squared distance of the farthest corner of ``t`` from the point ``s``."""
-    dx = F.greatest(F.abs(t[0] - s[0]), F.abs(t[2] - s[0]))
-    dy = F.greatest(F.abs(t[1] - s[1]), F.abs(t[3] - s[1]))
-    return dx * dx + dy * dy
+    return _squares(f"greatest(abs({t[0]} - {s[0]}), abs({t[2]} - {s[0]}))",
+                    f"greatest(abs({t[1]} - {s[1]}), abs({t[3]} - {s[1]}))")
 
 
-def point_edge_gap_sq(x: Column, y: Column, e: Column) -> Column:
+def point_edge_gap_sq(x: str, y: str, e: str) -> str:
     """Squared distance of a point from one edge ``struct<x1, y1, x2, y2>``."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    length_sq = dx * dx + dy * dy
-    along = (x - e["x1"]) * dx + (y - e["y1"]) * dy
-    t = F.when(length_sq > 0, F.least(F.greatest(along / length_sq, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    px, py = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
-    return px * px + py * py
+    dx, dy = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)"
+    length_sq = _squares(dx, dy)
+    along = f"(({x} - {e}.x1) * {dx} + ({y} - {e}.y1) * {dy})"
+    t = f"if({length_sq} > 0, least(greatest({along} / {length_sq}, 0D), 1D), 0D)"
+    return _squares(f"({x} - {e}.x1 - {t} * {dx})", f"({y} - {e}.y1 - {t} * {dy})")
 
 
 # --- point against the edges of a shape ----------------------------------------------------------
 
 
-def on_edge(x: Column, y: Column, e: Column) -> Column:
-    turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    return (
-        (turn == 0)
-        & (x >= F.least(e["x1"], e["x2"]))
-        & (x <= F.greatest(e["x1"], e["x2"]))
-        & (y >= F.least(e["y1"], e["y2"]))
-        & (y <= F.greatest(e["y1"], e["y2"]))
-    )
+def _turn(x: str, y: str, e: str) -> str:
+    return f"(({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({e}.y2 - {e}.y1) * ({x} - {e}.x1))"
 
 
-def crosses_ray(x: Column, y: Column, e: Column) -> Column:
-    """The ray from the point towards +x crosses the edge (lower end included, upper end not)."""
-    turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    upward = (e["y1"] <= y) & (e["y2"] > y) & (turn > 0)
-    downward = (e["y2"] <= y) & (e["y1"] > y) & (turn < 0)
-    return upward | downward
+def on_any_edge(x: str, y: str, edges: str) -> str:
+    return (f"exists({edges}, e -> {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) AND "
+            f"{y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2) AND {_turn(x, y, 'e')} = 0)")
 
 
-def on_any_edge(x: Column, y: Column, edges: Column) -> Column:
-    return F.exists(edges, lambda e: on_edge(x, y, e))
+def odd_crossings(x: str, y: str, edges: str) -> str:
+    """The ray from the point towards +x crosses an odd number of edges (lower ends count, upper do not)."""
+    turn = _turn(x, y, "e")
+    return (f"(size(filter({edges}, e -> (e.y1 <= {y} AND e.y2 > {y} AND {turn} > 0) OR "
+            f"(e.y2 <= {y} AND e.y1 > {y} AND {turn} < 0))) % 2 = 1)")
 
 
-def odd_crossings(x: Column, y: Column, edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: crosses_ray(x, y, e))) % 2 == 1
-
-
-def line_end(x: Column, y: Column, ends: Column) -> Column:
+def line_end(x: str, y: str, ends: str) -> str:
     """The point is a boundary point of a (multi)line: an end of an odd number of its parts."""
-    return F.size(F.filter(ends, lambda p: (p["x"] == x) & (p["y"] == y))) % 2 == 1
-
+    return f"(size(filter({ends}, p -> p.x = {x} AND p.y = {y})) % 2 = 1)"
 
-def near_any_edge(x: Column, y: Column, edges: Column, reach_sq: Column, strict: bool = False) -> Column:
-    def test(e):
-        gap = point_edge_gap_sq(x, y, e)
-        return gap < reach_sq if strict else gap <= reach_sq
 
-    return F.exists(edges, test)
+def near_any_edge(x: str, y: str, edges: str, reach_sq: str, strict: bool = False) -> str:
+    return f"exists({edges}, e -> {point_edge_gap_sq(x, y, 'e')} {'<' if strict else '<='} {reach_sq})"
 
 
 # --- predicate tables ------------------------------------------------------------------------------
 
 
-def point_point(names, t: Box, s: Box) -> Column:
-    same = (t[0] == s[0]) & (t[1] == s[1])
+def point_point(names, t: Box, s: Box) -> str:
+    same = f"({t[0]} = {s[0]} AND {t[1]} = {s[1]})"
     table = {n: same for n in ("intersects", "contains", "within", "equals", "covers", "coveredby")}
-    table["disjoint"] = ~same
-    return any_of(table.get(n, never()) for n in names)
+    return pick(names, table | {"disjoint": f"(NOT {same})"})
 
 
-def point_box(names, t: Box, s: Box) -> Column:
-    inside = (t[0] > s[0]) & (t[0] < s[2]) & (t[1] > s[1]) & (t[1] < s[3])
-    covered = (t[0] >= s[0]) & (t[0] <= s[2]) & (t[1] >= s[1]) & (t[1] <= s[3])
-    table = {
-        "intersects": covered,
-        "within": inside,
-        "touches": covered & ~inside,
-        "coveredby": covered,
-        "disjoint": ~covered,
-    }
-    return any_of(table.get(n, never()) for n in names)
+def point_box(names, t: Box, s: Box) -> str:
+    inside = f"({t[0]} > {s[0]} AND {t[0]} < {s[2]} AND {t[1]} > {s[1]} AND {t[1]} < {s[3]})"
+    covered = f"({t[0]} >= {s[0]} AND {t[0]} <= {s[2]} AND {t[1]} >= {s[1]} AND {t[1]} <= {s[3]})"
+    return pick(names, {"intersects": covered, "coveredby": covered, "within": inside,
+                        "touches": f"({covered} AND NOT {inside})", "disjoint": f"(NOT {covered})"})
 
 
-def box_point(names, t: Box, s: Box) -> Column:
-    mirror = {"within": "contains", "contains": "within", "covers": "coveredby", "coveredby": "covers"}
-    return point_box([mirror.get(n, n) for n in names], s, t)
+def box_point(names, t: Box, s: Box) -> str:
+    return point_box([MIRROR.get(n, n) for n in names], s, t)
 
 
-def box_box(names, t: Box, s: Box) -> Column:
+def box_box(names, t: Box, s: Box) -> str:
     """Closed forms for two rectangles with a positive area."""
-    meet = bbox_overlap(t, s)
-    inner = (t[0] < s[2]) & (t[2] > s[0]) & (t[1] < s[3]) & (t[3] > s[1])
-    covers = (t[0] <= s[0]) & (t[2] >= s[2]) & (t[1] <= s[1]) & (t[3] >= s[3])
-    coveredby = (s[0] <= t[0]) & (s[2] >= t[2]) & (s[1] <= t[1]) & (s[3] >= t[3])
-    table = {
+    meet, covers, coveredby = bbox_overlap(t, s), bbox_covers(t, s), bbox_covers(s, t)
+    inner = f"({t[0]} < {s[2]} AND {t[2]} > {s[0]} AND {t[1]} < {s[3]} AND {t[3]} > {s[1]})"
+    return pick(names, {
         "intersects": meet,
         "contains": covers,
         "covers": covers,
         "within": coveredby,
         "coveredby": coveredby,
-        "equals": covers & coveredby,
-        "touches": meet & ~inner,
-        "overlaps": inner & ~covers & ~coveredby,
-        "disjoint": ~meet,
-    }
-    return any_of(table.get(n, never()) for n in names)
+        "equals": f"({covers} AND {coveredby})",
+        "touches": f"({meet} AND NOT {inner})",
+        "overlaps": f"({inner} AND NOT {covers} AND NOT {coveredby})",
+        "disjoint": f"(NOT {meet})",
+    })
 
 
-def point_shape(names, x: Column, y: Column, shape_type: Column, edges: Column, ends: Column,
-                full: Column | None = None) -> Column:
+def point_shape(names, x: str, y: str, kind: str, edges: str, ends: str, full: str = NEVER) -> str:
     """A point against a line, polygon or point shape; ``full`` marks a tile lying inside the shape."""
-    polygon, line = shape_type.endswith("POLYGON"), shape_type.endswith("LINESTRING")
-    full = F.lit(False) if full is None else full
-    touch = on_any_edge(x, y, edges)
-    covered = full | touch | (polygon & odd_crossings(x, y, edges))
-    inside = full | (
-        F.when(polygon, ~touch & odd_crossings(x, y, edges))
-        .when(line, touch & ~line_end(x, y, ends))
-        .otherwise(touch)
-    )
-    border = ~full & (F.when(polygon, touch).when(line, line_end(x, y, ends)).otherwise(F.lit(False)))
-    table = {"intersects": covered, "coveredby": covered, "within": inside, "touches": border, "disjoint": ~covered}
-    return any_of(table.get(n, never()) for n in names)
+    touch, odd, at_end = on_any_edge(x, y, edges), odd_crossings(x, y, edges), line_end(x, y, ends)
+    polygon, line = f"{kind} LIKE '%POLYGON'", f"{kind} LIKE '%LINESTRING'"
+    covered = f"({full} OR ({polygon} AND {odd}) OR {touch})"
+    inside = (f"({full} OR CASE WHEN {polygon} THEN {odd} AND NOT {touch} WHEN {line} THEN {touch} AND NOT {at_end} "
+              f"ELSE {touch} END)")
+    border = f"(NOT {full} AND CASE WHEN {polygon} THEN {touch} WHEN {line} THEN {at_end} ELSE false END)"
+    return pick(names, {"intersects": covered, "coveredby": covered, "within": inside, "touches": border,
+                        "disjoint": f"(NOT {covered})"})

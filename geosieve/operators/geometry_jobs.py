@@ -132,4 +132,4 @@ def tile(layer: Layer, cell: float) -> DataFrame:
 
 
 def distances(pairs: DataFrame, a: str, b: str, name: str = "distance") -> DataFrame:
-    return pairs.withColumn(name, geo.distance(F.col(a), F.col(b)))
+    return pairs.withColumn(name, geo.distance(a, b))

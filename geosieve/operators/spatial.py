@@ -23,7 +23,7 @@ from geosieve.functions import geometry as geo
 from geosieve.functions import predicates as pr
 from geosieve.functions.crs import METRIC, is_geographic, reproject
 from geosieve.functions.relate import relation, relation_holds
-from geosieve.layer import Layer, PointColumns, finite, once
+from geosieve.layer import Layer, PointColumns, once
 from geosieve.sizing import BROADCAST_BYTES, BROADCAST_ROWS, salt_sides, sized_join
 
 BASE = 4
@@ -67,16 +67,13 @@ class JoinPlan:
         lowest = min(self.source_levels)
         return tuple(sorted(set(self.source_levels) | {lv for lv in self.target_levels if lv > lowest}))
 
-    def grouped(self, level: Column, side: str) -> Column:
-        """The level a row is matched on: the lowest one of its side that is not below its own."""
+    def grouped(self, level: str, side: str) -> str:
+        """SQL for the level a row is matched on: the lowest one of its side that is not below its own."""
         steps = self.source_levels if side == "source" else self.target_levels
         if not steps:
             return level
-        case = F.when(level <= steps[0], F.lit(steps[0]))
-        for step in steps[1:]:
-            case = case.when(level <= step, F.lit(step))
         # a plan made before the data grew still places every row
-        return case.otherwise(level)
+        return "CASE " + " ".join(f"WHEN {level} <= {s} THEN {s}" for s in steps) + f" ELSE {level} END"
 
     def reach(self, level: int) -> float:
         """Longest side of the targets that are matched on ``level``."""
@@ -101,9 +98,9 @@ def group_levels(levels, span: int) -> dict[int, int]:
 # --- sides -----------------------------------------------------------------------------------------
 
 
-def level_of(side: Column) -> Column:
-    exact = F.ceil(F.log(side) / F.lit(1.3862943611198906))  # ln 4
-    return F.when(side <= 0, F.lit(LOWEST_LEVEL)).otherwise(F.greatest(exact, F.lit(LOWEST_LEVEL))).cast("int")
+def level_of(side: str) -> str:
+    log4 = f"greatest(ceil(ln({side}) / 1.3862943611198906D), {LOWEST_LEVEL})"
+    return f"cast(if({side} <= 0, {LOWEST_LEVEL}, {log4}) AS int)"
 
 
 def as_points(layer: Layer, mode: str = "point_on_surface") -> Layer:
@@ -141,42 +138,43 @@ def _boxes(layer: Layer) -> tuple[DataFrame, Column, tuple[Column, ...]]:
     g = layer.geometry
     if g.kind != "shape":
         return layer.df, g.present(), tuple(c.cast("double") for c in g.bbox())
-    x0, y0, x1, y1 = g.bbox()
-    info = F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
-                    geo.edges(g.shape()).alias("edges"), geo.line_ends(g.shape()).alias("ends"))
-    box = tuple(F.col("_info")[n] for n in ("x0", "y0", "x1", "y1"))
-    return once(layer.df, "_info", info), reduce(lambda a, b: a & b, map(finite, box)), box
+    name = f"`{g.name}`"
+    v = f"flatten(flatten({name}.parts))"
+    info = F.expr(
+        f"named_struct('x0', array_min({v}.x), 'y0', array_min({v}.y), 'x1', array_max({v}.x), 'y1', array_max({v}.y), "
+        f"'edges', {geo.edges_sql(name)}, 'ends', {geo.line_ends_sql(name)})")
+    box = tuple(F.col(f"_info.{n}") for n in ("x0", "y0", "x1", "y1"))
+    present = F.expr(" AND ".join(f"coalesce(_info.{n} - _info.{n} = 0, false)" for n in ("x0", "y0", "x1", "y1")))
+    return once(layer.df, "_info", info), present, box
 
 
 def _source_side(source: Layer, radius: Radius, keep_shape: bool, plan: JoinPlan | None = None) -> DataFrame:
-    df, present, (x0, y0, x1, y1) = _boxes(source)
-    columns = {f"_s_{k}": F.col(k) for k in source.pk}
-    columns |= {"_sx0": x0, "_sy0": y0, "_sx1": x1, "_sy1": y1, "_sr": _radius(radius)}
-    shape = source.geometry.shape()
+    df, present, box = _boxes(source)
+    columns = [F.col(k).alias(f"_s_{k}") for k in source.pk]
+    columns += [c.alias(n) for n, c in zip(("_sx0", "_sy0", "_sx1", "_sy1"), box)]
+    columns.append(_radius(radius).alias("_sr"))
     if source.geometry.kind == "shape":
-        columns |= {"_stype": shape["type"], "_sedges": F.col("_info")["edges"], "_sends": F.col("_info")["ends"]}
+        columns += [F.col(f"`{source.geometry.name}`.type").alias("_stype"), F.col("_info.edges").alias("_sedges"),
+                    F.col("_info.ends").alias("_sends")]
     if keep_shape:
-        columns["_sgeom"] = shape
-    df = df.where(present).select(*[c.alias(n) for n, c in columns.items()])
+        columns.append(source.geometry.shape().alias("_sgeom"))
     # a NULL radius is a NULL buffer: no match
-    df = df.where(F.col("_sr").isNotNull())
-    pad = F.greatest(F.col("_sr"), F.lit(0.0)) * SLACK
-    side = F.greatest(F.col("_sx1") - F.col("_sx0"), F.col("_sy1") - F.col("_sy0")) + 2 * pad
-    level = level_of(side)
-    return df.withColumn("_spad", pad).withColumn("_slvl", plan.grouped(level, "source") if plan else level)
+    df = df.where(present).select(*columns).where("_sr IS NOT NULL")
+    df = df.selectExpr("*", f"greatest(_sr, 0D) * {SLACK!r}D AS _spad")
+    level = level_of("(greatest(_sx1 - _sx0, _sy1 - _sy0) + 2 * _spad)")
+    return df.selectExpr("*", f"{plan.grouped(level, 'source') if plan else level} AS _slvl")
 
 
 def _target_side(target: Layer, keep_shape: bool, plan: JoinPlan | None = None) -> DataFrame:
-    df, present, (x0, y0, x1, y1) = _boxes(target)
-    columns = {"_tx0": x0, "_ty0": y0, "_tx1": x1, "_ty1": y1}
+    df, present, box = _boxes(target)
+    columns = dict(zip(("_tx0", "_ty0", "_tx1", "_ty1"), box))
     if keep_shape:
         columns["_tgeom"] = target.geometry.shape()
     df = df.where(present).withColumns(columns)
     if target.geometry.kind == "point":
         return df.withColumn("_tlvl", F.lit(LOWEST_LEVEL))
-    side = F.greatest(F.col("_tx1") - F.col("_tx0"), F.col("_ty1") - F.col("_ty0"))
-    level = level_of(side)
-    return df.withColumn("_tlvl", plan.grouped(level, "target") if plan else level)
+    level = level_of("greatest(_tx1 - _tx0, _ty1 - _ty0)")
+    return df.withColumn("_tlvl", F.expr(plan.grouped(level, "target") if plan else level))
 
 
 def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str = "auto") -> JoinPlan:
@@ -191,23 +189,22 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
     target_found: list[int] = []
     if wide:
         target_found = [r[0] for r in _target_side(target, False).groupBy("_tlvl").count().collect()]
-    edges = F.size("_sedges") if source.geometry.kind == "shape" else F.lit(0)
-    pad = 2 * F.col("_spad")
+    edges = "size(_sedges)" if source.geometry.kind == "shape" else "0"
 
-    def cells(grid: Grid, up: int) -> Column:
+    def cells(grid: Grid, up: int) -> str:
         # cells a row lists when it is matched ``up`` levels above its own, targets' reach included
-        scale = F.lit(float(grid.per_side)) / F.pow(F.lit(float(BASE)), F.col("_slvl") + up)
+        scale = f"{float(grid.per_side)!r}D / pow({float(BASE)!r}D, _slvl + {up})"
         more = grid.per_side + 2 if wide else 2
-        per_axis = [F.floor((F.col(hi) - F.col(lo) + pad) * scale) + more
-                    for lo, hi in (("_sx0", "_sx1"), ("_sy0", "_sy1"))]
-        return per_axis[0] * per_axis[1]
+        x, y = (f"(floor((_s{c}1 - _s{c}0 + 2 * _spad) * {scale}) + {more})" for c in "xy")
+        return f"({x} * {y})"
 
-    sums = [F.count("*").alias("n"), F.sum(edges).alias("edges")]
+    sums = [F.count("*").alias("n"), F.expr(f"sum({edges})").alias("edges")]
     for name, grid in (("b", BROADCAST_GRID[grid_kind]), ("s", SHUFFLE_GRID[grid_kind])):
         for up in range(grid.span):
-            sums += [F.sum(cells(grid, up)).alias(f"{name}{up}"),
-                     F.sum(cells(grid, up) * edges).alias(f"{name}{up}_edges")]
-    found = {r["_slvl"]: r for r in side.groupBy("_slvl").agg(*sums).collect()}
+            sums.append(F.expr(f"sum({cells(grid, up)})").alias(f"{name}{up}"))
+            if edges != "0":
+                sums.append(F.expr(f"sum({cells(grid, up)} * {edges})").alias(f"{name}{up}_edges"))
+    found = {r["_slvl"]: r.asDict() for r in side.groupBy("_slvl").agg(*sums).collect()}
 
     def layout(name: str, grid: Grid) -> tuple[JoinPlan, int]:
         groups = group_levels([*found, *target_found], grid.span)
@@ -218,7 +215,7 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
             up = groups[level] - level
             higher = sum(lv > groups[level] for lv in target_levels) * (grid.per_side + 3) ** 2
             tiles += r[f"{name}{up}"] + r["n"] * higher
-            size += 32 * (r[f"{name}{up}_edges"] + r["edges"] * higher)
+            size += 32 * (r.get(f"{name}{up}_edges", 0) + r["edges"] * higher)
         n = sum(r["n"] for r in found.values())
         plan = JoinPlan(source_levels, target_levels, grid.per_side, "broadcast" if name == "b" else "shuffle", n, tiles)
         return plan, size + tiles * TILE_BYTES
@@ -231,39 +228,34 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
 
 def _tiles(side: DataFrame, plan: JoinPlan, level: int, shape_cells: bool) -> DataFrame:
     """The cells of one level in which the corner of a matching target may lie."""
-    cell, reach = plan.cell(level), plan.reach(level)
-    own = F.col("_slvl") <= level if level in plan.target_levels else F.col("_slvl") == level
-    at = lambda v: F.floor(v / F.lit(cell))
-    columns = F.sequence(at(F.col("_sx0") - F.col("_spad") - reach), at(F.col("_sx1") + F.col("_spad")))
-    rows = F.sequence(at(F.col("_sy0") - F.col("_spad") - reach), at(F.col("_sy1") + F.col("_spad")))
-    cells = F.flatten(F.transform(columns, lambda cx: F.transform(
-        rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-    tiles = side.where(own).withColumn("_cell", F.explode(cells)).withColumns(
-        {"_scx": F.col("_cell")["cx"], "_scy": F.col("_cell")["cy"]}).drop("_cell")
-    return _classify_cells(tiles, cell) if shape_cells else tiles
+    cell, reach = f"{plan.cell(level)!r}D", f"{plan.reach(level)!r}D"
+    own = f"_slvl <= {level}" if level in plan.target_levels else f"_slvl = {level}"
+
+    def cells(c: str) -> str:
+        return f"sequence(floor((_s{c}0 - _spad - {reach}) / {cell}), floor((_s{c}1 + _spad) / {cell}))"
 
+    listed = (f"explode(flatten(transform({cells('x')}, cx -> transform({cells('y')}, "
+              f"cy -> named_struct('cx', cx, 'cy', cy)))))")
+    kept = [c for c in side.columns if c not in ("_scx", "_scy")]
+    tiles = side.where(own).selectExpr("*", f"{listed} AS _cell")
+    tiles = tiles.selectExpr(*[f"`{c}`" for c in kept], "_cell.cx AS _scx", "_cell.cy AS _scy")
+    return _classify_cells(tiles, cell) if shape_cells else tiles
 
-def _classify_cells(tiles: DataFrame, cell: float) -> DataFrame:
-    x0, y0 = F.col("_scx") * F.lit(cell), F.col("_scy") * F.lit(cell)
-    x1, y1 = x0 + F.lit(cell), y0 + F.lit(cell)
-    reach = F.abs(F.col("_sr")) * SLACK
-    polygon = F.col("_stype").endswith("POLYGON")
 
+def _classify_cells(tiles: DataFrame, cell: str) -> DataFrame:
+    """Keeps the cells a shape covers or crosses, with the edges that matter to each."""
+    x0, y0, reach = f"(_scx * {cell})", f"(_scy * {cell})", f"(abs(_sr) * {SLACK!r}D)"
     # edges a ray to the right of a point of the cell can cross, or that are within reach of the cell
-    relevant = F.filter("_sedges", lambda e: (
-        (F.greatest(e["y1"], e["y2"]) + reach >= y0)
-        & (F.least(e["y1"], e["y2"]) - reach <= y1)
-        & (F.greatest(e["x1"], e["x2"]) + reach >= x0)))
-    tiles = once(tiles, "_near", relevant)
-    state = F.struct(
-        F.exists("_near", lambda e: F.least(e["x1"], e["x2"]) - reach <= x1).alias("crossed"),
-        (polygon & pr.odd_crossings((x0 + x1) / 2, (y0 + y1) / 2, F.col("_near"))).alias("inner"))
-    tiles = once(tiles, "_state", state)
-    crossed, inner = F.col("_state")["crossed"], F.col("_state")["inner"]
-    tiles = tiles.where(crossed | inner).withColumn("_sfull", ~crossed & inner)
-    none = F.filter("_near", lambda e: F.lit(False))
-    edges = F.when(F.col("_sfull"), none).otherwise(F.col("_near"))
-    return tiles.withColumn("_sedges", edges).drop("_near", "_state")
+    relevant = (f"filter(_sedges, e -> greatest(e.y1, e.y2) + {reach} >= {y0} AND "
+                f"least(e.y1, e.y2) - {reach} <= {y0} + {cell} AND greatest(e.x1, e.x2) + {reach} >= {x0})")
+    middle = pr.odd_crossings(f"({x0} + {cell} / 2)", f"({y0} + {cell} / 2)", "_near")
+    state = (f"named_struct('crossed', exists(_near, e -> least(e.x1, e.x2) - {reach} <= {x0} + {cell}), "
+             f"'inner', _stype LIKE '%POLYGON' AND {middle})")
+    kept = [f"`{c}`" for c in tiles.columns if c != "_sedges"]
+    tiles = once(tiles, "_near", F.expr(relevant))
+    tiles = once(tiles, "_state", F.expr(state)).where("_state.crossed OR _state.inner")
+    return tiles.selectExpr(*kept, "NOT _state.crossed AS _sfull",
+                            "if(_state.crossed, _near, filter(_near, e -> false)) AS _sedges")
 
 
 # --- exact test ------------------------------------------------------------------------------------
@@ -280,100 +272,97 @@ def needs_relation(names, target: Layer, source: Layer, radius: Radius) -> bool:
         "intersects", "disjoint", "dwithin"} != set()
 
 
-def _exact(names, target: Layer, source: Layer, radius: Radius, tcol) -> Column:
-    """The predicate for a candidate pair; ``tcol`` reads a target column."""
+TARGET_BOX, SOURCE_BOX = ("_tx0", "_ty0", "_tx1", "_ty1"), ("_sx0", "_sy0", "_sx1", "_sy1")
+TARGET_POINT, SOURCE_POINT = ("_tx0", "_ty0") * 2, ("_sx0", "_sy0") * 2
+
+
+def _exact(names, target: Layer, source: Layer, radius: Radius) -> str:
+    """SQL of the predicate for a candidate pair."""
     names = ["intersects" if n == "dwithin" else n for n in names]
     tk, sk = target.geometry.kind, source.geometry.kind
-    t = tuple(tcol(c) for c in ("_tx0", "_ty0", "_tx1", "_ty1"))
-    s = tuple(F.col(c) for c in ("_sx0", "_sy0", "_sx1", "_sy1"))
-    edges, ends, kind = F.col("_sedges"), F.col("_sends"), F.col("_stype")
     if _is_plain(radius):
-        return _plain(names, tk, sk, t, s, edges, ends, kind, tcol)
+        return _plain(names, tk, sk)
     if isinstance(radius, (int, float)):
-        return (_buffered if radius > 0 else _eroded)(names, tk, sk, t, s, edges, kind, tcol)
-    r = F.col("_sr")
-    test = F.when(r > 0, _buffered(names, tk, sk, t, s, edges, kind, tcol))
-    if tk == "point" and sk != "point":
-        test = test.when(r < 0, _eroded(names, tk, sk, t, s, edges, kind, tcol))
-    return test.when(r == 0, _plain(names, tk, sk, t, s, edges, ends, kind, tcol)).otherwise(F.lit(False))
+        return (_buffered if radius > 0 else _eroded)(names, tk, sk)
+    eroded = _eroded(names, tk, sk) if tk == "point" and sk != "point" else pr.NEVER
+    return (f"CASE WHEN _sr > 0 THEN {_buffered(names, tk, sk)} WHEN _sr < 0 THEN {eroded} "
+            f"ELSE {_plain(names, tk, sk)} END")
 
 
-def _plain(names, tk, sk, t, s, edges, ends, kind, tcol) -> Column:
+def _sides_sql(tk: str, sk: str):
+    return (TARGET_POINT if tk == "point" else TARGET_BOX), (SOURCE_POINT if sk == "point" else SOURCE_BOX)
+
+
+def _plain(names, tk: str, sk: str) -> str:
+    t, s = _sides_sql(tk, sk)
     if (tk, sk) == ("point", "shape"):
-        return pr.point_shape(names, t[0], t[1], kind, edges, ends, F.col("_sfull"))
+        return pr.point_shape(names, *t[:2], "_stype", "_sedges", "_sends", "_sfull")
     if (tk, sk) == ("shape", "point"):
-        mirror = {"within": "contains", "contains": "within", "covers": "coveredby", "coveredby": "covers"}
-        shape = tcol("_tgeom")
-        return pr.point_shape([mirror.get(n, n) for n in names], s[0], s[1], shape["type"], geo.edges(shape),
-                              geo.line_ends(shape))
+        return pr.point_shape([pr.MIRROR.get(n, n) for n in names], *s[:2], "_tgeom.type", "_info.edges", "_info.ends")
     if "shape" in (tk, sk):
-        return geo.shapes_meet(tcol("_tgeom"), F.col("_sgeom"))
+        return geo.shapes_meet_sql("_tgeom", "_sgeom")
     table = {("point", "point"): pr.point_point, ("point", "box"): pr.point_box, ("box", "point"): pr.box_point,
              ("box", "box"): pr.box_box}
     return table[tk, sk](names, t, s)
 
 
-def _buffered(names, tk, sk, t, s, edges, kind, tcol) -> Column:
+def _buffered(names, tk: str, sk: str) -> str:
     """Target against the source grown by the radius, with exact distances."""
-    reach_sq = F.col("_sr") * F.col("_sr")
+    t, s = _sides_sql(tk, sk)
+    reach_sq = "_sr * _sr"
     if tk != "point":
         if set(names) <= {"within", "coveredby"} and (tk, sk) == ("box", "point"):
-            return pr.box_reach_sq(t, s) <= reach_sq
+            return f"({pr.box_reach_sq(t, s)} <= {reach_sq})"
         if set(names) - {"intersects"}:
             raise ValueError("a radius with lines, polygons or boxes as targets works with intersects only")
         if "shape" in (tk, sk):
-            return geo.distance(tcol("_tgeom"), F.col("_sgeom")) <= F.col("_sr")
-        return pr.box_gap_sq(t, s) <= reach_sq
+            return f"({geo.distance_sql('_tgeom', '_sgeom')} <= _sr)"
+        return f"({pr.box_gap_sq(t, s)} <= {reach_sq})"
     if sk == "shape":
-        inside = F.col("_sfull") | (kind.endswith("POLYGON") & pr.odd_crossings(t[0], t[1], edges))
-        near = inside | pr.near_any_edge(t[0], t[1], edges, reach_sq)
-        nearer = inside | pr.near_any_edge(t[0], t[1], edges, reach_sq, strict=True)
+        x, y = t[:2]
+        inside = f"(_sfull OR (_stype LIKE '%POLYGON' AND {pr.odd_crossings(x, y, '_sedges')}))"
+        near = f"({inside} OR {pr.near_any_edge(x, y, '_sedges', reach_sq)})"
+        nearer = f"({inside} OR {pr.near_any_edge(x, y, '_sedges', reach_sq, strict=True)})"
     else:
         gap = pr.box_gap_sq(t, s)
-        near, nearer = gap <= reach_sq, gap < reach_sq
-    table = {"intersects": near, "coveredby": near, "within": nearer, "touches": near & ~nearer, "disjoint": ~near}
-    return pr.any_of(table.get(n, pr.never()) for n in names)
+        near, nearer = f"({gap} <= {reach_sq})", f"({gap} < {reach_sq})"
+    return pr.pick(names, {"intersects": near, "coveredby": near, "within": nearer,
+                           "touches": f"({near} AND NOT {nearer})", "disjoint": f"(NOT {near})"})
 
 
-def _eroded(names, tk, sk, t, s, edges, kind, tcol) -> Column:
+def _eroded(names, tk: str, sk: str) -> str:
     """Point targets against the polygon shrunk by the radius; a polygon that vanishes matches nothing."""
     if tk != "point":
         raise ValueError("a negative radius works with point targets only")
-    r = F.abs(F.col("_sr"))
+    (x, y), r = TARGET_POINT[:2], "abs(_sr)"
     if sk == "box":
-        left = (s[2] - s[0] > 2 * r) & (s[3] - s[1] > 2 * r)
-        covered = left & (t[0] >= s[0] + r) & (t[0] <= s[2] - r) & (t[1] >= s[1] + r) & (t[1] <= s[3] - r)
-        inside = left & (t[0] > s[0] + r) & (t[0] < s[2] - r) & (t[1] > s[1] + r) & (t[1] < s[3] - r)
+        left = f"(_sx1 - _sx0 > 2 * {r} AND _sy1 - _sy0 > 2 * {r})"
+        shrunk = (f"(_sx0 + {r})", f"(_sy0 + {r})", f"(_sx1 - {r})", f"(_sy1 - {r})")
+        covered = f"({left} AND {pr.point_box(['intersects'], TARGET_POINT, shrunk)})"
+        inside = f"({left} AND {pr.point_box(['within'], TARGET_POINT, shrunk)})"
     elif sk == "shape":
-        within = F.col("_sfull") | (kind.endswith("POLYGON") & pr.odd_crossings(t[0], t[1], edges))
-        covered = within & ~pr.near_any_edge(t[0], t[1], edges, r * r, strict=True)
-        inside = within & ~pr.near_any_edge(t[0], t[1], edges, r * r)
+        within = f"(_sfull OR (_stype LIKE '%POLYGON' AND {pr.odd_crossings(x, y, '_sedges')}))"
+        covered = f"({within} AND NOT {pr.near_any_edge(x, y, '_sedges', 'pow(_sr, 2)', strict=True)})"
+        inside = f"({within} AND NOT {pr.near_any_edge(x, y, '_sedges', 'pow(_sr, 2)')})"
     else:
-        return pr.never()
-    table = {"intersects": covered, "coveredby": covered, "within": inside, "touches": covered & ~inside,
-             "disjoint": ~covered}
-    return pr.any_of(table.get(n, pr.never()) for n in names)
+        return pr.NEVER
+    return pr.pick(names, {"intersects": covered, "coveredby": covered, "within": inside,
+                           "touches": f"({covered} AND NOT {inside})", "disjoint": f"(NOT {covered})"})
 
 
-def _candidate(t: Layer, s: Layer, radius: Radius, tcol) -> Column:
+def _candidate(t: Layer, s: Layer, radius: Radius) -> str:
     """Boxes of the pair overlap, the source's grown by its radius."""
     if _is_plain(radius) and "shape" not in (t.geometry.kind, s.geometry.kind):
-        return F.lit(True)  # the closed forms are no dearer than this test
-    pad = F.col("_spad")
-    return pr.bbox_overlap(
-        tuple(tcol(c) for c in ("_tx0", "_ty0", "_tx1", "_ty1")),
-        (F.col("_sx0") - pad, F.col("_sy0") - pad, F.col("_sx1") + pad, F.col("_sy1") + pad))
+        return "true"  # the closed forms are no dearer than this test
+    return pr.bbox_overlap(TARGET_BOX, ("(_sx0 - _spad)", "(_sy0 - _spad)", "(_sx1 + _spad)", "(_sy1 + _spad)"))
 
 
-def _boxes_allow(names) -> Column:
+def _boxes_allow(names) -> str:
     """What the bounding boxes of a pair must satisfy for one of the predicates to be possible."""
-    t = tuple(F.col(c) for c in ("_tx0", "_ty0", "_tx1", "_ty1"))
-    s = tuple(F.col(c) for c in ("_sx0", "_sy0", "_sx1", "_sy1"))
-    covers = (t[0] <= s[0]) & (t[1] <= s[1]) & (t[2] >= s[2]) & (t[3] >= s[3])
-    covered = (s[0] <= t[0]) & (s[1] <= t[1]) & (s[2] >= t[2]) & (s[3] >= t[3])
+    covers, covered = pr.bbox_covers(TARGET_BOX, SOURCE_BOX), pr.bbox_covers(SOURCE_BOX, TARGET_BOX)
     table = {"contains": covers, "covers": covers, "within": covered, "coveredby": covered,
-             "equals": covers & covered}
-    return pr.any_of(table.get(n, F.lit(True)) for n in names)
+             "equals": f"({covers} AND {covered})"}
+    return pr.any_of(table.get(n, "true") for n in names)
 
 
 # --- operators -------------------------------------------------------------------------------------
@@ -433,31 +422,31 @@ def _matching(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan, found:
         source = source.drop(*[c for c in source.columns if c.startswith("_s_")]).distinct()
     targets = _target_side(t, keep_shape, plan)
     one_level = len(plan.levels) == 1
-    tcol = F.col if one_level else lambda name: F.col(name).outer()
-    hits = []
+    test = f"{_candidate(t, s, radius)} AND {_exact(names, t, s, radius)}"
+    frames, hits = {}, []
     for i, level in enumerate(plan.levels):
-        cell = plan.cell(level)
+        cell = f"{plan.cell(level)!r}D"
         x, y, salt = f"_tcx{i}", f"_tcy{i}", f"_tsalt{i}"
-        targets = targets.withColumns({x: F.floor(F.col("_tx0") / cell), y: F.floor(F.col("_ty0") / cell)})
+        targets = targets.withColumns({x: F.expr(f"floor(_tx0 / {cell})"), y: F.expr(f"floor(_ty0 / {cell})")})
         tiles = _tiles(source, plan, level, shape_cells)
+        match = f"_scx = {x} AND _scy = {y}"
         if plan.strategy == "shuffle":
             renamed = targets.withColumnsRenamed({x: "_scx", y: "_scy"})
             salted, tiles = salt_sides(renamed, tiles, ["_scx", "_scy"], t.pk)
             targets = salted.withColumnsRenamed({"_scx": x, "_scy": y, "_salt": salt})
+            match += f" AND _salt = {salt}"
         else:
             tiles = F.broadcast(tiles)
-        match = (F.col("_scx") == tcol(x)) & (F.col("_scy") == tcol(y))
-        if plan.strategy == "shuffle":
-            match &= F.col("_salt") == tcol(salt)
         if t.geometry.kind != "point" and not one_level:
-            match &= F.greatest(tcol("_tlvl"), F.col("_slvl")) == level
-        match &= _candidate(t, s, radius, tcol) & _exact(names, t, s, radius, tcol)
+            match += f" AND greatest(_tlvl, _slvl) = {level}"
         if one_level:
-            return targets.join(tiles, match, "left_semi" if found else "left_anti")
-        hits.append(tiles.where(match).exists())
+            return targets.join(tiles, F.expr(f"{match} AND {test}"), "left_semi" if found else "left_anti")
+        frames[f"tiles{i}"] = tiles
+        hits.append(f"EXISTS (SELECT 1 FROM {{tiles{i}}} WHERE {match} AND {test})")
     # several levels: one EXISTS each, so that a target is still read once and never multiplied
-    hit = reduce(lambda a, b: a | b, hits)
-    return targets.where(hit if found else ~hit)
+    hit = " OR ".join(hits)
+    spark = t.df.sparkSession
+    return spark.sql(f"SELECT * FROM {{targets}} WHERE {'' if found else 'NOT '}({hit})", targets=targets, **frames)
 
 
 def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFrame:
@@ -467,15 +456,13 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
     shape_cells = t.geometry.kind == "point" and s.geometry.kind == "shape"
     source, targets = _source_side(s, radius, keep_shape, plan), _target_side(t, keep_shape, plan)
     levels = plan.levels
-    cells = [F.struct(F.lit(lv).alias("lv"), F.floor(F.col("_tx0") / plan.cell(lv)).alias("cx"),
-                      F.floor(F.col("_ty0") / plan.cell(lv)).alias("cy")) for lv in levels]
+    cells = [f"named_struct('lv', {lv}, 'cx', floor(_tx0 / {plan.cell(lv)!r}D), 'cy', floor(_ty0 / {plan.cell(lv)!r}D))"
+             for lv in levels]
     if len(levels) == 1:
-        targets = targets.withColumn("_c", cells[0])
+        targets = targets.selectExpr("*", f"{cells[0]} AS _c")
     else:
-        targets = targets.withColumn("_c", F.explode(F.filter(
-            F.array(*cells), lambda c: c["lv"] >= F.col("_tlvl"))))
-    targets = targets.withColumns({"_lv": F.col("_c")["lv"], "_scx": F.col("_c")["cx"], "_scy": F.col("_c")["cy"]})
-    targets = targets.drop("_c")
+        targets = targets.selectExpr("*", f"explode(filter(array({', '.join(cells)}), c -> c.lv >= _tlvl)) AS _c")
+    targets = targets.selectExpr("*", "_c.lv AS _lv", "_c.cx AS _scx", "_c.cy AS _scy").drop("_c")
     tiles = reduce(DataFrame.unionByName,
                    [_tiles(source, plan, lv, shape_cells).withColumn("_lv", F.lit(lv)) for lv in levels])
     keys = ["_lv", "_scx", "_scy"]
@@ -484,16 +471,16 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
     elif plan.salted:
         targets, tiles = salt_sides(targets, tiles, keys, t.pk)
         keys = [*keys, "_salt"]
-    joined = targets.join(tiles, keys, "inner").where(_candidate(t, s, radius, F.col))
+    joined = targets.join(tiles, keys, "inner").where(_candidate(t, s, radius))
     if t.geometry.kind != "point" and len(levels) > 1:
-        joined = joined.where(F.greatest("_tlvl", "_slvl") == F.col("_lv"))
+        joined = joined.where("greatest(_tlvl, _slvl) = _lv")
     if related:
         # the kernel is the dear part, and candidates are uneven: spread them first
         n = int(t.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         joined = joined.where(_boxes_allow(names)).repartition(n, *t.pk, *[f"_s_{k}" for k in s.pk])
         return once(joined, "_relation", relation(F.col("_tgeom"), F.col("_sgeom"))).where(
-            pr.any_of(relation_holds(n, F.col("_relation")) for n in names))
-    return joined.where(_exact(names, t, s, radius, F.col))
+            reduce(lambda a, b: a | b, [relation_holds(n, F.col("_relation")) for n in names]))
+    return joined.where(_exact(names, t, s, radius))
 
 
 def spatial_pairs(target: Layer, source: Layer, predicates=("intersects",), radius: Radius = None,

@@ -148,8 +148,9 @@ def g7(spark, sf_dir):
     layer = ly.part_shapes(spark, sf_dir)
     placed = as_points(layer).df
     placed = once(placed, "_e", geo.edges(col("geom")))
-    x, y, e = col("_px"), col("_py"), col("_e")
-    return placed.where("p_size > 0").select("p_partkey", (odd_crossings(x, y, e) & ~on_any_edge(x, y, e)).alias("inside"))
+    at = ("_px", "_py", "_e")
+    return placed.where("p_size > 0").selectExpr(
+        "p_partkey", f"{odd_crossings(*at)} AND NOT {on_any_edge(*at)} AS inside")
 
 
 @register("g8_accessors", f"""
