@@ -84,12 +84,17 @@ class JoinPlan:
         return float(BASE) ** level / self.per_side
 
 
-def group_levels(levels, span: int) -> dict[int, int]:
-    """Each level with the level it is matched on: runs of ``span`` levels, from the top."""
+def group_levels(levels: dict[int, int], span: int, absorb: float = 0.0) -> dict[int, int]:
+    """Each level with the level it is matched on: runs of ``span`` levels, from the top.
+
+    ``levels`` counts the rows of each. The level below a run joins it when it holds at most the share
+    ``absorb`` of all rows: a join less is worth a few more candidates.
+    """
     groups: dict[int, int] = {}
-    top = None
-    for level in sorted(set(levels), reverse=True):
-        if top is None or level <= top - span:
+    total, top = sum(levels.values()), None
+    for level in sorted(levels, reverse=True):
+        few = top is not None and level == top - span and levels[level] <= absorb * total
+        if top is None or (level <= top - span and not few):
             top = level
         groups[level] = top
     return groups
@@ -186,9 +191,9 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
     side = _source_side(source, radius, False)
     wide = target.geometry.kind != "point"
     grid_kind = "wide" if wide else "point"
-    target_found: list[int] = []
+    target_found: dict[int, int] = {}
     if wide:
-        target_found = [r[0] for r in _target_side(target, False).groupBy("_tlvl").count().collect()]
+        target_found = {r[0]: r[1] for r in _target_side(target, False).groupBy("_tlvl").count().collect()}
     edges = "size(_sedges)" if source.geometry.kind == "shape" else "0"
 
     def cells(grid: Grid, up: int) -> str:
@@ -200,14 +205,16 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
 
     sums = [F.count("*").alias("n"), F.expr(f"sum({edges})").alias("edges")]
     for name, grid in (("b", BROADCAST_GRID[grid_kind]), ("s", SHUFFLE_GRID[grid_kind])):
-        for up in range(grid.span):
+        for up in range(grid.span + (name == "b")):
             sums.append(F.expr(f"sum({cells(grid, up)})").alias(f"{name}{up}"))
             if edges != "0":
                 sums.append(F.expr(f"sum({cells(grid, up)} * {edges})").alias(f"{name}{up}_edges"))
     found = {r["_slvl"]: r.asDict() for r in side.groupBy("_slvl").agg(*sums).collect()}
 
     def layout(name: str, grid: Grid) -> tuple[JoinPlan, int]:
-        groups = group_levels([*found, *target_found], grid.span)
+        counts = {lv: target_found.get(lv, 0) + (found[lv]["n"] if lv in found else 0)
+                  for lv in {*found, *target_found}}
+        groups = group_levels(counts, grid.span, 1 / 16 if name == "b" else 0)
         source_levels = tuple(sorted({groups[lv] for lv in found}))
         target_levels = tuple(sorted({groups[lv] for lv in target_found}))
         tiles = size = 0
