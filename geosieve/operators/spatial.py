@@ -13,10 +13,10 @@ test, outer cells are dropped, and crossed cells keep only the edges that matter
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geosieve.functions import geometry as geo
@@ -24,7 +24,8 @@ from geosieve.functions import predicates as pr
 from geosieve.functions.crs import METRIC, is_geographic, reproject
 from geosieve.functions.relate import relation, relation_holds
 from geosieve.layer import Layer, PointColumns, once
-from geosieve.sizing import BROADCAST_BYTES, BROADCAST_ROWS, salt_sides, sized_join
+from geosieve.sizing import (BROADCAST_BYTES, BROADCAST_ROWS, HOT_SAMPLE_ROWS, SAMPLE_ONE_IN, hot_keys, salt_sides,
+                             sized_join)
 
 BASE = 4
 LOWEST_LEVEL = -10
@@ -58,7 +59,7 @@ class JoinPlan:
     strategy: str
     source_rows: int = 0
     tiles: int = 0
-    salted: bool = True  # a stream cannot be sampled for its hot cells
+    hot: tuple[tuple[int, int, int, int], ...] = ()  # (level, x, y, salts) of crowded cells, at most 512
 
     @property
     def levels(self) -> tuple[int, ...]:
@@ -75,6 +76,15 @@ class JoinPlan:
         # a plan made before the data grew still places every row
         return "CASE " + " ".join(f"WHEN {level} <= {s} THEN {s}" for s in steps) + f" ELSE {level} END"
 
+    def hot_cells(self, spark: SparkSession, level: int | None = None) -> DataFrame | None:
+        rows = [h for h in self.hot if level in (None, h[0])]
+        return spark.createDataFrame(rows, "_lv int, _scx long, _scy long, _salts int") if rows else None
+
+    def target_cells(self) -> list[str]:
+        """SQL structs: the cell of a target on each level."""
+        return [f"named_struct('lv', {lv}, 'cx', floor(_tx0 / {self.cell(lv)!r}D), 'cy', "
+                f"floor(_ty0 / {self.cell(lv)!r}D))" for lv in self.levels]
+
     def reach(self, level: int) -> float:
         """Longest side of the targets that are matched on ``level``."""
         sides = [float(BASE) ** lv for lv in self.target_levels if lv <= level]
@@ -182,11 +192,13 @@ def _target_side(target: Layer, keep_shape: bool, plan: JoinPlan | None = None)
     return df.withColumn("_tlvl", F.expr(plan.grouped(level, "target") if plan else level))
 
 
-def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str = "auto") -> JoinPlan:
+def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str = "auto",
+              one_in: int = SAMPLE_ONE_IN, floor: int = HOT_SAMPLE_ROWS) -> JoinPlan:
     """Measure both sides: one aggregate over the source, and one over targets that are not points.
 
     Each returns one row per level. The source is broadcast only when its number of tiles and their bytes
-    are known to be small.
+    are known to be small. Otherwise a sample of the targets tells which cells are crowded (see
+    ``hot_keys``); those are salted.
     """
     side = _source_side(source, radius, False)
     wide = target.geometry.kind != "point"
@@ -230,7 +242,14 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
     plan, size = layout("b", BROADCAST_GRID[grid_kind])
     if strategy == "broadcast" or (strategy == "auto" and plan.tiles <= BROADCAST_ROWS and size <= BROADCAST_BYTES):
         return plan
-    return layout("s", SHUFFLE_GRID[grid_kind])[0]
+    plan = layout("s", SHUFFLE_GRID[grid_kind])[0]
+    if target.df.isStreaming or not plan.levels:
+        return plan  # a stream cannot be sampled; adaptive execution is left to split its batches
+    cells = f"explode(filter(array({', '.join(plan.target_cells())}), c -> c.lv >= _tlvl)) AS _c"
+    keyed = _target_side(target, False, plan).selectExpr(*[f"`{k}`" for k in target.pk], cells)
+    keyed = keyed.selectExpr("*", "_c.lv AS _lv", "_c.cx AS _scx", "_c.cy AS _scy")
+    crowded = hot_keys(keyed, ["_lv", "_scx", "_scy"], target.pk, one_in, floor).collect()
+    return replace(plan, hot=tuple(tuple(r) for r in crowded))
 
 
 def _tiles(side: DataFrame, plan: JoinPlan, level: int, shape_cells: bool) -> DataFrame:
@@ -249,6 +268,11 @@ def _tiles(side: DataFrame, plan: JoinPlan, level: int, shape_cells: bool) -> Da
     return _classify_cells(tiles, cell) if shape_cells else tiles
 
 
+def _placed(tiles: DataFrame, plan: JoinPlan) -> DataFrame:
+    """Catalyst does not see how many cells a row lists, so the measured size decides for it."""
+    return F.broadcast(tiles) if plan.strategy == "broadcast" else tiles.hint("merge")
+
+
 def _classify_cells(tiles: DataFrame, cell: str) -> DataFrame:
     """Keeps the cells a shape covers or crosses, with the edges that matter to each."""
     x0, y0, reach = f"(_scx * {cell})", f"(_scy * {cell})", f"(abs(_sr) * {SLACK!r}D)"
@@ -437,13 +461,13 @@ def _matching(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan, found:
         targets = targets.withColumns({x: F.expr(f"floor(_tx0 / {cell})"), y: F.expr(f"floor(_ty0 / {cell})")})
         tiles = _tiles(source, plan, level, shape_cells)
         match = f"_scx = {x} AND _scy = {y}"
-        if plan.strategy == "shuffle":
+        hot = plan.hot_cells(t.df.sparkSession, level)
+        if hot is not None:
             renamed = targets.withColumnsRenamed({x: "_scx", y: "_scy"})
-            salted, tiles = salt_sides(renamed, tiles, ["_scx", "_scy"], t.pk)
+            salted, tiles = salt_sides(renamed, tiles, ["_scx", "_scy"], t.pk, hot.drop("_lv"))
             targets = salted.withColumnsRenamed({"_scx": x, "_scy": y, "_salt": salt})
             match += f" AND _salt = {salt}"
-        else:
-            tiles = F.broadcast(tiles)
+        tiles = _placed(tiles, plan)
         if t.geometry.kind != "point" and not one_level:
             match += f" AND greatest(_tlvl, _slvl) = {level}"
         if one_level:
@@ -463,8 +487,7 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
     shape_cells = t.geometry.kind == "point" and s.geometry.kind == "shape"
     source, targets = _source_side(s, radius, keep_shape, plan), _target_side(t, keep_shape, plan)
     levels = plan.levels
-    cells = [f"named_struct('lv', {lv}, 'cx', floor(_tx0 / {plan.cell(lv)!r}D), 'cy', floor(_ty0 / {plan.cell(lv)!r}D))"
-             for lv in levels]
+    cells = plan.target_cells()
     if len(levels) == 1:
         targets = targets.selectExpr("*", f"{cells[0]} AS _c")
     else:
@@ -473,12 +496,11 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
     tiles = reduce(DataFrame.unionByName,
                    [_tiles(source, plan, lv, shape_cells).withColumn("_lv", F.lit(lv)) for lv in levels])
     keys = ["_lv", "_scx", "_scy"]
-    if plan.strategy == "broadcast":
-        tiles = F.broadcast(tiles)
-    elif plan.salted:
-        targets, tiles = salt_sides(targets, tiles, keys, t.pk)
+    hot = plan.hot_cells(t.df.sparkSession)
+    if hot is not None:
+        targets, tiles = salt_sides(targets, tiles, keys, t.pk, hot)
         keys = [*keys, "_salt"]
-    joined = targets.join(tiles, keys, "inner").where(_candidate(t, s, radius))
+    joined = targets.join(_placed(tiles, plan), keys, "inner").where(_candidate(t, s, radius))
     if t.geometry.kind != "point" and len(levels) > 1:
         joined = joined.where("greatest(_tlvl, _slvl) = _lv")
     if related:
@@ -551,8 +573,19 @@ def select_by_location(target: Layer, source: Layer, predicates=("intersects",),
     return spatial_filter(target, source, predicates, **options)
 
 
-def filter_many(targets: dict[str, Layer], source: Layer, predicates=("intersects",), **options
+def filter_many(targets: dict[str, Layer], source: Layer, predicates=("intersects",), radius: Radius = None, **options
                 ) -> dict[str, DataFrame]:
-    """The same filter on many layers; the source is persisted once for all of them."""
+    """The same filter on many layers.
+
+    The source is persisted for all of them (``unpersist`` it through the session when done), and one plan
+    serves all point layers as long as it broadcasts: such a plan depends on the source alone.
+    """
     shared = source.with_df(source.df.persist())
-    return {name: spatial_filter(layer, shared, predicates, **options) for name, layer in targets.items()}
+    found, plan = {}, options.pop("plan", None)
+    for name, layer in targets.items():
+        alike = not options and layer.geometry.kind == "point" and layer.crs == source.crs
+        if alike and plan is None:
+            first = plan_join(layer, shared, radius)
+            plan = first if first.strategy == "broadcast" else None
+        found[name] = spatial_filter(layer, shared, predicates, radius, plan=plan if alike else None, **options)
+    return found

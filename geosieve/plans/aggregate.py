@@ -122,7 +122,7 @@ def a8b(spark, sf_dir):
 
 
 @register("a9_collect_geometries", """
-SELECT n AS s_nationkey, chunk, count(*) AS n_parts, min(x) AS first_x, 'MULTIPOINT' AS kind FROM (
+SELECT n AS s_nationkey, chunk, CAST(count(*) AS INTEGER) AS n_parts, CAST(min(x) AS DOUBLE) AS first_x, 'MULTIPOINT' AS kind FROM (
   SELECT s_nationkey AS n, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 AS chunk,
     first_value((s_suppkey * 613) % 1000) OVER (PARTITION BY s_nationkey, s_suppkey) AS x FROM supplier) GROUP BY 1, 2""")
 def a9(spark, sf_dir):

@@ -113,7 +113,7 @@ def s9(spark, sf_dir):
     return both.select("layer", "o_orderkey", "x", "y", "s_suppkey")
 
 
-@register("s10_export_estimate", "SELECT count(*) AS rows, sum(700 + 16) AS bytes FROM lineitem")
+@register("s10_export_estimate", "SELECT count(*) AS rows, CAST(sum(700 + 16) AS BIGINT) AS bytes FROM lineitem")
 def s10(spark, sf_dir):
     return wr.export_estimate(ly.line_points(spark, sf_dir))
 
@@ -180,17 +180,17 @@ def f6_similar(spark, sf_dir):
 
 
 @register("f7_null_tests", """
-SELECT o_orderkey, l_returned IS NULL AS is_missing FROM (
-  SELECT o_orderkey, max(l_orderkey) AS l_returned FROM orders
-  LEFT JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') r ON l_orderkey = o_orderkey GROUP BY 1)
-WHERE l_returned IS NULL OR l_returned IS NOT NULL AND l_returned < 500""")
+SELECT o_orderkey, l_returned IS NULL AS is_missing, l_returned IS NOT NULL AS is_known FROM (
+  SELECT o_orderkey, max(l_shipdate) AS l_returned FROM orders
+  LEFT JOIN (SELECT l_orderkey, l_shipdate FROM lineitem WHERE l_returnflag = 'R') r ON l_orderkey = o_orderkey GROUP BY 1)
+WHERE l_returned IS NULL OR l_returned < TIMESTAMP '1998-01-01'""")
 def f7(spark, sf_dir):
     returned = ly.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     df = jn.related_aggregates(orders(spark, sf_dir), returned, {"o_orderkey": "l_orderkey"},
-                               [F.max("l_orderkey").alias("l_returned")])
-    missing = col("l_returned").isNull()
-    return df.where(missing | (col("l_returned").isNotNull() & (col("l_returned") < 500))).select(
-        "o_orderkey", missing.alias("is_missing"))
+                               [F.max("l_shipdate").alias("l_returned")])
+    day = col("l_returned")
+    return df.where(day.isNull() | (day < F.lit("1998-01-01").cast("timestamp"))).select(
+        "o_orderkey", day.isNull().alias("is_missing"), day.isNotNull().alias("is_known"))
 
 
 @register("f8_conditionals", """
@@ -218,7 +218,7 @@ def f10(spark, sf_dir):
 @register("f12_text_functions", r"""
 SELECT p_partkey, concat_ws(' / ', p_brand, p_type) AS label, coalesce(p_name, '') AS name, upper(p_name) AS up,
   lower(p_type) AS low, trim('  ' || p_name || ' ') AS trimmed, substr(p_name, 2, 3) AS part_text,
-  replace(p_name, ' ', '_') AS under, length(p_name) AS n_chars, regexp_matches(p_name, '^[a-m]') AS first_half,
+  replace(p_name, ' ', '_') AS under, CAST(length(p_name) AS INTEGER) AS n_chars, regexp_matches(p_name, '^[a-m]') AS first_half,
   regexp_replace(p_brand, '[^0-9]+', '', 'g') AS digits, CAST(p_size AS VARCHAR) AS size_text,
   CAST(regexp_replace(p_brand, '[^0-9]+', '', 'g') AS INTEGER) AS brand_no FROM part""")
 def f12(spark, sf_dir):

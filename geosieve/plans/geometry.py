@@ -219,7 +219,7 @@ def g11(spark, sf_dir):
 
 
 @register("g12_buffer_points", f"""
-SELECT s_suppkey, i, round(x + radius * cos((i % 20) * 2 * pi() / 20), 6) + 0.0 AS bx,
+SELECT s_suppkey, CAST(i AS INTEGER) AS i, round(x + radius * cos((i % 20) * 2 * pi() / 20), 6) + 0.0 AS bx,
   round(y + radius * sin((i % 20) * 2 * pi() / 20), 6) + 0.0 AS by_ FROM {ly.SUPPLIER_POINTS} t,
   unnest(generate_series(0, 20)) AS u(i)""")
 def g12(spark, sf_dir):

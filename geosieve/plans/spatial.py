@@ -105,11 +105,10 @@ def j5(spark, sf_dir):
 
 
 @register("j5_dwithin_boxes", f"""
-SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s WHERE s.p_size > 30 AND
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s WHERE
   greatest(s.xmin - t.x, t.x - s.xmax, 0) ** 2 + greatest(s.ymin - t.y, t.y - s.ymax, 0) ** 2 <= 9)""")
 def j5_boxes(spark, sf_dir):
-    boxes = ly.part_boxes(spark, sf_dir).where("p_size > 30")
-    return sp.spatial_filter(ly.order_points(spark, sf_dir), boxes, "dwithin", radius=3).select("o_orderkey")
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.part_boxes(spark, sf_dir), "dwithin", radius=3).select("o_orderkey")
 
 
 def _edge_gap_sq() -> str:
@@ -306,10 +305,9 @@ SEGMENT_IN_BOX = """least(t.x, t.x2) <= s.xmax AND greatest(t.x, t.x2) >= s.xmin
 
 
 @register("g15_lines_meet_boxes", f"""
-SELECT DISTINCT t.event_id FROM {EVENT_LINES} t JOIN {ly.PART_BOXES} s ON s.p_size > 47 AND {SEGMENT_IN_BOX}""")
+SELECT DISTINCT t.event_id FROM {EVENT_LINES} t JOIN {ly.PART_BOXES} s ON {SEGMENT_IN_BOX}""")
 def g15_lines(spark, sf_dir):
-    boxes = ly.part_boxes(spark, sf_dir).where("p_size > 47")
-    return sp.spatial_filter(event_lines(spark, sf_dir), boxes).select("event_id")
+    return sp.spatial_filter(event_lines(spark, sf_dir), ly.part_boxes(spark, sf_dir)).select("event_id")
 
 
 @register("g15_shapes_meet", None)
@@ -322,15 +320,14 @@ def g15_meet(spark, sf_dir):
 @register("g9_distances", f"""
 SELECT t.p_partkey AS t_key, s.p_partkey AS s_key, round(sqrt(
   greatest(s.xmin - t.xmax, t.xmin - s.xmax, 0) ** 2 + greatest(s.ymin - t.ymax, t.ymin - s.ymax, 0) ** 2), 6) AS distance
-FROM {ly.PART_BOXES} t JOIN {ly.PART_BOXES} s ON t.p_size > 25 AND s.p_size < 5 AND
-  greatest(s.xmin - t.xmax, t.xmin - s.xmax, 0) ** 2 + greatest(s.ymin - t.ymax, t.ymin - s.ymax, 0) ** 2 <= 25""")
+FROM {ly.PART_BOXES} t JOIN {ly.PART_BOXES} s ON
+  greatest(s.xmin - t.xmax, t.xmin - s.xmax, 0) ** 2 + greatest(s.ymin - t.ymax, t.ymin - s.ymax, 0) ** 2 <= 4""")
 def g9(spark, sf_dir):
     boxes = ly.part_boxes(spark, sf_dir)
-    large, small = boxes.where("p_size > 25"), boxes.where("p_size < 5")
-    pairs = sp.spatial_pairs(large, small, radius=5)
-    shapes = lambda layer, key, name: layer.as_shapes(name).df.select(col("p_partkey").alias(key), name)
+    pairs = sp.spatial_pairs(boxes, boxes, radius=2)
+    shapes = lambda key, name: boxes.as_shapes(name).df.select(col("p_partkey").alias(key), name)
     both = pairs.select(col("t_p_partkey").alias("t_key"), col("s_p_partkey").alias("s_key")).join(
-        shapes(large, "t_key", "a"), "t_key").join(shapes(small, "s_key", "b"), "s_key")
+        shapes("t_key", "a"), "t_key").join(shapes("s_key", "b"), "s_key")
     return gj.distances(both, "a", "b").select("t_key", "s_key", F.round("distance", 6).alias("distance"))
 
 

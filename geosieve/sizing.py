@@ -47,14 +47,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], identity: Sequence[str], one_in
     )
 
 
-def salt_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], identity: Sequence[str],
-               one_in: int = SAMPLE_ONE_IN, floor: int = HOT_SAMPLE_ROWS) -> tuple[DataFrame, DataFrame]:
+def salt_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], identity: Sequence[str], hot: DataFrame
+               ) -> tuple[DataFrame, DataFrame]:
     """Spread the rows of hot keys of ``left`` over salts and repeat the matching ``right`` rows.
 
-    Both results carry ``_salt``, which the join adds to its keys. ``right`` rows of other keys are not
-    repeated. The hot keys are a bounded table (``HOT_KEYS`` rows), so they are broadcast.
+    ``hot`` holds the keys and ``_salts``, at most ``HOT_KEYS`` rows, so it is broadcast. Both results carry
+    ``_salt``, which the join adds to its keys. ``right`` rows of other keys are not repeated.
     """
-    hot = F.broadcast(hot_keys(left, keys, identity, one_in, floor))
+    hot = F.broadcast(hot)
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     # a NULL key matches nothing, so its rows may go to any salt
     salts = F.when(no_key, F.lit(MAX_SALTS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
@@ -92,7 +92,7 @@ def sized_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
         strategy = "broadcast" if fits_broadcast(right, max_rows) else "shuffle"
     if strategy == "broadcast":
         return left.join(F.broadcast(right), list(keys), how)
-    salted, repeated = salt_sides(left, right, keys, identity, one_in, floor)
+    salted, repeated = salt_sides(left, right, keys, identity, hot_keys(left, keys, identity, one_in, floor))
     return salted.join(repeated, [*keys, SALT], how).drop(SALT)
 
 

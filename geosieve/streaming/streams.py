@@ -33,9 +33,7 @@ def geofence(points: Layer, fences: Layer, time: str, delay: str = "10 minutes",
 
     The fences are static: they are measured once, and joined on grid cells in every batch.
     """
-    if plan is None:
-        plan = plan_join(points, fences, radius)
-    plan = replace(plan, salted=False)
+    plan = replace(plan or plan_join(points, fences, radius), hot=())  # cells crowded once need not stay so
     timed = points.df.withColumn(time, F.col(time).cast("timestamp"))  # a watermark needs an instant
     watched = points.with_df(timed.withWatermark(time, delay))
     hits = spatial_join(watched, fences, predicates, radius, plan)

@@ -98,22 +98,42 @@ def test_row_radius_of_all_sizes(spark, way):
         a[0] for a in t} - expected
 
 
-def test_third_of_all_rows_in_one_place(spark, monkeypatch):
+def test_third_of_all_rows_in_one_place(spark):
     """Hot cell and copies on both sides: salted by force, and still exact."""
     rng = random.Random(6)
     t = [(i, 5.0, 5.0) if i % 3 == 0 else (i, rng.uniform(0, 400), rng.uniform(0, 400)) for i in range(900)]
     s = [(i, 4.0, 4.0, 6.0, 6.0) if i % 3 == 0 else (i, (x := rng.uniform(0, 400)), (y := rng.uniform(0, 400)), x + 2, y + 2)
          for i in range(300)]
     target, source = points(spark, t), boxes(spark, s)
-    original = spatial.salt_sides
-    monkeypatch.setattr(spatial, "salt_sides", lambda l, r, k, i: original(l, r, k, i, one_in=1, floor=20))
-    plan = with_way(target, source, "shuffle")
+    plan = spatial.plan_join(target, source, strategy="shuffle", one_in=1, floor=20)
+    assert plan.hot and max(h[3] for h in plan.hot) > 8
     expected = {(a[0], b[0]) for a in t for b in s if b[1] <= a[1] <= b[3] and b[2] <= a[2] <= b[4]}
     assert ids(spatial.spatial_filter(target, source, plan=plan)) == {a for a, _ in expected}
     assert pair_set(spatial.spatial_pairs(target, source, plan=plan)) == expected
-    keys, hot = ["cx"], target.df.select("id", F.floor(F.col("x") / 8).alias("cx"))
-    from geosieve.sizing import hot_keys
-    assert hot_keys(hot, keys, ["id"], 1, 20).where("cx = 0").first()["_salts"] > 1
+
+
+def test_third_of_all_boxes_in_one_place(spark):
+    rng = random.Random(10)
+    t = [(i, 100.0, 100.0, 103.0, 104.0) if i % 3 == 0 else r for i, r in enumerate(random_boxes(240, 11))]
+    s = [(i, 101.0, 101.0, 109.0, 108.0) if i % 3 == 0 else r for i, r in enumerate(random_boxes(200, 12))]
+    rng.shuffle(t)
+    target, source = boxes(spark, t), boxes(spark, s)
+    plan = spatial.plan_join(target, source, strategy="shuffle", one_in=1, floor=20)
+    assert plan.hot and len(plan.levels) > 1
+    expected = {(a[0], b[0]) for a in t for b in s if meets(a, b)}
+    assert pair_set(spatial.spatial_pairs(target, source, plan=plan)) == expected
+    assert ids(spatial.spatial_filter(target, source, plan=plan)) == {a for a, _ in expected}
+
+
+def test_shuffled_joins_are_merge_joins(spark):
+    """The measured choice holds even where the optimizer believes the source to be small."""
+    target, source = boxes(spark, random_boxes(50, 13)), boxes(spark, random_boxes(50, 14))
+    plan = with_way(target, source, "shuffle")
+    for df in (spatial.spatial_pairs(target, source, plan=plan), spatial.spatial_filter(target, source, plan=plan)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text and "NestedLoop" not in text
+    text = spatial.spatial_filter(target, source)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
 
 
 def test_edges_corners_holes_and_missing_points(spark):
