@@ -242,7 +242,9 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
     plan, size = layout("b", BROADCAST_GRID[grid_kind])
     if strategy == "broadcast" or (strategy == "auto" and plan.tiles <= BROADCAST_ROWS and size <= BROADCAST_BYTES):
         return plan
-    plan = layout("s", SHUFFLE_GRID[grid_kind])[0]
+    plan, size = layout("s", SHUFFLE_GRID[grid_kind])
+    if strategy == "auto" and plan.tiles <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        return replace(plan, strategy="broadcast")  # too much when cut finely, but not otherwise
     if target.df.isStreaming or not plan.levels:
         return plan  # a stream cannot be sampled; adaptive execution is left to split its batches
     cells = f"explode(filter(array({', '.join(plan.target_cells())}), c -> c.lv >= _tlvl)) AS _c"
@@ -268,6 +270,14 @@ def _tiles(side: DataFrame, plan: JoinPlan, level: int, shape_cells: bool) -> Da
     return _classify_cells(tiles, cell) if shape_cells else tiles
 
 
+def _spread(source: DataFrame, plan: JoinPlan, s: Layer) -> DataFrame:
+    """A small source is often one file, thus one task; its cells are worth working out in parallel."""
+    if plan.strategy != "broadcast":
+        return source
+    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return source.repartition(n, *[f"_s_{k}" for k in s.pk])
+
+
 def _placed(tiles: DataFrame, plan: JoinPlan) -> DataFrame:
     """Catalyst does not see how many cells a row lists, so the measured size decides for it."""
     return F.broadcast(tiles) if plan.strategy == "broadcast" else tiles.hint("merge")
@@ -448,6 +458,8 @@ def _matching(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan, found:
     keep_shape = "shape" in (t.geometry.kind, s.geometry.kind) and t.geometry.kind != "point"
     shape_cells = t.geometry.kind == "point" and s.geometry.kind == "shape"
     source = _source_side(s, radius, keep_shape, plan)
+    if shape_cells:
+        source = _spread(source, plan, s)
     if plan.strategy == "shuffle":
         # copies of a source decide nothing anew
         source = source.drop(*[c for c in source.columns if c.startswith("_s_")]).distinct()
@@ -486,6 +498,8 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
     keep_shape = "shape" in (t.geometry.kind, s.geometry.kind) and t.geometry.kind != "point"
     shape_cells = t.geometry.kind == "point" and s.geometry.kind == "shape"
     source, targets = _source_side(s, radius, keep_shape, plan), _target_side(t, keep_shape, plan)
+    if shape_cells:
+        source = _spread(source, plan, s)
     levels = plan.levels
     cells = plan.target_cells()
     if len(levels) == 1:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 HOT_KEYS = 512  # a key outside the 512 hottest holds less than 1/512 of the rows
 SAMPLE_ONE_IN = 100
