@@ -87,6 +87,17 @@ def _covered(layer: Layer, raster: Raster, band: int, plan: JoinPlan | None) ->
     return pairs.withColumnsRenamed({f"s_{k}": k for k in layer.pk}).select(*layer.pk, "value")
 
 
+def _from_counts(counted: DataFrame, pk: list[str]) -> DataFrame:
+    """All statistics from the counts of equal values, which the median needs anyway: the join runs once."""
+    v, n = F.col("value"), F.col("_n")
+    sums = counted.groupBy(*pk).agg(
+        F.sum(n).alias("n"), F.sum(v * n).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"))
+    sums = sums.withColumn("mean", F.col("sum") / F.col("n"))
+    spread = counted.join(sums.select(*pk, "mean", "n"), pk).groupBy(*pk).agg(
+        F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.max("n")).alias("std"))
+    return sums.join(spread, pk).join(exact_median(counted, pk, "value", weight="_n"), pk)
+
+
 def zonal_stats(layer: Layer, raster: Raster, band: int = 1, stats: Iterable[str] = STATS,
                 plan: JoinPlan | None = None) -> DataFrame:
     """Key and statistics of the cells whose centre a feature covers; NULL where it covers none."""
@@ -95,13 +106,13 @@ def zonal_stats(layer: Layer, raster: Raster, band: int = 1, stats: Iterable[str
     if unknown:
         raise ValueError(f"unknown statistic {', '.join(sorted(unknown))}")
     covered = _covered(layer, raster, band, plan)
-    v = F.col("value")
-    table = {"n": F.count(v), "sum": F.sum(v), "min": F.min(v), "max": F.max(v), "mean": F.avg(v),
-             "std": F.stddev_pop(v)}
-    simple = [s for s in stats if s in table]
-    per_zone = covered.groupBy(*layer.pk).agg(*[table[s].alias(s) for s in simple or ["n"]])
+    v, pk = F.col("value"), list(layer.pk)
     if "median" in stats:
-        per_zone = per_zone.join(exact_median(covered, layer.pk, "value"), list(layer.pk))
+        per_zone = _from_counts(covered.groupBy(*pk, "value").agg(F.count("*").alias("_n")), pk)
+    else:
+        per_zone = covered.groupBy(*pk).agg(
+            F.count(v).alias("n"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"),
+            F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
     out = layer.keys().join(per_zone.select(*layer.pk, *stats), list(layer.pk), "left")
     return out.withColumn("n", F.coalesce("n", F.lit(0))) if "n" in stats else out
 

@@ -274,7 +274,8 @@ def _spread(source: DataFrame, plan: JoinPlan, s: Layer) -> DataFrame:
     """A small source is often one file, thus one task; its cells are worth working out in parallel."""
     if plan.strategy != "broadcast":
         return source
-    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = source.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return source.repartition(n, *[f"_s_{k}" for k in s.pk])
 
 

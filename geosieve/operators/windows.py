@@ -97,16 +97,22 @@ def range_rule(ids: DataFrame, column: str, bucket_size: int = 1_000_000) -> Dat
     return found.withColumns({"n_gaps": gaps, "form": rule})
 
 
-def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median", buckets: int = 1024
-                 ) -> DataFrame:
+def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median", buckets: int = 1024,
+                 weight: str | None = None) -> DataFrame:
     """(group, median) over the non-NULL values, exact, without sorting a group in one task.
 
+    With ``weight`` the rows are distinct values of a group already, and the column says how often each occurs.
+
     Equal values are counted first. A group's range is cut into buckets, the bucket of the middle rank is
     found from the bucket counts, and only its distinct values are ranked.
     """
     group = list(group)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(
-        F.count("*").alias("_n"))
+    present = df.where(F.col(value).isNotNull())
+    v = F.col(value).cast("double").alias("_v")
+    if weight is None:
+        counted = present.groupBy(*group, v).agg(F.count("*").alias("_n"))
+    else:
+        counted = present.select(*group, v, F.col(weight).alias("_n"))
     spans = counted.groupBy(*group).agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     placed = counted.join(spans, group).withColumn(
