@@ -310,13 +310,34 @@ def g15_lines(spark, sf_dir):
     return sp.spatial_filter(event_lines(spark, sf_dir), ly.part_boxes(spark, sf_dir)).select("event_id")
 
 
-@register("g15_shapes_meet", None)
-def g15_meet(spark, sf_dir):
+# every shape is a few rectangles without overlap, so areas of intersections are sums over their pairs
+SHAPE_AREAS = f"""
+WITH r(kind, a, b, c, d) AS (VALUES ('square', 1, 1, 19, 19), ('ell', 1, 1, 19, 9), ('ell', 1, 9, 9, 19),
+  ('holed', 1, 1, 19, 6), ('holed', 1, 14, 19, 19), ('holed', 1, 6, 6, 14), ('holed', 14, 6, 19, 14)),
+p AS (SELECT p_partkey AS k, x0 + a * unit AS x1, y0 + b * unit AS y1, x0 + c * unit AS x2, y0 + d * unit AS y2
+  FROM {ly.PART_SHAPES} s JOIN r ON r.kind = s.kind),
+area AS (SELECT k, sum((x2 - x1) * (y2 - y1)) AS area FROM p GROUP BY 1),
+shared AS (SELECT t.k AS tk, s.k AS sk, sum((least(t.x2, s.x2) - greatest(t.x1, s.x1)) *
+    (least(t.y2, s.y2) - greatest(t.y1, s.y1))) AS inter
+  FROM p t JOIN p s ON t.x1 < s.x2 AND s.x1 < t.x2 AND t.y1 < s.y2 AND s.y1 < t.y2 GROUP BY 1, 2)
+SELECT tk AS t_p_partkey, sk AS s_p_partkey FROM shared JOIN area ta ON ta.k = tk JOIN area sa ON sa.k = sk
+WHERE inter > 1e-9"""
+
+
+@register("g15_shapes_overlap_or_contain", f"""{SHAPE_AREAS}
+  AND (inter >= sa.area * (1 - 1e-9) OR inter < ta.area * (1 - 1e-9))""")
+def g15_overlap(spark, sf_dir):
     """L-shaped, holed and square parts against each other, with the general kernel."""
     shapes = ly.part_shapes(spark, sf_dir)
     return sp.spatial_pairs(shapes, shapes, ("overlaps", "contains"))
 
 
+@register("g15_shapes_within", f"{SHAPE_AREAS} AND inter >= ta.area * (1 - 1e-9)")
+def g15_within(spark, sf_dir):
+    shapes = ly.part_shapes(spark, sf_dir)
+    return sp.spatial_pairs(shapes, shapes, "within")
+
+
 @register("g9_distances", f"""
 SELECT t.p_partkey AS t_key, s.p_partkey AS s_key, round(sqrt(
   greatest(s.xmin - t.xmax, t.xmin - s.xmax, 0) ** 2 + greatest(s.ymin - t.ymax, t.ymin - s.ymax, 0) ** 2), 6) AS distance
