@@ -168,7 +168,7 @@ def _source_side(source: Layer, radius: Radius, keep_shape: bool, plan: JoinPlan
     columns = [F.col(k).alias(f"_s_{k}") for k in source.pk]
     columns += [c.alias(n) for n, c in zip(("_sx0", "_sy0", "_sx1", "_sy1"), box)]
     columns.append(_radius(radius).alias("_sr"))
-    if source.geometry.kind == "shape":
+    if source.geometry.kind == "shape" and not keep_shape:
         columns += [F.col(f"`{source.geometry.name}`.type").alias("_stype"), F.col("_info.edges").alias("_sedges"),
                     F.col("_info.ends").alias("_sends")]
     if keep_shape:
