@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geosieve.llm.chat import format_chats, read_back, streamed
 from geosieve.llm.common import table
+from geosieve.llm.fingerprints import edited_fingerprints
 from geosieve.llm.quality import quality_rules
 
 QUERIES, SQL = {}, {}
@@ -21,6 +23,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op2_chat_formatting")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row becomes events (streams of deltas, edits, regenerations), which are folded and rendered."""
+    text = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return read_back(format_chats(streamed(rows)))
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("cleaned")
