@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geosieve.llm.chat import format_chats, read_back, streamed
 from geosieve.llm.common import table
 from geosieve.llm.fingerprints import edited_fingerprints
+from geosieve.llm.packing import pack, token_pieces
 from geosieve.llm.quality import quality_rules
+from geosieve.llm.sentence_pieces import decode, encode
 
 QUERIES, SQL = {}, {}
 
@@ -41,3 +44,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+@query("op9_sentence_pieces")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    tokens = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    return tokens.select(
+        "doc_id", F.length(whole).cast("long").alias("n_chars"), "n_tokens", "n_byte_tokens", "ids_crc32",
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == whole).alias("round_trip"))
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
