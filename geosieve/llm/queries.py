@@ -12,6 +12,7 @@ from geosieve.llm.fingerprints import edited_fingerprints
 from geosieve.llm.packing import pack, token_pieces
 from geosieve.llm.quality import quality_rules
 from geosieve.llm.sentence_pieces import decode, encode
+from geosieve.llm.license_scan import scan_licenses
 
 QUERIES, SQL = {}, {}
 
@@ -59,3 +60,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op4_license_scans")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_notices", F.size("spans").cast("long")).drop("spans")
