@@ -13,6 +13,7 @@ from geosieve.llm.packing import pack, token_pieces
 from geosieve.llm.quality import quality_rules
 from geosieve.llm.sentence_pieces import decode, encode
 from geosieve.llm.license_scan import scan_licenses
+from geosieve.llm import language_id
 
 QUERIES, SQL = {}, {}
 
@@ -66,3 +67,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.withColumn("n_notices", F.size("spans").cast("long")).drop("spans")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language_id.held_out("doc_id", 3, 1)
+    model = language_id.fit(docs, ~held)
+    return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "_language.lang_pred",
+                                                   "_language.score")
