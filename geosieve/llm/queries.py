@@ -14,6 +14,7 @@ from geosieve.llm.quality import quality_rules
 from geosieve.llm.sentence_pieces import decode, encode
 from geosieve.llm.license_scan import scan_licenses
 from geosieve.llm import language_id
+from geosieve.llm import toxicity
 
 QUERIES, SQL = {}, {}
 
@@ -76,3 +77,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, ~held)
     return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "_language.lang_pred",
                                                    "_language.score")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = language_id.held_out("doc_id", 4, 2)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    score = F.col("_toxicity")
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), score.alias("score"),
+                                              (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
