@@ -15,6 +15,7 @@ from geosieve.llm.sentence_pieces import decode, encode
 from geosieve.llm.license_scan import scan_licenses
 from geosieve.llm import language_id
 from geosieve.llm import toxicity
+from geosieve.llm.near_dedup import near_duplicates
 
 QUERIES, SQL = {}, {}
 
@@ -87,3 +88,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.col("_toxicity")
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), score.alias("score"),
                                               (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op7_minhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
