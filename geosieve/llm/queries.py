@@ -16,6 +16,7 @@ from geosieve.llm.license_scan import scan_licenses
 from geosieve.llm import language_id
 from geosieve.llm import toxicity
 from geosieve.llm.near_dedup import near_duplicates
+from geosieve.llm.substring_dedup import remove_repeats
 
 QUERIES, SQL = {}, {}
 
@@ -93,3 +94,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_minhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
