@@ -152,15 +152,14 @@ def fit(rows: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     return LanguageModel(names, idf, weights, temperature(logits, np.array([y for *_, y in held], int)))
 
 
-def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_language`` of lang_pred and score."""
-    small_batches(docs.sparkSession)
+def predicted(model: LanguageModel, text: Column) -> Column:
+    """A struct of lang_pred and score."""
 
     @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts):
+    def languages(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_language", predicted(F.col(text)))
+    return languages(text)
 
 
 def held_out(key: str = "doc_id", mod: int = 3, remainder: int = 1) -> Column:

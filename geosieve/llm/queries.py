@@ -77,8 +77,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = language_id.held_out("doc_id", 3, 1)
     model = language_id.fit(docs, ~held)
-    return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "_language.lang_pred",
-                                                   "_language.score")
+    docs = docs.select("doc_id", held.alias("held_out"), language_id.predicted(model, F.col("text")).alias("found"))
+    return docs.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 @query("op6_toxicity")
@@ -86,9 +86,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = language_id.held_out("doc_id", 4, 2)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
-    score = F.col("_toxicity")
-    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), score.alias("score"),
-                                              (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    docs = docs.select("doc_id", held.alias("held_out"), toxicity.scored(model, F.col("text")).alias("score"))
+    return docs.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
 @query("op7_minhash_near_dedup")

@@ -291,12 +291,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """``docs`` with the column ``_toxicity``."""
-    small_batches(docs.sparkSession)
+def scored(model: ToxicityModel, text: Column) -> Column:
+    """The score of each text."""
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype=float)
 
-    return docs.withColumn("_toxicity", scores(F.col(text)))
+    return scores(text)
