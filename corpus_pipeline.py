@@ -23,32 +23,31 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score as toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~language_id.held_out("doc_id", 4, 2))
-    return toxicity.score(docs, model).where(F.col("_toxicity") < toxicity.THRESHOLD).select(*_columns(docs))
+    return docs.where(toxicity.scored(model, F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language that was learned, and those the model doubts."""
     model = language_id.fit(docs, ~language_id.held_out("doc_id", 3, 1))
-    found = F.col("_language")
-    known = (found["lang_pred"] != language_id.UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SCORE)
-    return language_id.predict(docs, model).where(known).select(*_columns(docs))
+    found = language_id.predicted(model, F.col("text"))
+    return docs.where((found["lang_pred"] != language_id.UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SCORE))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; documents of which nothing is left go."""
-    cut = remove_repeats(docs).where("n_removed > 0").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("kept_text").alias("_kept"))
-    text = F.coalesce("_kept", "text")
-    rows = docs.join(cut, F.col("doc_id") == F.col("_id"), "left").where("_kept IS NULL OR _kept != ''")
-    new = {"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(
-        F.length("_kept").cast("long"))}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    cut = remove_repeats(docs).where("n_removed > 0").groupBy("doc_id").agg(F.max("kept_text").alias("kept"))
+    kept = F.col("c.kept")
+    rows = docs.alias("d").join(cut.alias("c"), F.col("d.doc_id") == F.col("c.doc_id"), "left").where(
+        kept.isNull() | (kept != ""))
+    new = {"text": kept, "n_chars": F.length(kept).cast("long")}
+    return rows.select(*[F.when(kept.isNull(), F.col(f"d.`{c}`")).otherwise(new[c]).alias(c) if c in new
+                         else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +64,6 @@ STAGES = [
 ]
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are a table that the next one reads."""
     docs = table(spark, sf_dir, "documents")
