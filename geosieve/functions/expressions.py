@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -72,6 +73,27 @@ def compare(value: Column, op: str, threshold, threshold_max=None) -> Column:
     return table[name]
 
 
+def similar_pattern(pattern: str) -> str:
+    """The regular expression of a SIMILAR TO pattern: ``%`` and ``_`` match any text and character, ``. ^ $`` are
+    themselves, and a backslash makes the next character literal."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            i += 1
+            out.append(re.escape(pattern[i]))
+        elif in_class:
+            in_class = c != "]"
+            out.append(c)
+        elif c == "[":
+            in_class = True
+            out.append(c)
+        else:
+            out.append({"%": ".*", "_": ".", ".": r"\.", "^": r"\^", "$": r"\$", "\\": r"\\"}.get(c, c))
+        i += 1
+    return r"(?s)\A(?:" + "".join(out) + r")\z"
+
+
 def matches(text: Column, op: str, pattern: str) -> Column:
     """``LIKE ILIKE SIMILAR TO ~ ~*`` and their negations (``NOT ...``, ``!~``, ``!~*``)."""
     name = " ".join(op.upper().split())
@@ -80,7 +102,7 @@ def matches(text: Column, op: str, pattern: str) -> Column:
     if name.startswith("!"):
         return ~matches(text, name[1:], pattern)
     if name == "SIMILAR TO":
-        return text.rlike("^(?:" + pattern.replace("%", ".*").replace("_", ".") + ")$")
+        return text.rlike(similar_pattern(pattern))
     table = {"LIKE": text.like, "ILIKE": text.ilike, "~": text.rlike,
              "~*": lambda p: text.rlike("(?i)" + p)}
     if name not in table:

@@ -125,10 +125,21 @@ def point_point(names, t: Box, s: Box) -> str:
     return pick(names, table | {"disjoint": f"(NOT {same})"})
 
 
+def _inner(a0: str, a1: str, b0: str, b1: str) -> str:
+    """The insides of two intervals meet; an interval of no length is its own inside."""
+    return (f"((greatest({a0}, {b0}) < least({a1}, {b1})) OR ({a0} = {a1} AND {b0} < {a0} AND {a0} < {b1}) OR "
+            f"({b0} = {b1} AND {a0} < {b0} AND {b0} < {a1}) OR ({a0} = {a1} AND {b0} = {b1} AND {a0} = {b0}))")
+
+
 def point_box(names, t: Box, s: Box) -> str:
-    inside = f"({t[0]} > {s[0]} AND {t[0]} < {s[2]} AND {t[1]} > {s[1]} AND {t[1]} < {s[3]})"
+    """A point against a rectangle, which may be flat: a segment's inside is what lies between its ends."""
+    inside = " AND ".join(f"(({p} > {lo} AND {p} < {hi}) OR ({lo} = {hi} AND {p} = {lo}))"
+                          for p, lo, hi in ((t[0], s[0], s[2]), (t[1], s[1], s[3])))
+    inside = f"({inside})"
     covered = f"({t[0]} >= {s[0]} AND {t[0]} <= {s[2]} AND {t[1]} >= {s[1]} AND {t[1]} <= {s[3]})"
-    return pick(names, {"intersects": covered, "coveredby": covered, "within": inside,
+    same = f"({t[0]} = {s[0]} AND {t[0]} = {s[2]} AND {t[1]} = {s[1]} AND {t[1]} = {s[3]})"
+    return pick(names, {"intersects": covered, "coveredby": covered, "within": inside, "equals": same,
+                        "contains": same, "covers": same,
                         "touches": f"({covered} AND NOT {inside})", "disjoint": f"(NOT {covered})"})
 
 
@@ -137,18 +148,26 @@ def box_point(names, t: Box, s: Box) -> str:
 
 
 def box_box(names, t: Box, s: Box) -> str:
-    """Closed forms for two rectangles with a positive area."""
+    """Closed forms for two rectangles, which may be flat (segments or points)."""
     meet, covers, coveredby = bbox_overlap(t, s), bbox_covers(t, s), bbox_covers(s, t)
-    inner = f"({t[0]} < {s[2]} AND {t[2]} > {s[0]} AND {t[1]} < {s[3]} AND {t[3]} > {s[1]})"
+    inner = f"({_inner(t[0], t[2], s[0], s[2])} AND {_inner(t[1], t[3], s[1], s[3])})"
+    wide = {k: (f"({b[2]} > {b[0]})", f"({b[3]} > {b[1]})") for k, b in (("t", t), ("s", s))}
+    (tx, ty), (sx, sy) = wide["t"], wide["s"]
+    alike = f"({tx} = {sx} AND {ty} = {sy})"
+    line_t, line_s = f"({tx} != {ty})", f"({sx} != {sy})"
+    area_t, area_s = f"({tx} AND {ty})", f"({sx} AND {sy})"
+    crosses = (f"({inner} AND (({line_t} AND {area_s} AND NOT {coveredby}) OR ({area_t} AND {line_s} AND NOT {covers}) "
+               f"OR ({line_t} AND {line_s} AND {tx} != {sx})))")
     return pick(names, {
         "intersects": meet,
-        "contains": covers,
+        "contains": f"({covers} AND {inner})",
         "covers": covers,
-        "within": coveredby,
+        "within": f"({coveredby} AND {inner})",
         "coveredby": coveredby,
         "equals": f"({covers} AND {coveredby})",
         "touches": f"({meet} AND NOT {inner})",
-        "overlaps": f"({inner} AND NOT {covers} AND NOT {coveredby})",
+        "overlaps": f"({alike} AND {inner} AND NOT {covers} AND NOT {coveredby})",
+        "crosses": crosses,
         "disjoint": f"(NOT {meet})",
     })
 
@@ -161,5 +180,6 @@ def point_shape(names, x: str, y: str, kind: str, edges: str, ends: str, full: s
     inside = (f"({full} OR CASE WHEN {polygon} THEN {odd} AND NOT {touch} WHEN {line} THEN {touch} AND NOT {at_end} "
               f"ELSE {touch} END)")
     border = f"(NOT {full} AND CASE WHEN {polygon} THEN {touch} WHEN {line} THEN {at_end} ELSE false END)"
+    same = f"({kind} = 'POINT' AND {touch})"
     return pick(names, {"intersects": covered, "coveredby": covered, "within": inside, "touches": border,
-                        "disjoint": f"(NOT {covered})"})
+                        "equals": same, "contains": same, "covers": same, "disjoint": f"(NOT {covered})"})

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geosieve.functions.expressions import as_column
@@ -126,18 +127,24 @@ def collect_geometries(layer: Layer, by: Sequence[str], bucket: Column, chunk_ro
 def dissolve_boxes(layer: Layer, by: Sequence[str], cell: float) -> DataFrame:
     """Union of grid-aligned boxes per group: covered area, cells and bounding box, overlaps counted once.
 
-    Boxes are turned into their grid cells; distinct cells are what the union covers. Partial distincts run
-    before the shuffle, so copies of a box cost nothing there.
+    A box gives one interval of rows per grid column; intervals of a column are merged with a running maximum, so cells
+    are counted and never made. A box whose sides are not on the grid is an error. Copies of a box are dropped before
+    the shuffle.
     """
     if not isinstance(layer.geometry, BoxColumns):
         raise ValueError("dissolve_boxes works on box layers")
     x0, y0, x1, y1 = layer.geometry.bbox()
-    at = lambda v: F.floor(v / cell)
+    at = lambda v: F.round(v / cell).cast("long")
     rows = layer.df.where(layer.geometry.present() & (x1 > x0) & (y1 > y0))
-    cells = rows.select(*by, F.explode(F.sequence(at(x0), at(x1) - 1)).alias("cx"), at(y0).alias("_y0"),
-                        (at(y1) - 1).alias("_y1"))
-    cells = cells.distinct().select(*by, "cx", F.explode(F.sequence("_y0", "_y1")).alias("cy")).distinct()
+    off = reduce(lambda a, b: a | b, [F.abs(v / cell - F.round(v / cell)) > 1e-9 for v in (x0, y0, x1, y1)])
+    checked = F.when(off, F.raise_error(F.lit(f"a box is not aligned to the grid of {cell}")).cast("long"))
+    first = F.coalesce(checked, at(x0))
+    columns = rows.select(*by, F.explode(F.sequence(first, at(x1) - 1)).alias("cx"), at(y0).alias("_y0"),
+                          (at(y1) - 1).alias("_y1")).distinct()
+    before = Window.partitionBy(*by, "cx").orderBy("_y0", "_y1").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.col("_y1") - F.greatest("_y0", F.coalesce(F.max("_y1").over(before) + 1, "_y0")) + 1
+    cells = columns.withColumn("_n", F.greatest(fresh, F.lit(0)))
     return cells.groupBy(*by).agg(
-        F.count("*").alias("n_cells"), (F.count("*") * (cell * cell)).alias("area"),
-        (F.min("cx") * cell).alias("xmin"), (F.min("cy") * cell).alias("ymin"),
-        ((F.max("cx") + 1) * cell).alias("xmax"), ((F.max("cy") + 1) * cell).alias("ymax"))
+        F.sum("_n").alias("n_cells"), (F.sum("_n") * (cell * cell)).alias("area"),
+        (F.min("cx") * cell).alias("xmin"), (F.min("_y0") * cell).alias("ymin"),
+        ((F.max("cx") + 1) * cell).alias("xmax"), ((F.max("_y1") + 1) * cell).alias("ymax"))

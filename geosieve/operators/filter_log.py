@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geosieve.layer import Layer
 from geosieve.operators.windows import bucketed_neighbour
 
 LAYER_KEY = ("project", "layer")
@@ -27,6 +29,16 @@ def last_filters(log: DataFrame, n: int = 1, key: Sequence[str] = LAYER_KEY) ->
     return log.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n")
 
 
+def reset_filter(layer: Layer, log: DataFrame, key: dict[str, object]) -> Layer:
+    """The layer under its last saved filter; ``key`` says which entries of the log are the layer's.
+
+    One row of the log reaches the driver. A layer without an entry, or with an empty one, is unfiltered.
+    """
+    own = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in key.items()])
+    saved = log.where(own).agg(F.max_by("subset_string", "seq_order")).first()[0]
+    return layer.where(saved) if saved and saved.strip() else layer
+
+
 def filter_counts(log: DataFrame, key: Sequence[str] = LAYER_KEY) -> DataFrame:
     return log.groupBy(*key).agg(F.count("*").alias("n_entries"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from geosieve.functions.expressions import all_of, any_of, as_column, compare
 from geosieve.layer import Layer, PointColumns
 from geosieve.operators.spatial import JoinPlan, as_points, spatial_filter, spatial_join
-from geosieve.operators.windows import exact_median
+from geosieve.operators.windows import exact_median, same_keys
 from geosieve.sizing import sized_join
 
 STATS = ("n", "sum", "min", "max", "mean", "std", "median")
@@ -72,12 +72,12 @@ def sampling_stats(df: DataFrame, column: str = "band_1", matching: Column | str
     v = F.col(column)
     test = as_column(matching) if matching is not None else v.isNotNull()
     one = F.lit(1).alias("_one")
-    stats = df.groupBy(one).agg(
+    stats = df.agg(
         F.count("*").alias("total"), F.count(v).alias("sampled"), F.count_if(v.isNull()).alias("nodata"),
         F.count_if(test).alias("matching"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
         F.avg(v).alias("mean_value"), F.stddev_pop(v).alias("std_value"))
     median = exact_median(df.select(one, v), ["_one"], column, "median_value")
-    return stats.join(median, "_one", "left").drop("_one")
+    return stats.withColumn("_one", one).join(median, "_one", "left").drop("_one")
 
 
 def _covered(layer: Layer, raster: Raster, band: int, plan: JoinPlan | None) -> DataFrame:
@@ -93,9 +93,9 @@ def _from_counts(counted: DataFrame, pk: list[str]) -> DataFrame:
     sums = counted.groupBy(*pk).agg(
         F.sum(n).alias("n"), F.sum(v * n).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"))
     sums = sums.withColumn("mean", F.col("sum") / F.col("n"))
-    spread = counted.join(sums.select(*pk, "mean", "n"), pk).groupBy(*pk).agg(
+    spread = same_keys(counted, sums.select(*pk, "mean", "n"), pk).groupBy(*pk).agg(
         F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.max("n")).alias("std"))
-    return sums.join(spread, pk).join(exact_median(counted, pk, "value", weight="_n"), pk)
+    return same_keys(same_keys(sums, spread, pk), exact_median(counted, pk, "value", weight="_n"), pk)
 
 
 def zonal_stats(layer: Layer, raster: Raster, band: int = 1, stats: Iterable[str] = STATS,

@@ -60,6 +60,7 @@ class JoinPlan:
     source_rows: int = 0
     tiles: int = 0
     hot: tuple[tuple[int, int, int, int], ...] = ()  # (level, x, y, salts) of crowded cells, at most 512
+    extent: tuple[float, float, float, float] | None = None  # of the grown source boxes, when the plan was made
 
     @property
     def levels(self) -> tuple[int, ...]:
@@ -180,6 +181,15 @@ def _source_side(source: Layer, radius: Radius, keep_shape: bool, plan: JoinPlan
     return df.selectExpr("*", f"{plan.grouped(level, 'source') if plan else level} AS _slvl")
 
 
+def _near_extent(target: Layer, plan: JoinPlan) -> Layer:
+    """Only targets whose box meets the source's: plain comparisons of the columns, which the scan can prune by."""
+    if plan.extent is None or target.geometry.kind == "shape":
+        return target
+    x0, y0, x1, y1 = target.geometry.bbox()
+    left, low, right, high = plan.extent
+    return target.where((x0 <= right) & (x1 >= left) & (y0 <= high) & (y1 >= low))
+
+
 def _target_side(target: Layer, keep_shape: bool, plan: JoinPlan | None = None) -> DataFrame:
     df, present, box = _boxes(target)
     columns = dict(zip(("_tx0", "_ty0", "_tx1", "_ty1"), box))
@@ -221,7 +231,11 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
             sums.append(F.expr(f"sum({cells(grid, up)})").alias(f"{name}{up}"))
             if edges != "0":
                 sums.append(F.expr(f"sum({cells(grid, up)} * {edges})").alias(f"{name}{up}_edges"))
+    sums += [F.expr(f"{f}(_s{c} {sign} _spad)").alias(f"e_{c}") for f, c, sign in (
+        ("min", "x0", "-"), ("min", "y0", "-"), ("max", "x1", "+"), ("max", "y1", "+"))]
     found = {r["_slvl"]: r.asDict() for r in side.groupBy("_slvl").agg(*sums).collect()}
+    extent = tuple(f(r[f"e_{c}"] for r in found.values()) for f, c in (
+        (min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))) if found else None
 
     def layout(name: str, grid: Grid) -> tuple[JoinPlan, int]:
         counts = {lv: target_found.get(lv, 0) + (found[lv]["n"] if lv in found else 0)
@@ -236,7 +250,8 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
             tiles += r[f"{name}{up}"] + r["n"] * higher
             size += 32 * (r.get(f"{name}{up}_edges", 0) + r["edges"] * higher)
         n = sum(r["n"] for r in found.values())
-        plan = JoinPlan(source_levels, target_levels, grid.per_side, "broadcast" if name == "b" else "shuffle", n, tiles)
+        plan = JoinPlan(source_levels, target_levels, grid.per_side, "broadcast" if name == "b" else "shuffle", n, tiles,
+                        extent=extent)
         return plan, size + tiles * TILE_BYTES
 
     plan, size = layout("b", BROADCAST_GRID[grid_kind])
@@ -427,7 +442,8 @@ def spatial_filter(target: Layer, source: Layer, predicates=("intersects",), rad
 
     ``radius`` is a number or a column of the source (positive: within that distance; negative: the
     source is shrunk first), in units of the target's CRS or in metres with ``metric``. For ``disjoint``,
-    ``mode="any"`` asks for one disjoint source row and ``mode="all"`` for all of them. Rows without a
+    ``mode="any"`` asks for one disjoint source row and ``mode="all"`` for all of them; of sources that vanish when
+    shrunk, "any" finds none and "all" is true. Rows without a
     geometry never match, and no predicate means no rows. With a ``plan`` no job is run.
     """
     names = pr.check_predicates(predicates)
@@ -439,13 +455,18 @@ def spatial_filter(target: Layer, source: Layer, predicates=("intersects",), rad
     columns = target.df.columns
     if "disjoint" in names:
         others = tuple(n for n in names if n != "disjoint")
-        apart = _disjoint(t, s, radius, mode, plan, strategy)
+        plan = plan or plan_join(t, s, radius, strategy)
+        meeting = _meeting_all(t, s, radius, plan) if mode == "any" else None
+        apart = _disjoint(t, s, radius, plan, meeting)
         if not others:
             return apart.select(*columns)
+        # every other relation needs a common point, so no row is both apart from all and near
         near = spatial_filter(t, s, others, radius, plan=plan, strategy=strategy)
-        keys = apart.select(*target.pk).union(near.select(*target.pk)).distinct()
-        return sized_join(target.df, keys, target.pk, "left_semi", target.pk)
-    plan = plan or plan_join(t, s, radius, strategy)
+        if meeting is not None:
+            near = sized_join(near, meeting, target.pk, "left_semi", target.pk)
+        return apart.select(*columns).union(near.select(*columns))
+    # a plan that is passed in may be older than the source, so its extent leaves nothing out
+    plan = replace(plan, extent=None) if plan else plan_join(t, s, radius, strategy)
     if not plan.source_levels:
         return target.df.where(F.lit(False))
     if needs_relation(names, t, s, radius):
@@ -464,7 +485,7 @@ def _matching(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan, found:
     if plan.strategy == "shuffle":
         # copies of a source decide nothing anew
         source = source.drop(*[c for c in source.columns if c.startswith("_s_")]).distinct()
-    targets = _target_side(t, keep_shape, plan)
+    targets = _target_side(_near_extent(t, plan) if found else t, keep_shape, plan)
     one_level = len(plan.levels) == 1
     test = f"{_candidate(t, s, radius)} AND {_exact(names, t, s, radius)}"
     frames, hits = {}, []
@@ -498,7 +519,7 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
     related = needs_relation(names, t, s, radius)
     keep_shape = "shape" in (t.geometry.kind, s.geometry.kind) and t.geometry.kind != "point"
     shape_cells = t.geometry.kind == "point" and s.geometry.kind == "shape"
-    source, targets = _source_side(s, radius, keep_shape, plan), _target_side(t, keep_shape, plan)
+    source, targets = _source_side(s, radius, keep_shape, plan), _target_side(_near_extent(t, plan), keep_shape, plan)
     if shape_cells:
         source = _spread(source, plan, s)
     levels = plan.levels
@@ -534,7 +555,7 @@ def spatial_pairs(target: Layer, source: Layer, predicates=("intersects",), radi
     if "disjoint" in names:
         raise ValueError("disjoint pairs are nearly all pairs; use spatial_filter with mode 'any' or 'all'")
     t, s = _sides(target, source, None, "point_on_surface", metric)
-    plan = plan or plan_join(t, s, radius, strategy)
+    plan = replace(plan, extent=None) if plan else plan_join(t, s, radius, strategy)
     out = [F.col(k).alias(f"t_{k}") for k in target.pk] + [F.col(f"_s_{k}").alias(f"s_{k}") for k in source.pk]
     if not names or not plan.source_levels:
         types = source.df.select(*source.pk).dtypes
@@ -548,7 +569,7 @@ def spatial_join(target: Layer, source: Layer, predicates=("intersects",), radiu
     """Inner join: the target's columns and the source's key as ``s_<key>``, one row per matching pair."""
     names = pr.check_predicates(predicates)
     t, s = _sides(target, source, None, "point_on_surface", False)
-    plan = plan or plan_join(t, s, radius, strategy)
+    plan = replace(plan, extent=None) if plan else plan_join(t, s, radius, strategy)
     out = [F.col(c) for c in target.df.columns] + [F.col(f"_s_{k}").alias(f"s_{k}") for k in source.pk]
     if not names or not plan.source_levels:
         types = source.df.select(*source.pk).dtypes
@@ -557,26 +578,35 @@ def spatial_join(target: Layer, source: Layer, predicates=("intersects",), radiu
     return _pairs(t, s, names, radius, plan).select(*out)
 
 
-def _disjoint(t: Layer, s: Layer, radius: Radius, mode: str, plan: JoinPlan | None, strategy: str) -> DataFrame:
-    plan = plan or plan_join(t, s, radius, strategy)
+def _disjoint(t: Layer, s: Layer, radius: Radius, plan: JoinPlan, meeting: DataFrame | None) -> DataFrame:
+    """Targets apart from every source or, where ``meeting`` names those that meet all, from at least one."""
     present = t.df.where(t.geometry.present())
-    if mode == "all":
-        if not plan.source_levels:
-            return present
-        return _matching(t, s, ("intersects",), radius, plan, found=False)
-    if not plan.source_levels:
-        return t.df.where(F.lit(False))
-    # a target is left out only if it meets every source; then its box meets every source box
+    if meeting is not None:
+        return sized_join(present, meeting, t.pk, "left_anti", t.pk)
+    return _matching(t, s, ("intersects",), radius, plan, found=False) if plan.source_levels else present
+
+
+def _meeting_all(t: Layer, s: Layer, radius: Radius, plan: JoinPlan) -> DataFrame:
+    """Keys of the targets that meet every source; sources that vanish when shrunk do not count.
+
+    Such a target's box meets every source box, so only those are paired. Without any source, all meet all.
+    """
+    side = _source_side(s, radius, False)
+    if not _is_plain(radius):
+        shrinks = side.where("_sr < 0")
+        if s.geometry.kind == "shape" and not shrinks.isEmpty():
+            raise ValueError("disjoint with mode 'any' and a negative radius works with boxes only")
+        side = side.where("_sr >= 0 OR (_sx1 - _sx0 > -2 * _sr AND _sy1 - _sy0 > -2 * _sr)")
     pad = F.col("_spad")
-    box = _source_side(s, radius, False).agg(
-        F.max(F.col("_sx0") - pad), F.max(F.col("_sy0") - pad), F.min(F.col("_sx1") + pad),
+    n, *box = side.agg(
+        F.count("*"), F.max(F.col("_sx0") - pad), F.max(F.col("_sy0") - pad), F.min(F.col("_sx1") + pad),
         F.min(F.col("_sy1") + pad)).first()
+    if not n:
+        return t.df.select(*t.pk)
     x0, y0, x1, y1 = t.geometry.bbox()
-    suspect = present.where((x1 >= box[0]) & (y1 >= box[1]) & (x0 <= box[2]) & (y0 <= box[3]))
-    meets_all = (
-        _pairs(t.with_df(suspect), s, ("intersects",), radius, plan)
-        .groupBy(*t.pk).count().where(F.col("count") == plan.source_rows).select(*t.pk))
-    return sized_join(present, meets_all, t.pk, "left_anti", t.pk)
+    suspects = t.where((x1 >= box[0]) & (y1 >= box[1]) & (x0 <= box[2]) & (y0 <= box[3]))
+    pairs = _pairs(suspects, s, ("intersects",), radius, plan)
+    return pairs.groupBy(*t.pk).count().where(F.col("count") == n).select(*t.pk)
 
 
 def small_source(source: Layer) -> bool:
@@ -592,15 +622,14 @@ def filter_many(targets: dict[str, Layer], source: Layer, predicates=("intersect
                 ) -> dict[str, DataFrame]:
     """The same filter on many layers.
 
-    The source is persisted for all of them (``unpersist`` it through the session when done), and one plan
-    serves all point layers as long as it broadcasts: such a plan depends on the source alone.
+    One plan serves all point layers as long as it broadcasts: such a plan depends on the source alone. A source that
+    is dear to make is best persisted, or written, by the caller, who knows when to release it.
     """
-    shared = source.with_df(source.df.persist())
     found, plan = {}, options.pop("plan", None)
     for name, layer in targets.items():
         alike = not options and layer.geometry.kind == "point" and layer.crs == source.crs
         if alike and plan is None:
-            first = plan_join(layer, shared, radius)
+            first = plan_join(layer, source, radius)
             plan = first if first.strategy == "broadcast" else None
-        found[name] = spatial_filter(layer, shared, predicates, radius, plan=plan if alike else None, **options)
+        found[name] = spatial_filter(layer, source, predicates, radius, plan=plan if alike else None, **options)
     return found

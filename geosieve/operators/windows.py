@@ -7,6 +7,7 @@ range of ids); windows run inside (group, bucket), and only one summary row per
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,13 @@ def _named(order: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in order]
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys are equal; the result has the keys of ``left``."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    test = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_same_{k}`")) for k in keys])
+    return left.join(other, test, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def bucketed_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], bucket: Column,
                   name: str = "rank") -> DataFrame:
     """Row number within the group; ``bucket`` must never fall when the order rises."""
@@ -27,7 +35,7 @@ def bucketed_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], buc
     before = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*group, BUCKET).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = local.join(sizes, [*group, BUCKET])
+    joined = same_keys(local, sizes, [*group, BUCKET])
     return joined.withColumn(name, F.col("_local") + F.col("_before")).drop("_local", "_before", BUCKET)
 
 
@@ -47,7 +55,7 @@ def bucketed_neighbour(df: DataFrame, group: Sequence[str], order: Sequence[str]
     shift = F.lag if step < 0 else F.lead
     per_bucket = per_bucket.withColumn("_far", shift("_edge").over(outer)).drop("_edge")
     near = rows.withColumn("_near", shift(pick).over(inner))
-    found = near.join(per_bucket, [*group, BUCKET]).withColumn("_found", F.coalesce("_near", "_far"))
+    found = same_keys(near, per_bucket, [*group, BUCKET]).withColumn("_found", F.coalesce("_near", "_far"))
     return found.withColumns({new: F.col("_found")[new] for new in values}).drop("_near", "_far", "_found", BUCKET)
 
 
@@ -97,14 +105,15 @@ def range_rule(ids: DataFrame, column: str, bucket_size: int = 1_000_000) -> Dat
     return found.withColumns({"n_gaps": gaps, "form": rule})
 
 
-def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median", buckets: int = 1024,
+def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median", buckets: int = 128,
                  weight: str | None = None) -> DataFrame:
-    """(group, median) over the non-NULL values, exact, without sorting a group in one task.
+    """(group, median) over the non-NULL values, exact as doubles, without sorting a group in one task.
 
     With ``weight`` the rows are distinct values of a group already, and the column says how often each occurs.
 
-    Equal values are counted first. A group's range is cut into buckets, the bucket of the middle rank is
-    found from the bucket counts, and only its distinct values are ranked.
+    Equal values are counted first. A group's distinct values are cut at approximate quantiles of theirs, so that
+    outliers crowd no bucket; the bucket of the middle rank is found from the bucket counts, and only its distinct
+    values are ranked. Rows of the NULL group are a group.
     """
     group = list(group)
     present = df.where(F.col(value).isNotNull())
@@ -113,10 +122,10 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "m
         counted = present.groupBy(*group, v).agg(F.count("*").alias("_n"))
     else:
         counted = present.select(*group, v, F.col(weight).alias("_n"))
-    spans = counted.groupBy(*group).agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    placed = counted.join(spans, group).withColumn(
-        BUCKET, F.floor(F.coalesce(width, F.lit(0.0)) * buckets).cast("int"))
+    cuts = F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], F.lit(100 * buckets))
+    spans = counted.groupBy(*group).agg(F.sum("_n").alias("_total"), F.array_distinct(cuts).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_v")))
+    placed = same_keys(counted, spans, group).withColumn(BUCKET, below).drop("_cuts")
     per_bucket = placed.groupBy(*group, BUCKET).agg(F.sum("_n").alias("_m"), F.max("_total").alias("_total"))
     before = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))
@@ -125,7 +134,7 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, name: str = "m
     middle = per_bucket.where(((first >= F.col("_start")) & (first < end)) | (
         (second >= F.col("_start")) & (second < end))).select(*group, BUCKET, "_start")
     inner = Window.partitionBy(*group, BUCKET).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(middle, [*group, BUCKET]).withColumn("_end", F.col("_start") + F.sum("_n").over(inner))
+    ranked = same_keys(placed, middle, [*group, BUCKET]).withColumn("_end", F.col("_start") + F.sum("_n").over(inner))
     holds = [(rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")) for rank in (first, second)]
     return ranked.groupBy(*group).agg(
         ((F.max(F.when(holds[0], F.col("_v"))) + F.max(F.when(holds[1], F.col("_v")))) / 2).alias(name))

@@ -372,3 +372,25 @@ def l9(spark, sf_dir):
 SELECT project, count(*) AS n FROM {FILTER_LOG} l GROUP BY 1 ORDER BY n DESC, project LIMIT 5""")
 def l9_top(spark, sf_dir):
     return ag.top_counts(filter_log(spark, sf_dir), "project")
+
+
+@register("a7_array_agg_nulls", """
+SELECT k, (rn - 1) // 100 AS chunk, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) AS order_keys FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY o_orderkey) AS rn FROM (
+    SELECT nullif(o_custkey % 5, 0) AS k, o_orderkey FROM orders)) GROUP BY 1, 2""")
+def a7_array_nulls(spark, sf_dir):
+    rows = ly.table(spark, sf_dir, "orders").select(F.nullif(col("o_custkey") % 5, F.lit(0)).alias("k"), "o_orderkey")
+    found = ag.array_agg(rows, ["k"], ["o_orderkey"], "o_orderkey", F.floor(col("o_orderkey") / 5000), chunk_rows=100)
+    return found.select("k", "chunk", F.array_join("values", ",").alias("order_keys"))
+
+
+@register("l3_previous_nulls", """
+SELECT id, layer, subset_string, lag(subset_string) OVER (PARTITION BY project, layer ORDER BY seq_order) AS previous_subset
+FROM (SELECT event_id AS id, user_id % 3 AS project, nullif(user_id % 4, 0) AS layer, event_id AS seq_order,
+  event_type AS subset_string FROM events)""")
+def l3_previous_nulls(spark, sf_dir):
+    log = ly.table(spark, sf_dir, "events").select(
+        col("event_id").alias("id"), (col("user_id") % 3).alias("project"),
+        F.nullif(col("user_id") % 4, F.lit(0)).alias("layer"), col("event_id").alias("seq_order"),
+        col("event_type").alias("subset_string"))
+    return lg.with_previous(log).select("id", "layer", "subset_string", "previous_subset")

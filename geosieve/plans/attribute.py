@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geosieve.functions import expressions as ex
 from geosieve.functions.crs import METRIC
 from geosieve.layer import Layer
+from geosieve.operators import filter_log as lg
 from geosieve.operators import filters as fl
 from geosieve.operators import joins as jn
 from geosieve.plans import layers as ly
@@ -179,6 +180,13 @@ def f6_similar(spark, sf_dir):
         "p_partkey", "p_brand")
 
 
+@register("f6_similar_to_literal_dots", r"""
+SELECT p_partkey FROM part WHERE regexp_full_match(p_brand || '.' || p_size, 'Brand#.*1\.1.')""")
+def f6_dots(spark, sf_dir):
+    text = F.concat("p_brand", F.lit("."), "p_size")
+    return parts(spark, sf_dir).df.where(ex.matches(text, "SIMILAR TO", "Brand#%1.1_")).select("p_partkey")
+
+
 @register("f7_null_tests", """
 SELECT o_orderkey, l_returned IS NULL AS is_missing, l_returned IS NOT NULL AS is_known FROM (
   SELECT o_orderkey, max(l_shipdate) AS l_returned FROM orders
@@ -394,6 +402,19 @@ def c7(spark, sf_dir):
     return chain.clear().apply().select("o_orderkey")
 
 
+@register("c7_reset", """
+SELECT o_orderkey FROM orders WHERE o_orderstatus = (
+  SELECT CASE event_id % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END FROM events WHERE user_id % 7 = 2
+  ORDER BY ts DESC, event_id DESC LIMIT 1)""")
+def c7_reset(spark, sf_dir):
+    """The last filter that was saved for one layer of the log."""
+    status = F.when(col("event_id") % 3 == 0, "F").when(col("event_id") % 3 == 1, "O").otherwise("P")
+    log = ly.table(spark, sf_dir, "events").select(
+        (col("user_id") % 7).alias("layer"), F.struct("ts", "event_id").alias("seq_order"),
+        F.concat(F.lit("o_orderstatus = '"), status, F.lit("'")).alias("subset_string"))
+    return lg.reset_filter(orders(spark, sf_dir), log, {"layer": 2}).df.select("o_orderkey")
+
+
 # --- selections ------------------------------------------------------------------------------------------
 
 

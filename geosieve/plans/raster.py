@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geosieve.layer import Layer, PointColumns
 from geosieve.operators import raster as rs
+from geosieve.operators.windows import exact_median
 from geosieve.plans import layers as ly
 from geosieve.plans.registering import register
 
@@ -114,3 +115,19 @@ def r8(spark, sf_dir):
         Layer(cloud.df, cloud.pk, PointColumns(), cloud.crs), [2, 5, 6], (10, 30), "l_discount > 0.02",
         ly.zones(spark, sf_dir).where("n_regionkey = 4"), "l_linenumber", "l_quantity")
     return kept.select(*cloud.pk)
+
+
+@register("r4_median_nulls", """
+SELECT nullif(o_orderstatus, 'F') AS status, median(o_totalprice) AS middle FROM orders GROUP BY 1""")
+def r4_median_nulls(spark, sf_dir):
+    rows = ly.table(spark, sf_dir, "orders").select(F.nullif("o_orderstatus", F.lit("F")).alias("status"), "o_totalprice")
+    return exact_median(rows, ["status"], "o_totalprice", "middle")
+
+
+@register("r4_sampling_stats_empty", """
+SELECT count(*) AS total, 0 AS sampled, 0 AS nodata, 0 AS matching, NULL::INTEGER AS min_value, NULL::INTEGER AS max_value,
+  NULL::DOUBLE AS mean_value, NULL::DOUBLE AS std_value, NULL::DOUBLE AS median_value
+FROM orders WHERE o_totalprice < 0""")
+def r4_empty(spark, sf_dir):
+    """No points to sample: counts are 0, statistics are absent."""
+    return rs.sampling_stats(rs.sample(ly.order_points(spark, sf_dir).where("o_totalprice < 0"), line_raster(spark, sf_dir)))

@@ -171,13 +171,13 @@ def j8_all(spark, sf_dir):
 
 @register("j8_disjoint_any", f"""
 SELECT o_orderkey FROM {ly.ORDER_POINTS} t
-WHERE EXISTS (SELECT 1 FROM {ly.ZONES} s WHERE s.n_nationkey IN (3, 8) AND {GAP.replace('s.x', '(s.x0 + 100)').replace('s.y', '(s.y0 + 100)')} > 40000)""")
+WHERE EXISTS (SELECT 1 FROM {ly.ZONES} s WHERE {GAP.replace('s.x', '(s.x0 + 100)').replace('s.y', '(s.y0 + 100)')} > 490000)""")
 def j8_any(spark, sf_dir):
-    """Two overlapping discs around zone centres: only points in both are left out."""
-    zones = ly.zones(spark, sf_dir).where("n_nationkey IN (3, 8)")
+    """Discs around all zone centres: only points in every one are left out."""
+    zones = ly.zones(spark, sf_dir)
     centres = Layer(zones.df.withColumns({"cx": col("x0") + 100, "cy": col("y0") + 100}), zones.pk,
                     ly.PointColumns("cx", "cy"), zones.crs)
-    return sp.spatial_filter(ly.order_points(spark, sf_dir), centres, "disjoint", radius=200).select("o_orderkey")
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), centres, "disjoint", radius=700).select("o_orderkey")
 
 
 @register("j8_disjoint_or_touches", f"""
@@ -371,3 +371,84 @@ def g7_targets(spark, sf_dir):
     zones = ly.zones(spark, sf_dir).where("n_regionkey = 1")
     return sp.spatial_filter(ly.part_boxes(spark, sf_dir), zones, use_centroids="target", point_mode="centroid").select(
         "p_partkey")
+
+
+@register("j8_disjoint_any_eroded", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s
+  WHERE s.xmax - s.xmin > 12 AND s.ymax - s.ymin > 12 AND NOT (t.x BETWEEN s.xmin + 6 AND s.xmax - 6
+  AND t.y BETWEEN s.ymin + 6 AND s.ymax - 6))""")
+def j8_eroded(spark, sf_dir):
+    """Most boxes vanish when shrunk; they are not sources that a point could be apart from."""
+    return sp.spatial_filter(ly.order_points(spark, sf_dir), ly.part_boxes(spark, sf_dir), "disjoint", radius=-6).select(
+        "o_orderkey")
+
+
+# --- flat boxes and point shapes ---------------------------------------------------------------------
+
+
+def _flat(spark, sf_dir, every: int) -> Layer:
+    """Part boxes, of which some are cut down to their left and some to their lower side."""
+    boxes = ly.part_boxes(spark, sf_dir)
+    rest = col("p_partkey") % every
+    return boxes.with_df(boxes.df.withColumns({
+        "xmax": F.when(rest == 1, col("xmin")).otherwise(col("xmax")),
+        "ymax": F.when(rest == 2, col("ymin")).otherwise(col("ymax"))}))
+
+
+def _flat_sql(every: int) -> str:
+    return (f"(SELECT p_partkey, xmin, ymin, if(p_partkey % {every} = 1, xmin, xmax) AS xmax, "
+            f"if(p_partkey % {every} = 2, ymin, ymax) AS ymax FROM {ly.PART_BOXES} p)")
+
+
+def _insides(c: str) -> str:
+    t0, t1, s0, s1 = f"t.{c}min", f"t.{c}max", f"s.{c}min", f"s.{c}max"
+    return (f"CASE WHEN {t0} = {t1} AND {s0} = {s1} THEN {t0} = {s0} WHEN {t0} = {t1} THEN {t0} > {s0} AND {t0} < {s1} "
+            f"WHEN {s0} = {s1} THEN {s0} > {t0} AND {s0} < {t1} ELSE {t0} < {s1} AND {s0} < {t1} END")
+
+
+_T_IN_S = "t.xmin >= s.xmin AND t.xmax <= s.xmax AND t.ymin >= s.ymin AND t.ymax <= s.ymax"
+_S_IN_T = "s.xmin >= t.xmin AND s.xmax <= t.xmax AND s.ymin >= t.ymin AND s.ymax <= t.ymax"
+_MEET = "t.xmin <= s.xmax AND t.xmax >= s.xmin AND t.ymin <= s.ymax AND t.ymax >= s.ymin"
+_INNER = f"({_insides('x')}) AND ({_insides('y')})"
+_DIM = "((({0}.xmax > {0}.xmin)::INT) + (({0}.ymax > {0}.ymin)::INT))"
+_DIMS = f"{_DIM.format('t')}, {_DIM.format('s')}"
+_SAME_WAY = "(t.xmax > t.xmin) = (s.xmax > s.xmin) AND (t.ymax > t.ymin) = (s.ymax > s.ymin)"
+FLAT = {
+    "intersects": _MEET,
+    "touches": f"{_MEET} AND NOT ({_INNER})",
+    "within": f"{_T_IN_S} AND {_INNER}",
+    "contains": f"{_S_IN_T} AND {_INNER}",
+    "covers": _S_IN_T,
+    "coveredby": _T_IN_S,
+    "equals": f"{_T_IN_S} AND {_S_IN_T}",
+    "overlaps": f"{_SAME_WAY} AND {_INNER} AND NOT ({_T_IN_S}) AND NOT ({_S_IN_T})",
+    "crosses": f"{_INNER} AND (({_DIMS}) IN ((1, 2), (2, 1)) AND NOT ({_T_IN_S}) AND NOT ({_S_IN_T}) "
+               f"OR ({_DIMS}) = (1, 1) AND NOT ({_SAME_WAY}))",
+}
+
+
+def _register_flat(name: str, test: str) -> None:
+    @register(f"g15_flat_boxes_{name}", f"""
+SELECT t.p_partkey AS t_p_partkey, s.p_partkey AS s_p_partkey FROM {_flat_sql(3)} t, {_flat_sql(4)} s WHERE {test}""")
+    def pairs(spark, sf_dir):
+        return sp.spatial_pairs(_flat(spark, sf_dir, 3), _flat(spark, sf_dir, 4), name)
+
+
+for _name, _test in FLAT.items():
+    _register_flat(_name, _test)
+
+
+def _register_points(name: str, shape_first: bool) -> None:
+    side = "shape_points" if shape_first else "point_shapes"
+
+    @register(f"g15_{side}_{name}", f"""
+SELECT o_orderkey FROM {ly.ORDER_POINTS} t WHERE EXISTS (SELECT 1 FROM {ly.LINE_POINTS} s WHERE t.x = s.x AND t.y = s.y)""")
+    def found(spark, sf_dir):
+        target, source = ly.order_points(spark, sf_dir), ly.line_points(spark, sf_dir)
+        target, source = (target.as_shapes(), source) if shape_first else (target, source.as_shapes())
+        return sp.spatial_filter(target, source, name).select("o_orderkey")
+
+
+for _name in ("intersects", "equals", "contains", "within", "covers", "coveredby"):
+    _register_points(_name, False)
+    _register_points(_name, True)

@@ -47,7 +47,7 @@ def t2(spark, sf_dir):
     out = _folder(spark)
     points = ly.event_points(_events(spark, sf_dir))
     fences = ly.zones(spark, sf_dir).where("n_regionkey IN (0, 3)")
-    hits = st.geofence(Layer(points.df, points.pk, PointColumns(), points.crs), fences, "ts")
+    hits = st.geofence(Layer(points.df, points.pk, PointColumns(), points.crs), fences)
     st.export_stream(hits.select("event_id", "user_id"), f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 

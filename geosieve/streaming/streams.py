@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from geosieve.layer import Layer
-from geosieve.operators.spatial import JoinPlan, plan_join, spatial_join
+from geosieve.operators.spatial import JoinPlan, plan_join, spatial_filter
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
@@ -27,17 +27,15 @@ def export_stream(stream: DataFrame, path: str, checkpoint: str, fmt: str = "par
     )
 
 
-def geofence(points: Layer, fences: Layer, time: str, delay: str = "10 minutes", predicates=("intersects",),
-             radius=None, plan: JoinPlan | None = None) -> DataFrame:
-    """Points of a stream that stand in a fence, each once within the delay.
+def geofence(points: Layer, fences: Layer, predicates=("intersects",), radius=None, plan: JoinPlan | None = None
+             ) -> DataFrame:
+    """Points of a stream that stand in a fence: a semi-join of each batch with the static fences.
 
-    The fences are static: they are measured once, and joined on grid cells in every batch.
+    It keeps no state, so every point is judged once, however late it comes and whatever batch it is in. The fences
+    are measured once, and joined on grid cells in every batch.
     """
     plan = replace(plan or plan_join(points, fences, radius), hot=())  # cells crowded once need not stay so
-    timed = points.df.withColumn(time, F.col(time).cast("timestamp"))  # a watermark needs an instant
-    watched = points.with_df(timed.withWatermark(time, delay))
-    hits = spatial_join(watched, fences, predicates, radius, plan)
-    return hits.drop(*[f"s_{k}" for k in fences.pk]).dropDuplicatesWithinWatermark(list(points.pk))
+    return spatial_filter(points, fences, predicates, radius, plan=plan)
 
 
 def latest_stream(log: DataFrame, path: str, checkpoint: str, key: Sequence[str] = ("project", "layer"),

@@ -19,6 +19,7 @@ from geosieve.operators import joins as jn
 from geosieve.operators import profile as pf
 from geosieve.operators import raster as rs
 from geosieve.operators import windows as wn
+from geosieve.operators.spatial import spatial_filter
 from geosieve.sizing import checkpoint_dir, sized_join
 from geosieve.sources import readers, writers
 from geosieve.streaming import streams
@@ -316,7 +317,7 @@ def test_streams_equal_batches(spark, tmp_path):
     feed = lambda: streams.read_stream(spark, f"{tmp_path}/in", rows.schema, max_files=1)
     fence = Layer(spark.createDataFrame([(1, 2.0, 2.0, 5.0, 5.0), (2, 3.0, 3.0, 5.5, 5.5)],
                                         "fid long, xmin double, ymin double, xmax double, ymax double"), "fid", BoxColumns())
-    hits = streams.geofence(Layer(feed(), "id", PointColumns()), fence, "ts")
+    hits = streams.geofence(Layer(feed(), "id", PointColumns()), fence)
     streams.export_stream(hits, f"{tmp_path}/hits", f"{tmp_path}/c1").awaitTermination()
     expected = values(rows.where("x BETWEEN 2 AND 5.5 AND y BETWEEN 2 AND 5.5 AND (x <= 5 AND y <= 5 OR x >= 3 AND y >= 3)"))
     assert values(spark.read.parquet(f"{tmp_path}/hits")) == expected
@@ -333,3 +334,81 @@ def test_layer_checks_its_columns(spark):
         Layer(spark.range(1), "nope", None)
     with pytest.raises(ValueError):
         Layer(spark.range(1), "id", PointColumns())
+
+
+def test_geofence_does_not_depend_on_batches(spark, tmp_path):
+    """Files whose times overlap by days, one per batch, fences of two size levels."""
+    rows = spark.range(600).select(
+        "id", (F.col("id") % 37 * 3).cast("double").alias("x"), (F.col("id") % 41 * 2).cast("double").alias("y"),
+        F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(10 * 86400))).alias("ts"))
+    rows.repartition(6).write.parquet(f"{tmp_path}/in")
+    boxes = [(1, 0.0, 0.0, 60.0, 60.0), (2, 90.0, 70.0, 91.0, 71.0), (3, 30.0, 30.0, 32.0, 33.0)]
+    fence = Layer(spark.createDataFrame(boxes, "fid long, xmin double, ymin double, xmax double, ymax double"), "fid",
+                  BoxColumns())
+    for files in (1, 100):
+        feed = streams.read_stream(spark, f"{tmp_path}/in", rows.schema, max_files=files)
+        hits = streams.geofence(Layer(feed, "id", PointColumns()), fence)
+        streams.export_stream(hits, f"{tmp_path}/hits{files}", f"{tmp_path}/c{files}").awaitTermination()
+        expected = rows.where("x <= 60 AND y <= 60 OR x BETWEEN 90 AND 91 AND y BETWEEN 70 AND 71")
+        assert values(spark.read.parquet(f"{tmp_path}/hits{files}")) == values(expected)
+
+
+def test_similar_to_takes_dots_literally(spark):
+    rows = spark.createDataFrame([("a.b",), ("axb",), ("a\nb",), ("a^$b",)], "t string")
+    hits = lambda p: {r.t for r in rows.where(ex.matches(F.col("t"), "SIMILAR TO", p)).collect()}
+    assert hits("a.b") == {"a.b"} and hits("a_b") == {"a.b", "axb", "a\nb"} and hits("a^$b") == {"a^$b"}
+    assert hits("a[.x]b") == {"a.b", "axb"} and hits("a\\%b") == set() and hits("a%") == {r.t for r in rows.collect()}
+
+
+def test_boxes_off_the_grid_are_an_error(spark):
+    boxes = spark.createDataFrame([(1, 0.2, 0.2, 0.8, 0.8)], "id long, xmin double, ymin double, xmax double, ymax double")
+    with pytest.raises(Exception, match="aligned"):
+        ag.dissolve_boxes(Layer(boxes, "id", BoxColumns()), [], 1.0).collect()
+
+
+def test_vanished_sources_do_not_count(spark):
+    ddl = "id long, xmin double, ymin double, xmax double, ymax double"
+    point = Layer(spark.createDataFrame([(1, 50.0, 50.0)], "id long, x double, y double"), "id", PointColumns())
+    big, small = (1, 0.0, 0.0, 100.0, 100.0), (2, 900.0, 900.0, 902.0, 902.0)
+    for rows, any_, all_ in (([big, small], 0, 0), ([small], 0, 1)):
+        boxes = Layer(spark.createDataFrame(rows, ddl), "id", BoxColumns())
+        assert spatial_filter(point, boxes, "disjoint", radius=-5).count() == any_
+        assert spatial_filter(point, boxes, "disjoint", radius=-5, mode="all").count() == all_
+
+
+def test_rows_without_a_key_stay_apart(spark):
+    points = spark.createDataFrame([(None, 50.0, 50.0), (1, 0.0, 1.0), (None, 0.5, 0.5)], "id long, x double, y double")
+    box = Layer(spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0)], "id long, xmin double, ymin double, xmax double, ymax double"),
+                "id", BoxColumns())
+    found = spatial_filter(Layer(points, "id", PointColumns()), box, ("disjoint", "touches"), mode="all")
+    assert sorted(r.x for r in found.collect()) == [0.0, 50.0]
+
+
+def test_median_with_an_outlier_and_a_null_group(spark):
+    rows = spark.range(20_001).select(F.when(F.col("id") % 2 == 0, "a").alias("g"), F.col("id").cast("double").alias("v"))
+    rows = rows.union(spark.createDataFrame([("a", 1e18)], "g string, v double"))
+    got = {r.g: r.m for r in wn.exact_median(rows, ["g"], "v", "m").collect()}
+    assert got == {"a": 10001.0, None: 10000.0}
+
+
+def test_the_scan_is_pruned_by_the_source_extent(spark, tmp_path, capsys):
+    spark.range(1000).select("id", F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y")).write.parquet(
+        f"{tmp_path}/points")
+    points = Layer(spark.read.parquet(f"{tmp_path}/points"), "id", PointColumns())
+    box = Layer(spark.createDataFrame([(1, 10.0, 10.0, 20.0, 20.0)], "id long, xmin double, ymin double, xmax double, ymax double"),
+                "id", BoxColumns())
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    found = spatial_filter(points, box)
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(x," in plan and "LessThanOrEqual(y," in plan
+    assert found.count() == 11
+
+
+def test_reset_to_the_last_saved_filter(spark):
+    layer = Layer(spark.range(10), "id", None)
+    log = spark.createDataFrame([("a", 1, "id > 7"), ("a", 2, "id > 3"), ("b", 9, "id > 8"), (None, 1, "id = 0"),
+                                 ("c", 1, "")], "layer string, seq_order int, subset_string string")
+    counts = [lg.reset_filter(layer, log, {"layer": k}).df.count() for k in ("a", "b", None, "c", "d")]
+    assert counts == [6, 1, 1, 10, 10]
