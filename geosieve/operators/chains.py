@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 
 from geosieve.functions.expressions import as_column
 from geosieve.layer import Layer
-from geosieve.operators.spatial import JoinPlan, Radius, spatial_filter
+from geosieve.operators.spatial import JoinPlan, Radius, plan_filter, spatial_filter
 from geosieve.sizing import settle
 
 
@@ -20,6 +20,10 @@ class SpatialStep:
     radius: Radius = None
     plan: JoinPlan | None = None
 
+    def measured(self, target: Layer) -> SpatialStep:
+        """The step with its plan; what is left of ``target`` after a filter can use it too."""
+        return self if self.plan else replace(self, plan=plan_filter(target, self.source, self.radius))
+
     def apply(self, target: Layer) -> Layer:
         return target.with_df(spatial_filter(target, self.source, self.predicates, self.radius, plan=self.plan))
 
@@ -42,7 +46,9 @@ def chain(target: Layer, steps: Sequence[SpatialStep], mode: str = "target",
         if earlier:
             # measured and then joined, so it is worth keeping
             source = source.with_df(settle(source.df))
-    else:
-        for step in earlier:
-            target = step.apply(target)
-    return SpatialStep(source, last.predicates, last.radius, last.plan).apply(target).df
+        return replace(last, source=source).apply(target).df
+    # all steps are measured against the unfiltered target, else each one would run all before it
+    planned = [step.measured(target) for step in [*earlier, replace(last, source=source)]]
+    for step in planned:
+        target = step.apply(target)
+    return target.df

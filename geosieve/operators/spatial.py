@@ -475,6 +475,12 @@ def spatial_filter(target: Layer, source: Layer, predicates=("intersects",), rad
     return _matching(t, s, names, radius, plan, found=True).select(*columns)
 
 
+def plan_filter(target: Layer, source: Layer, radius: Radius = None) -> JoinPlan:
+    """The plan of a ``spatial_filter`` with these layers, for use with it or with parts of the target."""
+    t, s = _sides(target, source, None, "point_on_surface", False)
+    return plan_join(t, s, radius)
+
+
 def _matching(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan, found: bool) -> DataFrame:
     """Targets with (or, for ``found=False``, without) a matching source."""
     keep_shape = "shape" in (t.geometry.kind, s.geometry.kind) and t.geometry.kind != "point"

@@ -320,3 +320,19 @@ def test_ingest_keeps_bad_rows_apart(spark):
     assert out[9][0] == ("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 9 5, 9 9, 5 5), "
                          "(6 5.5, 7 5.5, 7 6, 6 5.5)))")
     assert out[10][0] == "LINESTRING (0 0, 1 1)" and out[11][0] == "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))"
+
+
+def test_chain_steps_are_measured_on_the_base(spark):
+    """Jobs before any action grow with the number of steps, not with its square, and read no earlier step."""
+    target = boxes(spark, random_boxes(300, 5))
+    sources = [boxes(spark, random_boxes(20, 50 + i)) for i in range(4)]
+    jobs = []
+    for n in (1, 2, 4):
+        spark.sparkContext.setJobGroup(f"chain{n}", "chain")
+        df = chains.chain(target, [chains.SpatialStep(s) for s in sources[:n]])
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain{n}")))
+        expected = {t[0] for t in random_boxes(300, 5)
+                    if all(any(meets(t, s) for s in random_boxes(20, 50 + i)) for i in range(n))}
+        assert ids(df) == expected
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] == 2 * jobs[0] and jobs[2] == 4 * jobs[0]
