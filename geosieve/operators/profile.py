@@ -89,7 +89,7 @@ def spatial_selectivity(source: Layer, target: Layer, predicate: str = "intersec
                        .alias("selectivity"))
 
 
-def key_candidates(df: DataFrame, exact: bool = False) -> list[tuple[int, str]]:
+def key_candidates(df: DataFrame) -> list[tuple[int, str]]:
     """Columns that may be the key with the rank of their rule, best first; read from the schema alone."""
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
 

@@ -39,15 +39,25 @@ def geofence(points: Layer, fences: Layer, predicates=("intersects",), radius=No
 
 
 def latest_stream(log: DataFrame, path: str, checkpoint: str, key: Sequence[str] = ("project", "layer"),
-                  order: str = "seq_order") -> StreamingQuery:
+                  order: str = "seq_order", merge_every: int = 16) -> StreamingQuery:
     """Keeps the latest entry per key of an append-only stream.
 
-    Every batch is reduced to one row per key and written to its own folder, overwritten when the batch is
-    retried; ``read_latest`` takes the maximum over the folders.
+    Every batch is reduced to one row per key and written to a folder of its own, overwritten when the batch is
+    retried. Each ``merge_every`` batches are merged with the state before them into one of two state folders by
+    turns; batch folders are used anew once two states hold what is in them. So there are never more than
+    ``2 * merge_every + 2`` folders, and ``read_latest`` takes the maximum over them.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        latest_of(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        latest = latest_of(batch, key, order)
+        folder = lambda i: f"{path}/slot=batch{i % (2 * merge_every)}"
+        latest.write.mode("overwrite").parquet(folder(batch_id))
+        block, place = divmod(batch_id, merge_every)
+        if place == merge_every - 1:
+            parts = [folder(i) for i in range(block * merge_every, batch_id + 1)]
+            parts += [f"{path}/slot=state{(block - 1) % 2}"] if block else []
+            whole = batch.sparkSession.read.schema(latest.schema).parquet(*parts)
+            latest_of(whole, key, order).write.mode("overwrite").parquet(f"{path}/slot=state{block % 2}")
 
     return (
         log.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
@@ -62,4 +72,4 @@ def latest_of(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 def read_latest(spark: SparkSession, path: str, key: Sequence[str] = ("project", "layer"),
                 order: str = "seq_order") -> DataFrame:
-    return latest_of(spark.read.parquet(path).drop("batch"), key, order)
+    return latest_of(spark.read.parquet(path).drop("slot"), key, order)

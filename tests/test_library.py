@@ -412,3 +412,17 @@ def test_reset_to_the_last_saved_filter(spark):
                                  ("c", 1, "")], "layer string, seq_order int, subset_string string")
     counts = [lg.reset_filter(layer, log, {"layer": k}).df.count() for k in ("a", "b", None, "c", "d")]
     assert counts == [6, 1, 1, 10, 10]
+
+
+def test_latest_entries_stay_in_few_folders(spark, tmp_path):
+    rows = spark.range(400).select(
+        (F.col("id") % 3).alias("layer"), F.lit(0).alias("project"), F.pmod(F.xxhash64("id"), F.lit(10_000)).alias("seq_order"),
+        F.col("id").cast("string").alias("subset_string")).dropDuplicates(["layer", "seq_order"])
+    rows.repartition(11).write.parquet(f"{tmp_path}/in")
+    feed = streams.read_stream(spark, f"{tmp_path}/in", rows.schema, max_files=1)
+    streams.latest_stream(feed, f"{tmp_path}/latest", f"{tmp_path}/state", merge_every=2).awaitTermination()
+    columns = ["layer", "project", "seq_order", "subset_string"]
+    got, expected = (sorted(map(tuple, df.select(*columns).collect())) for df in (
+        streams.read_latest(spark, f"{tmp_path}/latest"), lg.last_filters(rows)))
+    assert got == expected and len(got) == 3
+    assert len(list((tmp_path / "latest").glob("slot=*"))) == 6
