@@ -10,6 +10,7 @@ from geosieve.llm.chat import format_chats, read_back, streamed
 from geosieve.llm.common import table
 from geosieve.llm.fingerprints import edited_fingerprints
 from geosieve.llm.packing import pack, token_pieces
+from geosieve.llm import quality
 from geosieve.llm.quality import quality_rules
 from geosieve.llm.sentence_pieces import decode, encode
 from geosieve.llm.license_scan import scan_licenses
@@ -46,7 +47,43 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(streamed(rows)))
 
 
-@query("op8_quality_rules")
+def _quality_sql() -> str:
+    gap, space = r"[\x20\x09-\x0D]+", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def words(x: str) -> str:
+        return f"list_filter(regexp_split_to_array({x}, '{gap}'), lambda y: y <> '')"
+
+    def count(x: str, characters: str) -> str:
+        return f"(length({x}) - length(translate({x}, '{characters}', '')))"
+
+    n, size = f"len({words('x')})", "length(x)"
+    fails = f"""trim(x, {space}) <> '' AND ({count('x', quality.SEPARATORS)} >= 3
+      OR regexp_matches(trim(x, {space}), '(?i)^({quality.LINK_NAMES})$') OR {count('x', quality.SYMBOLS)} * 10 >= {size}
+      OR ({n} >= 4 AND {count('x', quality.PUNCTUATION)} = 0)
+      OR ({size} <= 200 AND regexp_matches(x, '(?i)({quality.BOILERPLATE})'))
+      OR ({n} >= 4 AND lower(x) <> x AND upper(x) = x)
+      OR ({n} >= 10 AND len(list_distinct({words('x')})) * 4 <= {n}))"""
+    full = f"list_filter(ls, lambda x: trim(x, {space}) <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {words('t')} AS ws, string_split(t, chr(10)) AS ls FROM d),
+good AS (SELECT doc_id, list_filter(ls, lambda x: NOT ({fails})) AS kept_lines FROM w),
+places AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i
+  FROM w)),
+again AS (SELECT doc_id, i FROM places QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (SELECT doc_id, sum(k) AS n FROM (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i,
+  5)) AS k FROM again) GROUP BY 1),
+counts AS (SELECT w.doc_id, len(ws) AS n_words, length(translate(t, {space}, '')) AS word_chars,
+  {count('t', quality.SYMBOLS)} AS n_symbols, len({full}) - len(list_distinct({full})) AS n_dup_lines,
+  coalesce(covered.n, 0) AS n_repeat_words, len({full}) AS n_lines, len(ls) - len(kept_lines) AS n_removed_lines,
+  length(translate(t, {space}, '')) - length(translate(array_to_string(kept_lines, ''), {space}, '')) AS n_lost_chars
+  FROM w JOIN good ON good.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id)
+SELECT *, n_words < {quality.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality.MAX_REPEAT_PERCENT} AS base_failed,
+  NOT (n_words < {quality.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality.MAX_REPEAT_PERCENT})
+  AND n_lost_chars * 100 <= word_chars * {quality.MAX_LOST_PERCENT} AS kept FROM counts"""
+
+
+@query("op8_quality_rules", _quality_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
