@@ -64,56 +64,94 @@ def _summaries(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_batches(kinds, 1, make), kinds)
 
 
+def _anchor_places(n_words: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where anchors begin among the words of all texts, whose they are, and their place in the text."""
+    n = np.diff(begin)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n_words) - begin[owner]
+    i = np.flatnonzero(_COVERED[at % PERIOD] & (at + ANCHOR <= n[owner]) & (n[owner] >= LENGTH))
+    return i, owner[i], at[i]
+
+
+def _own(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes that tell the texts apart too."""
+    return mix(hashes ^ mix(owner.astype(np.uint64)))
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
+    """The first place of each distinct anchor of each row (doc_id, text)."""
     kinds = "h long, doc_id long, at int"
 
     def make(rows: pa.RecordBatch, texts: list[bytes]) -> list[pa.Array]:
         words, begin = hash_words(texts)
-        n = np.diff(begin)
-        owner = np.repeat(np.arange(len(texts)), n)
-        at = np.arange(len(words)) - begin[owner]
-        i = np.flatnonzero(_COVERED[at % PERIOD] & (at + ANCHOR <= n[owner]) & (n[owner] >= LENGTH))
-        h = span_hashes(span_sums(words), i, i + ANCHOR).view(np.int64)
-        return [pa.array(h), rows.column(0).take(pa.array(owner[i])), pa.array(at[i].astype(np.int32))]
+        i, owner, at = _anchor_places(len(words), begin)
+        h = span_hashes(span_sums(words), i, i + ANCHOR)
+        first = np.sort(np.unique(_own(h, owner), return_index=True)[1])
+        return [pa.array(h[first].view(np.int64)), rows.column(0).take(pa.array(owner[first])),
+                pa.array(at[first].astype(np.int32))]
 
     return docs.mapInArrow(_batches(kinds, 1, make), kinds)
 
 
+def _window_hashes(words: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and an independent 32-bit hash of the windows that begin at ``i``."""
+    other = span_hashes(span_sums(mix(words ^ np.uint64(0xA0761D6478BD642F))), i, i + LENGTH)
+    return span_hashes(span_sums(words), i, i + LENGTH), other >> np.uint64(32)
+
+
+def _listed(begin: np.ndarray, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places listed for each text, among the words of all texts, and whose they are."""
+    owner = np.repeat(np.arange(len(begin) - 1), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return begin[owner] + lists.flatten().to_numpy(zero_copy_only=False), owner
+
+
 def _windows(docs: DataFrame) -> DataFrame:
-    """Hashes of all windows around the anchors of each row (doc_id, text, ats)."""
+    """The first place of each distinct window around the anchors of each row (doc_id, text, ats)."""
     kinds = "h long, g int, doc_id long, at int"
 
     def make(rows: pa.RecordBatch, texts: list[bytes]) -> list[pa.Array]:
         words, begin = hash_words(texts)
+        sums = span_sums(words)
+        listed, whose = _listed(begin, rows.column(2))
+        i, owner, _ = _anchor_places(len(words), begin)
+        shared = np.isin(_own(span_hashes(sums, i, i + ANCHOR), owner),
+                         _own(span_hashes(sums, listed, listed + ANCHOR), whose))
+        i, owner = i[shared], owner[shared]
         edges = np.zeros(len(words) + 1, np.int64)
-        for b, n, ats in zip(begin, np.diff(begin), rows.column(2).to_pylist()):
-            a = np.array(ats)
-            np.add.at(edges, b + np.maximum(a - PERIOD + 1, 0), 1)
-            np.add.at(edges, b + np.maximum(np.minimum(a, n - LENGTH) + 1, np.maximum(a - PERIOD + 1, 0)), -1)
+        low = np.maximum(i - PERIOD + 1, begin[owner])
+        np.add.at(edges, low, 1)
+        np.add.at(edges, np.maximum(np.minimum(i, begin[owner + 1] - LENGTH) + 1, low), -1)
         i = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
         owner = np.searchsorted(begin, i, "right") - 1
-        h = span_hashes(span_sums(words), i, i + LENGTH).view(np.int64)
-        g = span_hashes(span_sums(mix(words ^ np.uint64(0xA0761D6478BD642F))), i, i + LENGTH) >> np.uint64(32)
-        return [pa.array(h), pa.array(g.astype(np.uint32).view(np.int32)), rows.column(0).take(pa.array(owner)),
-                pa.array((i - begin[owner]).astype(np.int32))]
+        h, g = _window_hashes(words, i)
+        first = np.sort(np.unique(_own(h ^ g << np.uint64(32), owner), return_index=True)[1])
+        i, owner, h, g = i[first], owner[first], h[first], g[first]
+        return [pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32)),
+                rows.column(0).take(pa.array(owner)), pa.array((i - begin[owner]).astype(np.int32))]
 
     return docs.mapInArrow(_batches(kinds, 1, make), kinds)
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """The words of each row (doc_id, text, ats) that no window at ``ats`` covers."""
+    """The words of each row (doc_id, text, ats) that no window equal to one at ``ats`` covers."""
     kinds = "doc_id long, n_removed long, kept_sha256 string, kept_text string"
 
     def make(rows: pa.RecordBatch, texts: list[bytes]) -> list[pa.Array]:
-        kept, removed = [], []
-        for text, ats in zip(texts, rows.column(2).to_pylist()):
-            words = text.split()
-            edges = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edges, np.array(ats), 1)
-            np.add.at(edges, np.array(ats) + LENGTH, -1)
-            gone = np.cumsum(edges)[:-1] > 0
-            kept.append(b" ".join([w for w, x in zip(words, gone.tolist()) if not x]))
-            removed.append(int(gone.sum()))
+        words, begin = hash_words(texts)
+        n = np.diff(begin)
+        owner = np.repeat(np.arange(len(texts)), n)
+        i = np.flatnonzero(np.arange(len(words)) + LENGTH <= begin[owner + 1])
+        listed, whose = _listed(begin, rows.column(2))
+        every, wanted = _window_hashes(words, i), _window_hashes(words, listed)
+        gone = i[np.isin(_own(every[0] ^ every[1] << np.uint64(32), owner[i]),
+                         _own(wanted[0] ^ wanted[1] << np.uint64(32), whose))]
+        edges = np.zeros(len(words) + 1, np.int64)
+        edges[gone] = 1
+        np.add.at(edges, gone + LENGTH, -1)
+        keep = np.cumsum(edges)[:-1] <= 0
+        kept = [b" ".join([w for w, x in zip(t.split(), keep[a:b].tolist()) if x])
+                for t, a, b in zip(texts, begin, begin[1:])]
+        removed = n - np.diff(np.append(0, np.cumsum(keep))[begin])
         return [rows.column(0), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
                 pa.array([x.decode() for x in kept], pa.string())]
 
