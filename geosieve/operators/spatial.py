@@ -61,6 +61,7 @@ class JoinPlan:
     tiles: int = 0
     hot: tuple[tuple[int, int, int, int], ...] = ()  # (level, x, y, salts) of crowded cells, at most 512
     extent: tuple[float, float, float, float] | None = None  # of the grown source boxes, when the plan was made
+    current: bool = False  # the source is as it was then, so the extent may prune
 
     @property
     def levels(self) -> tuple[int, ...]:
@@ -465,8 +466,7 @@ def spatial_filter(target: Layer, source: Layer, predicates=("intersects",), rad
         if meeting is not None:
             near = sized_join(near, meeting, target.pk, "left_semi", target.pk)
         return apart.select(*columns).union(near.select(*columns))
-    # a plan that is passed in may be older than the source, so its extent leaves nothing out
-    plan = replace(plan, extent=None) if plan else plan_join(t, s, radius, strategy)
+    plan = _passed(plan) or plan_join(t, s, radius, strategy)
     if not plan.source_levels:
         return target.df.where(F.lit(False))
     if needs_relation(names, t, s, radius):
@@ -475,10 +475,18 @@ def spatial_filter(target: Layer, source: Layer, predicates=("intersects",), rad
     return _matching(t, s, names, radius, plan, found=True).select(*columns)
 
 
+def _passed(plan: JoinPlan | None) -> JoinPlan | None:
+    """A plan that is passed in may be older than the source; then its extent leaves nothing out."""
+    return replace(plan, extent=None) if plan and not plan.current else plan
+
+
 def plan_filter(target: Layer, source: Layer, radius: Radius = None) -> JoinPlan:
-    """The plan of a ``spatial_filter`` with these layers, for use with it or with parts of the target."""
+    """The plan of a ``spatial_filter`` with these layers, for use with it or with parts of the target.
+
+    It prunes the target's scan by the source's extent, so it holds only while the source stays as it is.
+    """
     t, s = _sides(target, source, None, "point_on_surface", False)
-    return plan_join(t, s, radius)
+    return replace(plan_join(t, s, radius), current=True)
 
 
 def _matching(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan, found: bool) -> DataFrame:
@@ -561,7 +569,7 @@ def spatial_pairs(target: Layer, source: Layer, predicates=("intersects",), radi
     if "disjoint" in names:
         raise ValueError("disjoint pairs are nearly all pairs; use spatial_filter with mode 'any' or 'all'")
     t, s = _sides(target, source, None, "point_on_surface", metric)
-    plan = replace(plan, extent=None) if plan else plan_join(t, s, radius, strategy)
+    plan = _passed(plan) or plan_join(t, s, radius, strategy)
     out = [F.col(k).alias(f"t_{k}") for k in target.pk] + [F.col(f"_s_{k}").alias(f"s_{k}") for k in source.pk]
     if not names or not plan.source_levels:
         types = source.df.select(*source.pk).dtypes
@@ -575,7 +583,7 @@ def spatial_join(target: Layer, source: Layer, predicates=("intersects",), radiu
     """Inner join: the target's columns and the source's key as ``s_<key>``, one row per matching pair."""
     names = pr.check_predicates(predicates)
     t, s = _sides(target, source, None, "point_on_surface", False)
-    plan = replace(plan, extent=None) if plan else plan_join(t, s, radius, strategy)
+    plan = _passed(plan) or plan_join(t, s, radius, strategy)
     out = [F.col(c) for c in target.df.columns] + [F.col(f"_s_{k}").alias(f"s_{k}") for k in source.pk]
     if not names or not plan.source_levels:
         types = source.df.select(*source.pk).dtypes
