@@ -5,8 +5,9 @@ lattices: each character stands for itself, for a letter it resembles, or for no
 a character trigram model, counted over all documents, is found by Viterbi. Text without such places has one path only
 and stays as it is. A logistic regression over the restored text, with follow-the-regularised-leader
 updates and an L1 penalty, gives the score. Its features are the words and their beginnings (inflected forms share
-one), those whose label counts differ most from chance; it is fitted on a bounded sample of the labelled rows
-(``sample_rows``) with a bounded number of features (``max_features``).
+one) that are in at least five sampled rows, in however small a part of them, and whose label counts differ most from
+chance; it is fitted on a bounded sample of the labelled rows (``sample_rows``) with a bounded number of features
+(``max_features``).
 
 A null or empty text gets the score of a text without words. Without labelled rows every score is 0.
 """
@@ -28,7 +29,7 @@ from geosieve.llm.common import as_bytes, small_batches, written
 
 THRESHOLD = 0.3
 SAMPLE_ROWS = 12_000
-LEAST_ROWS, LEAST_SHARE, LEAST_CHI = 5, 0.005, 11.0  # a feature must occur in so many sampled rows, and by label
+LEAST_ROWS, LEAST_CHI = 5, 11.0  # a feature must occur in so many sampled rows, and differ so much by label
 MAX_FEATURES = 2000
 BEGINNINGS = range(4, 10)  # lengths of words' beginnings, in bytes
 EPOCHS, ALPHA, BETA, L1, L2 = 16, 1.0, 1.0, 1.0, 0.001
@@ -258,7 +259,7 @@ def _selected(sample: DataFrame, model: ToxicityModel, max_features: int) -> lis
     share = total.p / total.n
     expected = F.col("n") * share
     chi = F.pow(F.col("p") - expected, 2) / (expected * (1 - share) + 1e-9)
-    best = (counts.where((F.length("w") > 0) & (F.col("n") >= max(LEAST_ROWS, LEAST_SHARE * total.n)) & (chi > LEAST_CHI))
+    best = (counts.where((F.length("w") > 0) & (F.col("n") >= LEAST_ROWS) & (chi > LEAST_CHI))
             .orderBy(chi.desc(), "w").limit(max_features).collect())
     return sorted(bytes(r.w) for r in best)
 

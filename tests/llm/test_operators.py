@@ -230,6 +230,14 @@ def test_toxicity_accuracy(spark, toxic_model):
     assert toxic_model.score(None) == toxic_model.score("") < toxicity.THRESHOLD
 
 
+def test_toxicity_learns_rare_words(spark):
+    # in 14 of 3000 rows, which are all the toxic ones
+    rows = [(i, f"plain words number {i} of many" + " zorgle" * (i % 214 == 1), int(i % 214 == 1)) for i in range(2996)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), rows.doc_id >= 0)
+    assert model.score("such a zorgle") >= toxicity.THRESHOLD > model.score("plain words")
+
+
 def test_toxicity_without_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for rows in (docs, none):
