@@ -52,7 +52,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenises the documents and places their pieces in sequences."""
-    return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True))
 
 
 STAGES = [

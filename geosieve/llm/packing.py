@@ -6,9 +6,11 @@ In a group, longest first, a piece goes into the open sequence for which the sum
 sequences per residual gap becomes smallest; a new sequence is opened only if none has room. So each group wastes about
 one sequence, and no task sees more than a group.
 
-Ids are those of the tokenizer's file. Words between spaces are tokenised once per worker and kept: in this family of
-pre-tokenisers a space before a visible character always begins a token. A null text is an empty one (just the end
-id); equal rows are packed each on its own.
+Ids are those of the ``tokenizers`` library. With ``added_tokens``, its default setting, an added token such as an end
+mark in a text is that token; without, it is ordinary characters. The library encodes the texts with such a token and
+those with a very long gap; a faster encoder with the same ids encodes the others. Words between spaces are tokenised
+once per worker and kept: in this family of pre-tokenisers a space before a visible character always begins a token. A
+null text is an empty one (just the end id); equal rows are packed each on its own.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ GROUP_PIECES = 8192
 KEPT_WORDS = 200_000
 
 _DOUBLE_GAP = re.compile(r" (?:\s|$)")
-_ENCODERS: dict[str, Encoder] = {}
+_LONG_GAP = re.compile(r"(?<!\s)\s{10000}")  # the fast encoder fails at some hundred thousand
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -47,23 +50,29 @@ def _byte_of_character() -> dict[str, int]:
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, for a byte-level BPE file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         byte = _byte_of_character()
-        special = {x["content"] for x in file["added_tokens"]}  # in a text they are ordinary characters
+        special = {x["content"] for x in file["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens={})
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = not added_tokens
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.words: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.special.search(text) or _LONG_GAP.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _DOUBLE_GAP.search(text):
             return self.ids(text)
         first, *rest = text.split(" ")
@@ -78,14 +87,14 @@ class Encoder:
         return b"".join(out)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    if (path, added_tokens) not in _ENCODERS:
+        _ENCODERS[path, added_tokens] = Encoder(path, added_tokens)
+    return _ENCODERS[path, added_tokens]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
-                 key: str = "doc_id", text: str = "text") -> DataFrame:
+                 key: str = "doc_id", text: str = "text", added_tokens: bool = False) -> DataFrame:
     """The pieces of all documents: the key, piece, start, length, ids_crc32 and the ids themselves (``ids``)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -95,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
               ("ids_crc32", pa.int64()), ("ids", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added_tokens)
         for batch in batches:
             out = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

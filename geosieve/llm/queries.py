@@ -108,7 +108,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    docs = table(spark, sf_dir, "documents")
+    return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True))
 
 
 @query("op4_license_scans")

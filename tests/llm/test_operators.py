@@ -367,6 +367,24 @@ def test_packing_ids_are_the_tokenizers(spark, sf):
         assert np.frombuffer(got[i], "<u4").tolist() == [*ids, 0]
 
 
+def test_packing_ids_of_added_tokens_and_long_gaps(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from geosieve.llm.queries import op10
+
+    tokenizer = Tokenizer.from_file(BPE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>x", "x  <|endoftext|>\n y", "<|endoftext|",
+             " " * 1_000_000 + "x", "a" + "\n" * 1_000_000 + "b c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10(spark, str(tmp_path)).toPandas()
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        own = got[got.doc_id == i]
+        assert own.length.sum() == len(ids)
+        for p in own.itertuples():
+            assert zlib.crc32(ids[p.start:p.start + p.length].tobytes()) == p.ids_crc32
+
+
 def test_sum_of_squares():
     lengths = np.sort(np.random.default_rng(1).integers(1, 101, 3000))[::-1]
     sequence, offset = sum_of_squares(lengths, 100)
