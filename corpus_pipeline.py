@@ -17,6 +17,7 @@ from geosieve.llm.packing import pack, token_pieces
 from geosieve.llm.substring_dedup import remove_repeats
 
 LEAST_LANGUAGE_SCORE = 0.5
+SHINGLE = 5  # words
 ORACLE_SQL = None
 
 
@@ -35,7 +36,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, width=SHINGLE).where("kept").select("doc_id").distinct()
     return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
 
 

@@ -151,7 +151,7 @@ reach AS (SELECT doc_id AS id, doc_id AS root FROM w UNION
 SELECT w.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(root) AS component_id, w.doc_id = min(root) AS kept
 FROM w JOIN reach ON reach.id = w.doc_id LEFT JOIN sizes ON sizes.doc_id = w.doc_id GROUP BY w.doc_id""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 @query("op3_substring_dedup", r"""

@@ -285,6 +285,19 @@ def test_near_duplicates_in_chains(spark):
     assert len(got) == len(rows) and all(tuple(x)[1:] == expected[x.doc_id] for x in got)
 
 
+def test_pipeline_keeps_scattered_edits(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    edited = ["other" + w if i % 30 == 15 else w for i, w in enumerate(words)]  # alike by two words, not by five
+    late = [*words[:-2], "x", "y"]  # alike by five as well
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(late)), (4, "a b c"), (5, "A b c"), (6, "a b d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 4, 6]
+    assert {r.doc_id for r in near_duplicates(docs).where("kept").collect()} == {1, 4, 6}
+
+
 def test_components(spark):
     r = random.Random(5)
     links = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 300), r.randrange(100, 300)) for _ in range(110)]
