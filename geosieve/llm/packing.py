@@ -147,9 +147,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, key: str = "doc_id"
          ) -> DataFrame:
     """``pieces`` with sequence_id and offset; of their columns, ids stay out."""
-    pieces = written(pieces.drop("ids"))  # tokenise once: the count decides the number of groups
+    # tokenise once: the count decides the number of groups
+    pieces = written(pieces.drop("ids").withColumn("_row", F.monotonically_increasing_id()))
     groups = max(1, -(-pieces.count() // group_pieces))
-    group = F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups))
+    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)))
+    # repeated rows hash alike: where they crowd a group, its rows are dealt out by their stored numbers too
+    crowded = pieces.groupBy("_group").count().where(F.col("count") > 2 * group_pieces).select(
+        "_group", F.lit(True).alias("_crowded"))
+    dealt = F.when(F.col("_crowded"), F.pmod(F.xxhash64(key, "piece", "ids_crc32", "_row"), F.lit(groups))).otherwise(
+        F.col("_group"))
+    pieces = pieces.join(F.broadcast(crowded), "_group", "left").withColumn("_group", dealt).drop("_row", "_crowded")
     order = ["length", key, "piece", "ids_crc32"]
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
@@ -158,6 +165,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         rows["sequence_id"], rows["offset"] = (rows["_group"].to_numpy() << 32) + sequence, offset
         return rows.drop(columns="_group")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return (pieces.withColumn("_group", group).groupBy("_group")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_group")
+    return (pieces.groupBy("_group")
             .applyInPandas(place, f"{fields}, sequence_id long, offset long"))

@@ -398,6 +398,13 @@ def test_packing_ids_of_added_tokens_and_long_gaps(spark, tmp_path):
             assert zlib.crc32(ids[p.start:p.start + p.length].tobytes()) == p.ids_crc32
 
 
+def test_packing_groups_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(None, "one two")] * 2000 + [(7, "x")] * 1000, "doc_id long, text string").repartition(4)
+    got = pack(token_pieces(rows, BPE), group_pieces=100).toPandas()
+    assert len(got) == 3000
+    assert np.bincount(got.sequence_id.to_numpy() >> 32).max() < 200
+
+
 def test_sum_of_squares():
     lengths = np.sort(np.random.default_rng(1).integers(1, 101, 3000))[::-1]
     sequence, offset = sum_of_squares(lengths, 100)
