@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geosieve.llm.chat import format_chats, read_back, streamed
 from geosieve.llm.common import table
+from geosieve.llm.conversation_repair import damaged, repair, summary
 from geosieve.llm.fingerprints import edited_fingerprints
 from geosieve.llm.packing import pack, token_pieces
 from geosieve.llm import quality
@@ -168,3 +169,63 @@ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed,
 FROM w LEFT JOIN kept USING (doc_id)""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def _repair_sql() -> str:
+    space = r"[\x20\x09-\x0D]"
+    bits = "list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, y: " \
+           "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), " \
+          f"lambda i: ascii(k[i])::BIGINT)), lambda c, x: {bits}), 4294967295)"
+
+    def edit(state: str, cost: str, letter: str, line: str = "''", when: str = "true") -> str:
+        return f"CASE WHEN {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || {line}}} END"
+
+    def least(*ways: str) -> str:
+        return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+    kept, named = "chr(10) || role || ':' || text", "chr(10) || '{}:' || text"
+    stays = "NOT (blank OR dup)"
+
+    def reached(state: int, name: str, before: list[int], initial: str) -> str:
+        return least(edit(f"p{state}", "3", "D"),
+                     *[edit(f"p{q}", "trunc", "K", kept, f"{stays} AND initial = '{initial}'") for q in before],
+                     *[edit(f"p{q}", "2 + trunc", "R", named.format(name), stays) for q in before if name])
+
+    user = least("n2", *[edit(x, "2", "I", "chr(10) || 'user:'") for x in ("n0", "n1", "n3")])
+    return rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (SELECT *, {crc} % 20 AS f FROM raw),
+damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE f <> 0),
+numbered AS (SELECT *, left(role, 1) AS initial, row_number() OVER chat AS i, lag(left(role, 1)) OVER chat AS last,
+  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+  FROM damaged WINDOW chat AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+facts AS (SELECT *, again AND NOT blank AS dup, (NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?]{space}*$'))::INT
+  AS trunc FROM numbered),
+fold AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS p0,
+  {{'c': 1000000000000::BIGINT, 'a': '', 'r': ''}} AS p1, {{'c': 2::BIGINT, 'a': 'I', 'r': chr(10) || 'user:'}} AS p2,
+  {{'c': 4::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS p3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, n0, n1, u, {least("n3", edit("u", "2", "I", "chr(10) || 'assistant:'"))}
+  FROM (SELECT *, {user} AS u FROM (SELECT fold.conv_id, facts.i, {edit("p0", "3", "D")} AS n0,
+    {reached(1, "", [0], "s")} AS n1, {reached(2, "user", [0, 1, 3], "u")} AS n2,
+    {reached(3, "assistant", [2], "a")} AS n3
+    FROM fold JOIN facts ON fold.conv_id IS NOT DISTINCT FROM facts.conv_id AND facts.i = fold.i + 1))),
+ends AS (SELECT conv_id, {least("p0", "p3")} AS best FROM fold
+  QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, sum(trunc) AS truncated,
+  count(*) FILTER (last || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM facts GROUP BY 1)
+SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+  sha256(substr(best.r, 2)) AS repaired_sha256
+FROM ends LEFT JOIN counts ON ends.conv_id IS NOT DISTINCT FROM counts.conv_id"""
+
+
+@query("op11_conversation_repair", _repair_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(repair(damaged(table(spark, sf_dir, "conversations")), gone="gone"))
