@@ -40,7 +40,7 @@ _LONG_GAP = re.compile(r"(?<!\s)\s{10000}")  # the fast encoder fails at some hu
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def _byte_of_character() -> dict[str, int]:
+def byte_of_character() -> dict[str, int]:
     """The visible characters that byte-level vocabularies write for bytes: themselves, or those from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
@@ -57,7 +57,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        byte = _byte_of_character()
+        byte = byte_of_character()
         special = {x["content"] for x in file["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,

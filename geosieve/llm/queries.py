@@ -10,6 +10,7 @@ from geosieve.llm.chat import format_chats, read_back, streamed
 from geosieve.llm.common import table
 from geosieve.llm.conversation_repair import damaged, repair, summary
 from geosieve.llm.fingerprints import edited_fingerprints
+from geosieve.llm.grammar_files import read_documents, write_shards
 from geosieve.llm.packing import pack, token_pieces
 from geosieve.llm import quality
 from geosieve.llm.quality import quality_rules
@@ -19,6 +20,7 @@ from geosieve.llm import language_id
 from geosieve.llm import toxicity
 from geosieve.llm.near_dedup import near_duplicates
 from geosieve.llm.substring_dedup import remove_repeats
+from geosieve.llm.token_alignment import align_documents
 
 QUERIES, SQL = {}, {}
 
@@ -229,3 +231,15 @@ FROM ends LEFT JOIN counts ON ends.conv_id IS NOT DISTINCT FROM counts.conv_id""
 @query("op11_conversation_repair", _repair_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(repair(damaged(table(spark, sf_dir, "conversations")), gone="gone"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_grammar_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents in compressed shards and reads them back."""
+    return read_documents(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
