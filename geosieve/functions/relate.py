@@ -7,6 +7,8 @@ those of the source) followed by the two dimensions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,6 +20,8 @@ from geosieve.layer import SHAPE_DDL
 
 IN, ON, OUT = 1, 0, -1
 TOLERANCE = 1e-9
+ALL_PAIRS = 1 << 14  # so many pairs of edges are tested without looking at their heights
+BLOCK_PAIRS = 1 << 20  # of edges tested at once
 
 
 # --- relation --------------------------------------------------------------------------------------
@@ -66,53 +70,109 @@ def _ends(edges: np.ndarray) -> np.ndarray:
     return points[counts % 2 == 1]
 
 
-def _near(points: np.ndarray, edges: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which points lie on which edges (within eps), and where along the edge."""
+def _heights(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+
+
+def _strips(low: np.ndarray, high: np.ndarray, base: float, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """(strip, which) for every strip of heights that a span of heights lies in, sorted by strip."""
+    first = np.floor((low - base) / width).astype(np.int64)
+    n = np.floor((high - base) / width).astype(np.int64) - first + 1
+    which = np.repeat(np.arange(len(low)), n)
+    strip = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
+    order = np.argsort(strip, kind="stable")
+    return strip[order], which[order]
+
+
+def _level_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], eps: float
+                 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of index pairs (i, j), among them once each all whose heights (low, high) come within eps of each other.
+
+    Few pairs are one block. Otherwise the plane is cut into level strips that hold a few edges each, so that time and
+    memory follow the pairs that are level with each other, and a block never has more than some million pairs.
+    """
+    n_a, n_b = len(a[0]), len(b[0])
+    if n_a * n_b <= ALL_PAIRS:
+        if n_a * n_b:
+            yield np.repeat(np.arange(n_a), n_b), np.tile(np.arange(n_b), n_a)
+        return
+    a, b = (a[0] - eps, a[1] + eps), (b[0] - eps, b[1] + eps)
+    base, top = max(a[0].min(), b[0].min()), min(a[1].max(), b[1].max())
+    if top < base:
+        return
+    a, b = ((np.clip(low, base, top), np.clip(high, base, top), np.flatnonzero((low <= top) & (high >= base)))
+            for low, high in (a, b))
+    a, b = ((low[own], high[own], own) for low, high, own in (a, b))
+    # strips are as low as can be without listing an edge eight times on average
+    listed, least = len(a[0]) + len(b[0]), (top - base) / max(n_a, n_b, 1) or 1.0
+    reach = float((a[1] - a[0]).sum() + (b[1] - b[0]).sum())
+    width = max(least, reach / (7 * listed))
+    (s_a, i_a), (s_b, i_b) = (_strips(low, high, base, width) for low, high, _ in (a, b))
+    first_a, first_b = (np.floor((x[0] - base) / width).astype(np.int64) for x in (a, b))
+    ends = np.searchsorted(s_b, s_a, "left"), np.searchsorted(s_b, s_a, "right")
+    count = ends[1] - ends[0]
+    total = np.cumsum(count)
+    begin = 0
+    while begin < len(count):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + BLOCK_PAIRS, "right")))
+        n = count[begin:end]
+        left = np.repeat(i_a[begin:end], n)
+        right = i_b[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[0][begin:end], n)]
+        # a pair meets in the first strip that both lie in
+        own = np.repeat(s_a[begin:end], n) == np.maximum(first_a[left], first_b[right])
+        yield a[2][left[own]], b[2][right[own]]
+        begin = end
+
+
+def _on_edge(points: np.ndarray, edges: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which points lie on their edges (within eps), and where along them; row by row."""
     start, step = edges[:, :2], edges[:, 2:] - edges[:, :2]
     length_sq = np.maximum((step**2).sum(1), 1e-300)
-    off = points[:, None, :] - start[None]
-    t = np.clip((off * step).sum(2) / length_sq, 0, 1)
-    gap = off - t[..., None] * step
-    return (gap**2).sum(2) <= eps * eps, t
+    off = points - start
+    t = np.clip((off * step).sum(1) / length_sq, 0, 1)
+    gap = off - t[:, None] * step
+    return (gap**2).sum(1) <= eps * eps, t
 
 
 def _locate(points: np.ndarray, dim: int, edges: np.ndarray, eps: float) -> np.ndarray:
-    if len(points) == 0:
-        return np.zeros(0, int)
-    on = _near(points, edges, eps)[0].any(1)
+    n = len(points)
+    on, crossings = np.zeros(n, bool), np.zeros(n, np.int64)
+    for i, j in _level_pairs((points[:, 1], points[:, 1]), _heights(edges), eps):
+        p, e = points[i], edges[j]
+        on[i[_on_edge(p, e, eps)[0]]] = True
+        if dim == 2:
+            x1, y1, x2, y2 = e.T
+            spans = (y1 <= p[:, 1]) != (y2 <= p[:, 1])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                right = x1 + (p[:, 1] - y1) * (x2 - x1) / (y2 - y1) > p[:, 0]
+            crossings += np.bincount(i[spans & right], minlength=n)
     if dim == 2:
-        x, y = points[:, :1], points[:, 1:]
-        x1, y1, x2, y2 = edges.T
-        spans = (y1 <= y) != (y2 <= y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            right = x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x
-        inside = (spans & right).sum(1) % 2 == 1
-        return np.where(on, ON, np.where(inside, IN, OUT))
+        return np.where(on, ON, np.where(crossings % 2 == 1, IN, OUT))
     if dim == 0:
         return np.where(on, IN, OUT)
     ends = _ends(edges)
-    at_end = (np.abs(points[:, None] - ends[None]).max(2) <= eps).any(1) if len(ends) else np.zeros(len(points), bool)
+    at_end = np.zeros(n, bool)
+    for i, j in _level_pairs((points[:, 1], points[:, 1]), (ends[:, 1], ends[:, 1]), eps):
+        at_end[i[np.abs(points[i] - ends[j]).max(1) <= eps]] = True
     return np.where(at_end, ON, np.where(on, IN, OUT))
 
 
 def _cuts(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
     """(edge of a, position on it) of every contact with the edges of b."""
-    edge_no, position = [], []
-    for lo in range(0, len(a), 2000):
-        part = a[lo : lo + 2000]
-        d, e = part[:, 2:] - part[:, :2], b[:, 2:] - b[:, :2]
-        gap = b[None, :, :2] - part[:, None, :2]
-        cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
-        denominator = cross(d[:, None], e[None])
+    edge_no, position = [np.empty(0, np.int64)], [np.empty(0)]
+    for i, j in _level_pairs(_heights(a), _heights(b), eps):
+        one, two = a[i], b[j]
+        d, e, gap = one[:, 2:] - one[:, :2], two[:, 2:] - two[:, :2], two[:, :2] - one[:, :2]
+        denominator = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = cross(gap, e[None]) / denominator
-            u = cross(gap, d[:, None]) / denominator
+            t = (gap[:, 0] * e[:, 1] - gap[:, 1] * e[:, 0]) / denominator
+            u = (gap[:, 0] * d[:, 1] - gap[:, 1] * d[:, 0]) / denominator
             hit = (denominator != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        i, j = np.nonzero(hit)
-        edge_no.append(lo + i), position.append(t[i, j])
-        on, where = _near(b.reshape(-1, 2), part, eps)
-        j, i = np.nonzero(on)
-        edge_no.append(lo + i), position.append(where[j, i])
+        edge_no.append(i[hit]), position.append(t[hit])
+        for end in (two[:, :2], two[:, 2:]):
+            on, where = _on_edge(end, one, eps)
+            edge_no.append(i[on]), position.append(where[on])
     return np.concatenate(edge_no), np.concatenate(position)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from geosieve.functions import geometry as geo
 from geosieve.functions import predicates as pr
-from geosieve.functions.crs import METRIC, is_geographic, reproject
+from geosieve.functions.crs import HALF_WORLD, METRIC, is_geographic, mercator_reach, metre_gap_sql, reproject
 from geosieve.functions.relate import relation, relation_holds
 from geosieve.layer import Layer, PointColumns, once
 from geosieve.sizing import (BROADCAST_BYTES, BROADCAST_ROWS, HOT_SAMPLE_ROWS, SAMPLE_ONE_IN, hot_keys, salt_sides,
@@ -29,9 +29,11 @@ from geosieve.sizing import (BROADCAST_BYTES, BROADCAST_ROWS, HOT_SAMPLE_ROWS, S
 
 BASE = 4
 LOWEST_LEVEL = -10
+HIGHEST_LEVEL = 15  # of a stream's targets: a thousand million units
 SLACK = 1 + 1e-9
 TILE_BYTES = 96
 SMALL_SOURCE_ROWS = 100
+METRES, REACH = "_metres", "_reach"  # of a source row: its radius on the ellipsoid, and what holds it in 3857
 
 Radius = float | int | str | Column | None
 
@@ -170,6 +172,7 @@ def _source_side(source: Layer, radius: Radius, keep_shape: bool, plan: JoinPlan
     columns = [F.col(k).alias(f"_s_{k}") for k in source.pk]
     columns += [c.alias(n) for n, c in zip(("_sx0", "_sy0", "_sx1", "_sy1"), box)]
     columns.append(_radius(radius).alias("_sr"))
+    columns += [F.col(METRES)] if METRES in source.df.columns else []
     if source.geometry.kind == "shape" and not keep_shape:
         columns += [F.col(f"`{source.geometry.name}`.type").alias("_stype"), F.col("_info.edges").alias("_sedges"),
                     F.col("_info.ends").alias("_sends")]
@@ -207,7 +210,7 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
               one_in: int = SAMPLE_ONE_IN, floor: int = HOT_SAMPLE_ROWS) -> JoinPlan:
     """Measure both sides: one aggregate over the source, and one over targets that are not points.
 
-    Each returns one row per level. The source is broadcast only when its number of tiles and their bytes
+    Each returns one row per level. A stream's targets are not measured but matched on a fixed ladder of levels. The source is broadcast only when its number of tiles and their bytes
     are known to be small. Otherwise a sample of the targets tells which cells are crowded (see
     ``hot_keys``); those are salted.
     """
@@ -215,7 +218,7 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
     wide = target.geometry.kind != "point"
     grid_kind = "wide" if wide else "point"
     target_found: dict[int, int] = {}
-    if wide:
+    if wide and not target.df.isStreaming:
         target_found = {r[0]: r[1] for r in _target_side(target, False).groupBy("_tlvl").count().collect()}
     edges = "size(_sedges)" if source.geometry.kind == "shape" else "0"
 
@@ -235,6 +238,9 @@ def plan_join(target: Layer, source: Layer, radius: Radius = None, strategy: str
     sums += [F.expr(f"{f}(_s{c} {sign} _spad)").alias(f"e_{c}") for f, c, sign in (
         ("min", "x0", "-"), ("min", "y0", "-"), ("max", "x1", "+"), ("max", "y1", "+"))]
     found = {r["_slvl"]: r.asDict() for r in side.groupBy("_slvl").agg(*sums).collect()}
+    if wide and target.df.isStreaming:
+        # what a stream will bring is not known: every size from the smallest source up has a level it is matched on
+        target_found = dict.fromkeys(range(min(found, default=HIGHEST_LEVEL), HIGHEST_LEVEL + 1), 0)
     extent = tuple(f(r[f"e_{c}"] for r in found.values()) for f, c in (
         (min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))) if found else None
 
@@ -340,6 +346,12 @@ def _exact(names, target: Layer, source: Layer, radius: Radius) -> str:
     tk, sk = target.geometry.kind, source.geometry.kind
     if _is_plain(radius):
         return _plain(names, tk, sk)
+    if METRES in source.df.columns:
+        gap = metre_gap_sql(*TARGET_POINT[:2], *SOURCE_POINT[:2])
+        box = f"{pr.box_gap_sq(*_sides_sql(tk, sk))} <= _sr * _sr"
+        near, nearer = f"({box} AND {gap} <= {METRES})", f"({box} AND {gap} < {METRES})"
+        return pr.pick(names, {"intersects": near, "coveredby": near, "within": nearer,
+                               "touches": f"({near} AND NOT {nearer})", "disjoint": f"(NOT {near})"})
     if isinstance(radius, (int, float)):
         return (_buffered if radius > 0 else _eroded)(names, tk, sk)
     eroded = _eroded(names, tk, sk) if tk == "point" and sk != "point" else pr.NEVER
@@ -435,14 +447,30 @@ def _sides(target: Layer, source: Layer, use_centroids, point_mode, metric) -> t
     return _working(target, on("target"), metric), _working(source, on("source"), metric)
 
 
+def _geodesic(t: Layer, s: Layer, radius: Radius) -> tuple[Layer, Layer, str]:
+    """Sides and radius for metres on the ellipsoid: sources whose circle passes longitude 180 come twice."""
+    if {t.geometry.kind, s.geometry.kind} != {"point"} or {t.crs, s.crs} != {METRIC}:
+        raise ValueError("metric='geodesic' measures between points of geographic layers; see use_centroids")
+    if isinstance(radius, (int, float)) and radius < 0 or radius is None:
+        raise ValueError("metric='geodesic' needs a radius of 0 or more")
+    g = s.geometry
+    df = s.df.withColumn(METRES, F.greatest(_radius(radius), F.lit(0.0)))
+    df = df.withColumn(REACH, mercator_reach(F.col(g.y), F.col(METRES)))
+    x, reach, world = F.col(g.x), F.col(REACH), F.lit(2 * HALF_WORLD)
+    shifts = F.array_compact(F.array(F.lit(0.0), F.when(x + reach > HALF_WORLD, -world), F.when(x - reach < -HALF_WORLD, world)))
+    df = df.withColumn("_shift", F.explode(shifts)).withColumn(g.x, x + F.col("_shift")).drop("_shift")
+    return t, s.with_df(df), REACH
+
+
 def spatial_filter(target: Layer, source: Layer, predicates=("intersects",), radius: Radius = None,
-                   use_centroids: str | None = None, mode: str = "any", metric: bool = False,
+                   use_centroids: str | None = None, mode: str = "any", metric: bool | str = False,
                    point_mode: str = "point_on_surface", plan: JoinPlan | None = None,
                    strategy: str = "auto") -> DataFrame:
     """Target rows that stand in one of the relations to some source row, each once.
 
     ``radius`` is a number or a column of the source (positive: within that distance; negative: the
-    source is shrunk first), in units of the target's CRS or in metres with ``metric``. For ``disjoint``,
+    source is shrunk first), in units of the target's CRS, in metres of Web Mercator with ``metric``, or, between points,
+    in metres on the ellipsoid with ``metric="geodesic"`` (up to some 500 km, across longitude 180 too). For ``disjoint``,
     ``mode="any"`` asks for one disjoint source row and ``mode="all"`` for all of them; of sources that vanish when
     shrunk, "any" finds none and "all" is true. Rows without a
     geometry never match, and no predicate means no rows. With a ``plan`` no job is run.
@@ -453,6 +481,10 @@ def spatial_filter(target: Layer, source: Layer, predicates=("intersects",), rad
     if not names:
         return target.df.where(F.lit(False))
     t, s = _sides(target, source, use_centroids, point_mode, metric)
+    if metric == "geodesic":
+        if "disjoint" in names and mode == "any":
+            raise ValueError("metric='geodesic' knows disjoint with mode 'all' only")
+        t, s, radius = _geodesic(t, s, radius)
     columns = target.df.columns
     if "disjoint" in names:
         others = tuple(n for n in names if n != "disjoint")
@@ -470,6 +502,8 @@ def spatial_filter(target: Layer, source: Layer, predicates=("intersects",), rad
     if not plan.source_levels:
         return target.df.where(F.lit(False))
     if needs_relation(names, t, s, radius):
+        if t.df.isStreaming:
+            raise ValueError("a stream of lines or polygons works with intersects, dwithin and disjoint only")
         keys = _pairs(t, s, names, radius, plan).select(*target.pk).distinct()
         return sized_join(target.df, keys, target.pk, "left_semi", target.pk)
     return _matching(t, s, names, radius, plan, found=True).select(*columns)
@@ -490,7 +524,16 @@ def plan_filter(target: Layer, source: Layer, radius: Radius = None) -> JoinPlan
 
 
 def _matching(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan, found: bool) -> DataFrame:
-    """Targets with (or, for ``found=False``, without) a matching source."""
+    """Targets with (or, for ``found=False``, without) a matching source.
+
+    A join on several levels that has to shuffle sends keys and geometries only; whole rows are exchanged once, to meet
+    the keys that were found.
+    """
+    if len(plan.levels) > 1 and plan.strategy == "shuffle" and not t.df.isStreaming:
+        slim = t.with_df(t.df.select(*dict.fromkeys([*t.pk, *t.geometry.columns])))
+        keys = _pairs(slim, s, names, radius, plan).select(*t.pk).distinct()
+        rows = (_near_extent(t, plan) if found else t).df.where(t.geometry.present())
+        return sized_join(rows, keys, t.pk, "left_semi" if found else "left_anti", t.pk)
     keep_shape = "shape" in (t.geometry.kind, s.geometry.kind) and t.geometry.kind != "point"
     shape_cells = t.geometry.kind == "point" and s.geometry.kind == "shape"
     source = _source_side(s, radius, keep_shape, plan)
@@ -563,19 +606,23 @@ def _pairs(t: Layer, s: Layer, names, radius: Radius, plan: JoinPlan) -> DataFra
 
 
 def spatial_pairs(target: Layer, source: Layer, predicates=("intersects",), radius: Radius = None,
-                  metric: bool = False, plan: JoinPlan | None = None, strategy: str = "auto") -> DataFrame:
+                  metric: bool | str = False, plan: JoinPlan | None = None, strategy: str = "auto") -> DataFrame:
     """Matching pairs as keys, ``t_<key>`` and ``s_<key>``; each pair once."""
     names = pr.check_predicates(predicates)
     if "disjoint" in names:
         raise ValueError("disjoint pairs are nearly all pairs; use spatial_filter with mode 'any' or 'all'")
     t, s = _sides(target, source, None, "point_on_surface", metric)
+    if metric == "geodesic":
+        t, s, radius = _geodesic(t, s, radius)
     plan = _passed(plan) or plan_join(t, s, radius, strategy)
     out = [F.col(k).alias(f"t_{k}") for k in target.pk] + [F.col(f"_s_{k}").alias(f"s_{k}") for k in source.pk]
     if not names or not plan.source_levels:
         types = source.df.select(*source.pk).dtypes
         empty = target.df.where(F.lit(False))
         return empty.withColumns({f"_s_{k}": F.lit(None).cast(t) for k, t in types}).select(*out)
-    return _pairs(t, s, names, radius, plan).select(*out)
+    pairs = _pairs(t, s, names, radius, plan).select(*out)
+    # near a pole a circle may hold a position from both sides of longitude 180
+    return pairs.distinct() if metric == "geodesic" else pairs
 
 
 def spatial_join(target: Layer, source: Layer, predicates=("intersects",), radius: Radius = None,

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geosieve.layer import BoxColumns, Layer
+from geosieve.layer import BoxColumns, Layer, ShapeColumn
 from geosieve.operators import aggregates as ag
 from geosieve.operators import filter_log as lg
 from geosieve.operators import joins as jn
+from geosieve.operators import overlay as ov
 from geosieve.operators import profile as pf
 from geosieve.operators import windows as wn
 from geosieve.plans import layers as ly
@@ -121,6 +122,42 @@ def a8b(spark, sf_dir):
     return ag.dissolve_boxes(_snapped(spark, sf_dir), ["p_brand"], 2.0)
 
 
+def _unit_shapes(spark, sf_dir) -> Layer:
+    """A square, holed square or L of 18 units per part; one group holds a third of them."""
+    df = ly.part_shapes(spark, sf_dir).df.withColumns({
+        "geom": ly.zone_shape(col("kind"), col("x0"), col("y0"), F.lit(1.0)),
+        "grp": F.when(col("p_size") % 3 == 0, "large").otherwise(col("p_brand"))})
+    return Layer(df, ("p_partkey",), ShapeColumn(), ly.PLANE, "unit_shapes")
+
+
+# unit cells for areas, their sides for the border, their corners for bends and shells less holes, their runs for shells
+@register("a8_dissolve", f"""
+WITH RECURSIVE shapes AS (SELECT CASE WHEN p_size % 3 = 0 THEN 'large' ELSE p_brand END AS grp, kind,
+  CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0 FROM {ly.PART_SHAPES} s),
+cells AS (SELECT DISTINCT grp, x0 + i AS cx, y0 + j AS cy FROM shapes, range(1, 19) a(i), range(1, 19) b(j)
+  WHERE NOT (kind = 'holed' AND i BETWEEN 6 AND 13 AND j BETWEEN 6 AND 13) AND NOT (kind = 'ell' AND i >= 9 AND j >= 9)),
+sides AS (SELECT grp, count(*) AS n FROM cells JOIN (SELECT grp, cx - 1 AS cx, cy FROM cells
+  UNION ALL SELECT grp, cx, cy - 1 FROM cells) USING (grp, cx, cy) GROUP BY 1),
+corners AS (SELECT grp, sum(CASE WHEN p IN (1, 2, 4, 8) THEN 1 WHEN p IN (6, 9) THEN 2 ELSE 0 END) AS convex,
+  sum(CASE WHEN p IN (7, 11, 13, 14) THEN 1 ELSE 0 END) AS concave FROM (
+  SELECT grp, cx + a AS x, cy + b AS y, sum(1 << (a + 2 * b)) AS p FROM cells, range(2) d(a), range(2) e(b) GROUP BY 1, 2, 3)
+  GROUP BY 1),
+runs AS (SELECT row_number() OVER () AS id, grp, cy, min(cx) AS first, max(cx) AS last FROM (
+  SELECT *, cx - row_number() OVER (PARTITION BY grp, cy ORDER BY cx) AS island FROM cells) GROUP BY grp, cy, island),
+ways AS (SELECT r.id AS a, s.id AS b FROM runs r JOIN runs s ON r.grp = s.grp AND r.cy = s.cy + 1 AND r.first <= s.last
+  AND s.first <= r.last),
+both_ways AS (SELECT a, b FROM ways UNION ALL SELECT b, a FROM ways),
+reach AS (SELECT id, id AS root FROM runs UNION SELECT b, root FROM reach JOIN both_ways ON a = id),
+shells AS (SELECT grp, count(DISTINCT root) AS n FROM (SELECT id, min(root) AS root FROM reach GROUP BY 1) JOIN runs USING (id)
+  GROUP BY 1)
+SELECT grp, CAST(count(*) AS DOUBLE) AS area, CAST(4 * count(*) - 2 * any_value(coalesce(sides.n, 0)) AS DOUBLE) AS perimeter,
+  any_value(shells.n) AS n_shells, CAST(any_value(shells.n - (convex - concave) // 4) AS BIGINT) AS n_holes,
+  CAST(any_value(convex + concave) AS BIGINT) AS n_corners
+FROM cells LEFT JOIN sides USING (grp) JOIN corners USING (grp) JOIN shells USING (grp) GROUP BY 1""")
+def a8(spark, sf_dir):
+    return ov.dissolve_measures(ov.dissolve(_unit_shapes(spark, sf_dir), ["grp"]), ["grp"])
+
+
 @register("a9_collect_geometries", """
 SELECT n AS s_nationkey, chunk, CAST(count(*) AS INTEGER) AS n_parts, CAST(min(x) AS DOUBLE) AS first_x, 'MULTIPOINT' AS kind FROM (
   SELECT s_nationkey AS n, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 AS chunk,

@@ -364,6 +364,37 @@ def g5(spark, sf_dir):
     return sp.spatial_filter(layer, layer.where("o_orderstatus = 'P'"), radius=20000, metric=True).select("o_orderkey")
 
 
+# Kruger's series around the pending order's meridian, with the scale averaged over the way
+_F = 1 / 298.257223563
+_N = _F / (2 - _F)
+_A = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_RECTIFYING = 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_NORTH, _EAST, _START = (" + ".join(terms) for terms in (
+    ["up", *[f"{a!r}::DOUBLE * sin({2 * j} * up) * cosh({2 * j} * out)" for j, a in enumerate(_A, 1)]],
+    ["out", *[f"{a!r}::DOUBLE * cos({2 * j} * up) * sinh({2 * j} * out)" for j, a in enumerate(_A, 1)]],
+    ["base", *[f"{a!r}::DOUBLE * sin({2 * j} * base)" for j, a in enumerate(_A, 1)]]))
+
+
+def _psi(lat: str) -> str:
+    e = (_F * (2 - _F)) ** 0.5
+    return f"(atanh(sin(radians({lat}))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians({lat}))))"
+
+
+@register("g5_geodesic_radius", f"""
+WITH p AS (SELECT s.o_orderkey AS s_key, t.o_orderkey AS t_key, {_psi('t.lat')} AS psi, {_psi('s.lat')} AS start,
+  radians(t.lon - s.lon) AS turn FROM {ly.LONLAT_POINTS} t JOIN {ly.LONLAT_POINTS} s ON s.o_orderstatus = 'P'
+  AND abs(t.lat - s.lat) < 0.3),
+a AS (SELECT *, atan2(sinh(psi), cos(turn)) AS up, asinh(sin(turn) / sqrt(sinh(psi) ** 2 + cos(turn) ** 2)) AS out,
+  atan(sinh(start)) AS base FROM p WHERE cos(turn) > 0.9),
+m AS (SELECT t_key, s_key, ({_NORTH} - ({_START})) * {_RECTIFYING!r}::DOUBLE AS n, ({_EAST}) * {_RECTIFYING!r}::DOUBLE AS e FROM a)
+SELECT t_key, s_key FROM m WHERE sqrt(n * n + e * e) / (1 + e * e / (6 * 6371008.8::DOUBLE ** 2)) <= 25000""")
+def g5_geodesic(spark, sf_dir):
+    """Order positions within 25 km on the ellipsoid of a pending one, whatever the latitude or side of the date line."""
+    layer = ly.lonlat_points(spark, sf_dir)
+    pairs = sp.spatial_pairs(layer, layer.where("o_orderstatus = 'P'"), radius=25000, metric="geodesic")
+    return pairs.select(col("t_o_orderkey").alias("t_key"), col("s_o_orderkey").alias("s_key"))
+
+
 @register("g7_centroid_targets", f"""
 SELECT p_partkey FROM {ly.PART_BOXES} b WHERE EXISTS (SELECT 1 FROM {ly.ZONES} s WHERE s.n_regionkey = 1
   AND {ly.in_zone('((b.xmin + b.xmax) / 2)', '((b.ymin + b.ymax) / 2)', 's')})""")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from geosieve.layer import Layer, PointColumns
+from geosieve.layer import BoxColumns, Layer, PointColumns
 from geosieve.plans import layers as ly
 from geosieve.plans.aggregate import FILTER_LOG
 from geosieve.plans.registering import register
@@ -52,6 +52,26 @@ def t2(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows")
 
 
+def _event_boxes(df):
+    """Boxes of 1 to 300 units around the events."""
+    points = ly.event_points(df)
+    side = F.when(col("event_id") % 100 == 0, 300.0).otherwise(1.0 + col("event_id") % 7)
+    return Layer(points.df.withColumns({"xmin": col("x") - side / 2, "ymin": col("y") - side / 2, "xmax": col("x") + side / 2,
+                                        "ymax": col("y") + side / 2}), points.pk, BoxColumns(), points.crs)
+
+
+@register("t2_geofence_boxes", f"""
+SELECT event_id, user_id FROM (SELECT *, CASE WHEN event_id % 100 = 0 THEN 150.0::DOUBLE ELSE (1.0::DOUBLE + event_id % 7) / 2 END AS h
+  FROM {ly.EVENT_POINTS} e) t WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s WHERE s.p_size > 45
+  AND t.x - t.h <= s.xmax AND t.x + t.h >= s.xmin AND t.y - t.h <= s.ymax AND t.y + t.h >= s.ymin)""")
+def t2_boxes(spark, sf_dir):
+    """A stream of moving boxes of very different sizes against static ones."""
+    out = _folder(spark)
+    hits = st.geofence(_event_boxes(_events(spark, sf_dir)), ly.part_boxes(spark, sf_dir).where("p_size > 45"))
+    st.export_stream(hits.select("event_id", "user_id"), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 @register("t3_latest_stream", f"""
 SELECT id, project, layer, subset_string FROM {FILTER_LOG} l
 QUALIFY row_number() OVER (PARTITION BY project, layer ORDER BY ts DESC, id DESC) = 1""")

@@ -29,10 +29,10 @@ def export_stream(stream: DataFrame, path: str, checkpoint: str, fmt: str = "par
 
 def geofence(points: Layer, fences: Layer, predicates=("intersects",), radius=None, plan: JoinPlan | None = None
              ) -> DataFrame:
-    """Points of a stream that stand in a fence: a semi-join of each batch with the static fences.
+    """Points, boxes or shapes of a stream that stand in a fence: a semi-join of each batch with the static fences.
 
-    It keeps no state, so every point is judged once, however late it comes and whatever batch it is in. The fences
-    are measured once, and joined on grid cells in every batch.
+    It keeps no state, so every row is judged once, however late it comes and whatever batch it is in. The fences
+    are measured once, and joined on grid cells in every batch. Boxes and shapes may have any size up to 4 ** 15 units.
     """
     plan = replace(plan or plan_join(points, fences, radius), hot=())  # cells crowded once need not stay so
     return spatial_filter(points, fences, predicates, radius, plan=plan)

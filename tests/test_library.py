@@ -426,3 +426,24 @@ def test_latest_entries_stay_in_few_folders(spark, tmp_path):
         streams.read_latest(spark, f"{tmp_path}/latest"), lg.last_filters(rows)))
     assert got == expected and len(got) == 3
     assert len(list((tmp_path / "latest").glob("slot=*"))) == 6
+
+
+@pytest.mark.parametrize("kind", ["boxes", "shapes"])
+def test_geofence_of_moving_shapes(spark, tmp_path, kind):
+    """Sizes that the plan has not seen, over many levels, each row a batch of its own or all in one."""
+    rows = spark.range(120).select("id", (F.col("id") % 40).cast("double").alias("xmin"), F.lit(0.0).alias("ymin")).withColumns(
+        {"xmax": F.col("xmin") + F.pow(F.lit(3.0), F.col("id") % 11) / 10, "ymax": F.pow(F.lit(2.0), F.col("id") % 7) / 8})
+    boxes = Layer(rows, "id", BoxColumns())
+    rows = boxes.as_shapes().df if kind == "shapes" else rows
+    geometry = ShapeColumn() if kind == "shapes" else BoxColumns()
+    rows.repartition(6).write.parquet(f"{tmp_path}/in")
+    fences = spark.createDataFrame([(1, 50.0, 1.0, 51.0, 2.0), (2, 300.0, 0.0, 900.0, 700.0), (3, 7.0, 0.0, 7.01, 0.01)],
+                                   "fid long, xmin double, ymin double, xmax double, ymax double")
+    feed = streams.read_stream(spark, f"{tmp_path}/in", rows.schema, max_files=2)
+    hits = streams.geofence(Layer(feed, "id", geometry), Layer(fences, "fid", BoxColumns()))
+    streams.export_stream(hits.select("id"), f"{tmp_path}/hits", f"{tmp_path}/c").awaitTermination()
+    want = boxes.df.alias("t").join(fences.alias("f"), F.expr(
+        "t.xmin <= f.xmax AND t.xmax >= f.xmin AND t.ymin <= f.ymax AND t.ymax >= f.ymin")).select("id").distinct()
+    assert values(spark.read.parquet(f"{tmp_path}/hits")) == values(want) and want.count() > 10
+    with pytest.raises(ValueError, match="stream"):
+        streams.geofence(Layer(feed, "id", geometry).as_shapes(), Layer(fences, "fid", BoxColumns()), ("within",))
