@@ -70,12 +70,14 @@ class Aligner:
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray, np.ndarray]:
         """The number of groups, their digest, and the a and b places of each link."""
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        ends = np.union1d(end_a, end_b)
+        ends = np.concatenate([end_a, end_b])
+        ends.sort(kind="stable")  # two runs in order
+        new = np.append(ends[1:] != ends[:-1], True)
+        both, ends = ends[:-1][~new[:-1]], ends[new]
         link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
         # of each group first the a ids, then the b ids
-        last_a, last_b = np.isin(end_a, both, assume_unique=True), np.isin(end_b, both, assume_unique=True)
         group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        last_a, last_b = both[group_a] == end_a, both[group_b] == end_b
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable").tolist()
         written_ids = [self.text_a[i] for i in (2 * a + last_a).tolist()]
         written_ids += [self.text_b[i] for i in (2 * b + last_b).tolist()]
