@@ -264,11 +264,19 @@ def test_word_encoder_is_the_library():
     library, encode = Tokenizer.from_file(WORDS), grammar_files.encoder(WORDS)
     alphabet = "aB1'st é́ \u0085 　\x1c\x1f\t\n İΣσß日<|>_-.​\U0001F600ﬁ"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(3000)]
+    latin = [chr(c) for c in [*range(1, 0x250), *range(0x2010, 0x2060), *range(0x20A0, 0x20C0)]]
+    texts += ["".join(r.choice(latin) for _ in range(30)) for _ in range(3000)] + latin
     texts += ["a<|endoftext|>b", "<|startoftext|>", "don't WE'LL 'S", ""]
     for text, ids in zip(texts, encode(texts)):
         assert ids == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_word_encoder_is_the_library_on_a_table(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    library, encode = Tokenizer.from_file(WORDS), grammar_files.encoder(WORDS)
+    assert encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_re_pair_round_trip():
     r = np.random.default_rng(2)
     for n, kinds in ((1, 3), (50, 1), (5000, 2), (40_000, 300), (3000, 2900)):
