@@ -1,10 +1,15 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over all rows to learn from. The regression is fitted on a bounded sample of them
-(``sample_rows``, chosen by a hash of the key) with follow-the-regularised-leader updates and an elastic-net penalty,
-and its scores are calibrated by a temperature fitted on a part of the sample that the weights did not see.
-
-A text that is null or has no letter is ``und`` with score 0, as is every text if there is nothing to learn from.
+with follow-the-regularised-leader updates and an elastic-net penalty, and its scores are calibrated by a temperature
+fitted on a part of the sample that the weights did not see. The sample has at most about ``sample_rows`` rows, chosen by
+a hash of key and text, and of each row the ``ROW_FEATURES`` heaviest n-grams (some 50 MB in all). Its rows are shared out
+over the languages, so that a language of few rows in a million is learned like the others; the scores are set right
+for the shares that the languages really have.
+
+A text that is null or has no letter is ``und`` with score 0, as is every text if there is nothing to learn from: no rows,
+no language. Very long texts are counted whole. Repeated rows count each; equal rows get equal results; only
+the key, the text and the language are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from geosieve.llm.common import small_batches
 BITS = 15  # hashed n-grams of one to three characters
 ORDERS = 3
 SAMPLE_ROWS = 4000
+ROW_FEATURES = 2048
+LANGUAGES = 1000  # the most frequent ones are learned
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.01
 CALIBRATION_SHARE = 5  # one sampled row in so many is kept for the temperature
@@ -93,14 +100,14 @@ def temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 
 
 class LanguageModel:
-    def __init__(self, names: list[str], idf: np.ndarray, weights: np.ndarray, heat: float):
-        self.names, self.idf, self.weights, self.heat = names, idf, weights, heat
+    def __init__(self, names: list[str], idf: np.ndarray, weights: np.ndarray, heat: float, prior: np.ndarray):
+        self.names, self.idf, self.weights, self.heat, self.prior = names, idf, weights, heat, prior
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.names or not text or not _LETTER.search(text):
             return UNKNOWN, 0.0
         at, x = vector(text, self.idf)
-        p = softmax(x @ self.weights[at] / self.heat)
+        p = softmax(x @ self.weights[at] / self.heat + self.prior)
         return self.names[int(p.argmax())], float(p.max())
 
 
@@ -123,33 +130,59 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return counts[:-1], int(counts[-1])
 
 
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many rows of each language to take: all of the rarest, an equal share of the others, ``rows`` in all."""
+    out = {}
+    for i, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, -(-(rows - sum(out.values())) // (len(counts) - i)))
+    return out
+
+
 def fit(rows: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
-        sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+        sample_rows: int = SAMPLE_ROWS, row_features: int = ROW_FEATURES) -> LanguageModel:
     """A model of the rows for which ``learn`` holds and text and language are not null."""
     small_batches(rows.sparkSession)
-    rows = rows.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts, total = document_frequencies(rows.select(text))
+    rows = rows.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
+        F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("y"))
+    counts, total = document_frequencies(rows.select("text"))
     idf = np.log((1 + total) / (1 + counts)) + 1
-    share = int((1 << 30) * min(1.0, sample_rows / max(1, total)))
+    top = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LANGUAGES)
+    known = {r["y"]: r["count"] for r in top.collect()}
+    wanted = quotas(known, sample_rows)
+    share = {y: int((1 << 30) * wanted[y] / n) for y, n in known.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()  # copies of a row hash alike; each task takes one of them
         for batch in batches:
-            vectors = [vector(t, idf) for t in batch.column(0).to_pylist()]
+            hashes = batch.column(2).to_pylist()
+            new = [i for i, h in enumerate(hashes) if h not in met and not met.add(h)]
+            batch, vectors = batch.take(pa.array(new, pa.int64())), []
+            for t in batch.column(0).to_pylist():
+                at, x = vector(t, idf)
+                if len(at) > row_features:
+                    heavy = np.sort(np.argpartition(-x[:-1], row_features - 2)[:row_features - 1])
+                    at, x = np.append(at[heavy], at[-1]), np.append(x[heavy], x[-1])
+                vectors.append((at.astype(np.uint16).tobytes(), x.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in vectors], pa.binary()),
-                 pa.array([x.astype(np.float32).tobytes() for _, x in vectors], pa.binary())], names=["y", "at", "x"])
+                [batch.column(1), *[pa.array([v[k] for v in vectors], pa.binary()) for k in (0, 1)]],
+                names=["y", "at", "x"])
 
-    sampled = rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < share)
-    found = sampled.select(text, F.col(lang).alias("y")).mapInArrow(run, "y string, at binary, x binary").collect()
+    shares = rows.sparkSession.createDataFrame(list(share.items()), "y string, share long")  # a row per language
+    rows = rows.join(F.broadcast(shares), "y").withColumn("h", F.xxhash64(F.lit("sample"), "key", "text"))
+    sampled = rows.where(F.pmod("h", F.lit(1 << 30)) < F.col("share")).select("text", "y", "h")
+    found = sampled.mapInArrow(run, "y string, at binary, x binary").collect()
     names = sorted({r.y for r in found})
-    found = sorted(((np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(float),
+    found = sorted(((np.frombuffer(r["at"], np.uint16).astype(int), np.frombuffer(r["x"], np.float32).astype(float),
                      names.index(r["y"])) for r in found), key=lambda v: (v[2], v[0].tobytes(), v[1].tobytes()))
     order = np.random.default_rng(5).permutation(len(found))
     held, seen = [[found[i] for j, i in enumerate(order) if (j % CALIBRATION_SHARE == 0) == part]
                   for part in (True, False)]
     weights = follow_the_leader(seen, len(names), (1 << BITS) + 1)
     logits = np.array([x @ weights[at] for at, x, _ in held])
-    return LanguageModel(names, idf, weights, temperature(logits, np.array([y for *_, y in held], int)))
+    heat = temperature(logits, np.array([y for *_, y in held], int))
+    taken = np.bincount([y for *_, y in found], minlength=len(names))
+    prior = np.log(np.array([known[y] for y in names], float)) - np.log(np.maximum(taken, 1))
+    return LanguageModel(names, idf, weights, heat, prior - (prior.max() if len(prior) else 0))
 
 
 def predicted(model: LanguageModel, text: Column) -> Column:
