@@ -179,6 +179,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", flo
     every = written(_summaries(docs))
     first = every.where(c("doc_id").isNotNull() & (c("n_words") >= LENGTH)).groupBy("d1", "d2").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = written(first)  # so that the join meets plain exchanges and adaptive execution splits a document's copies
     copies = written(every.join(first, ["d1", "d2"]).where("doc_id > first").select("doc_id").distinct())
 
     hot = _hot(_anchors(_sampled(known)), ["h"], floor)
