@@ -11,7 +11,9 @@ any sortable type), kind, role, text. Kinds:
 Events are partitioned by conversation and a range of messages, sorted, and folded one message at a time, so a
 conversation of any length spreads over tasks and takes the memory of one message. Two ``message`` events of one
 message number (repeated rows) are two turns. A null text or role is an empty one; events of a message that no
-``message`` event opens are an assistant turn with the text they give. A null conversation is one of its own.
+``message`` event opens are an assistant turn with the text they give. A null conversation is one of its own. Events of equal
+seq are taken by kind (in the order above), role and text; turns of one message by the order of their opening events. A
+very long text passes as one turn; no events give no turns; other columns are not read.
 
 Template: each turn is ``<turn ROLE>\\n`` text ``\\n</turn>\\n``. Roles are percent-encoded. In texts, one backslash is put
 before every ``<turn`` or ``</turn`` and the backslashes in front of it; a marker itself never follows a backslash, so

@@ -5,7 +5,9 @@ phrases again, and so on until one name is left. Where a phrase ends depends on
 substrings get the same phrases inside, wherever they stand. The fingerprint holds the last name and, of a lower
 level, the smallest phrase names; likeness is the share of phrases two texts have in common, estimated from those.
 
-A null text is an empty one. Equal texts have equal fingerprints; a fingerprint is like itself with 1, and an empty
+A null text is an empty one. Very long texts are parsed whole, in memory that grows with one text. Repeated rows are
+documents of their own; rows of equal or null id follow each other in any order. No rows give no rows, and columns but the
+key and the text are not read. Equal texts have equal fingerprints; a fingerprint is like itself with 1, and an empty
 text is unlike all others (0).
 """
 

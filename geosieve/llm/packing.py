@@ -10,7 +10,8 @@ Ids are those of the ``tokenizers`` library. With ``added_tokens``, its default
 mark in a text is that token; without, it is ordinary characters. The library encodes the texts with such a token and
 those with a very long gap; a faster encoder with the same ids encodes the others. Words between spaces are tokenised
 once per worker and kept: in this family of pre-tokenisers a space before a visible character always begins a token. A
-null text is an empty one (just the end id); equal rows are packed each on its own.
+null text is an empty one (just the end id); equal rows are packed each on its own. Very long texts are encoded whole and
+cut; pieces of equal length are taken by key, piece and checksum; no rows give no pieces; other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ Only DataFrame functions are used. A line breaks a rule if it
 * is a short line with a usual boilerplate phrase (``boilerplate``),
 * is full of symbols, has no lower-case letter, or is one word over and over (``symbols``, ``capitals``, ``repeats``).
 
-A null text has no words. Columns of the input other than the key and the text are not read.
+A null text has no words, no lines and fails. Very long texts are judged whole, as arrays of their lines; repeated rows are
+judged each, no rows give no rows. Columns of the input other than the key and the text are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ become byte pieces. No piece holds a marker behind another character, nor a line
 the best paths of its words one after the other; each distinct word is decoded once per worker, a batch of words at a
 time. Decoding joins the pieces, turns markers into spaces and byte pieces into text.
 
-A null text has no ids. Decoding gives the text back except for the marker character itself, which becomes a space.
+A null text has no ids. Very long texts and words are encoded whole; equal rows get equal ids, no rows give no rows, and
+columns but the key and the text are not read. Decoding gives the text back except for the marker character itself, which becomes a space.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ one) that are in at least five sampled rows, in however small a part of them, an
 chance; it is fitted on a bounded sample of the labelled rows (``sample_rows``) with a bounded number of features
 (``max_features``).
 
-A null or empty text gets the score of a text without words. Without labelled rows every score is 0.
+A null or empty text gets the score of a text without words. Very long texts are restored place by place and scored
+whole; equal texts have equal scores, repeated rows count each in the trigrams; no rows give no rows, and columns but
+the key, the text and the labels are not read. Without labelled rows every score is 0.
 """
 
 from __future__ import annotations
