@@ -74,9 +74,8 @@ def box_gap_sq(t: Box, s: Box) -> str:
 
 
 def box_reach_sq(t: Box, s: Box) -> str:
-    """Squared distance of the farthest corner of ``t`` from the point ``s``."""
-    return _squares(f"greatest(abs({t[0]} - {s[0]}), abs({t[2]} - {s[0]}))",
-                    f"greatest(abs({t[1]} - {s[1]}), abs({t[3]} - {s[1]}))")
+    """Squared distance of the farthest corner of ``t`` from the box ``s``."""
+    return _squares(f"greatest({s[0]} - {t[0]}, {t[2]} - {s[2]}, 0D)", f"greatest({s[1]} - {t[1]}, {t[3]} - {s[3]}, 0D)")
 
 
 def point_edge_gap_sq(x: str, y: str, e: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -158,3 +159,37 @@ def reduction_report(df: DataFrame, steps: Sequence[tuple[str, Column | str]]) -
             (1.0 - after / F.greatest(before, F.lit(1))).alias("reduction"),
             ((F.col("n_0") - after) * BYTES_PER_ROW / (1024 * 1024)).alias("saved_mb")))
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def filter_type_report(df: DataFrame, expression: str) -> DataFrame:
+    """(column, operator, column_type, suggestion, n_values, fitting_share): comparisons of a filter that need a cast.
+
+    A text column compared with a number, or a numeric column compared with a pattern. ``fitting_share`` says which part
+    of the column's values survive the suggested cast, so a code like ``B7`` in a text of numbers is seen beforehand.
+    Columns inside a cast are not reported; the values of all columns are judged in one pass.
+    """
+    bare = re.sub(r"'(?:[^']|'')*'", "''", expression)
+    number, found = r"-?\d+(?:\.\d+)?", {}
+    for f in df.schema:
+        name = rf"(?<![\w.])[`\"]?\b{re.escape(f.name)}\b[`\"]?\s*"
+        text, numeric = isinstance(f.dataType, T.StringType), isinstance(f.dataType, T.NumericType)
+        if text:
+            for m in re.finditer(name + rf"(<=|>=|<>|!=|=|<|>|(?:NOT\s+)?BETWEEN)\s*{number}", bare, re.IGNORECASE):
+                found[f.name, " ".join(m[1].upper().split())] = "double"
+        if numeric:
+            for m in re.finditer(name + r"((?:NOT\s+)?(?:LIKE|ILIKE|RLIKE))\b", bare, re.IGNORECASE):
+                found[f.name, " ".join(m[1].upper().split())] = "string"
+    columns = sorted({c for c, _ in found})
+    schema = "column string, operator string, column_type string, suggestion string, n_values long, fitting_share double"
+    if not found:
+        return df.sparkSession.createDataFrame([], schema)
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    fits = {c: F.count(as_number(F.col(f"`{c}`"))) if types[c] == "string" else F.count(F.col(f"`{c}`")) for c in columns}
+    sums = df.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(F.nullif(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(f"n{i}"), fits[c].alias(f"f{i}"))])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(op).alias("operator"), F.lit(types[c]).alias("column_type"),
+                     F.lit(f"try_cast({c} AS {cast})" if cast == "double" else f"cast({c} AS string)").alias("suggestion"),
+                     F.col(f"n{columns.index(c)}").alias("n_values"),
+                     (F.col(f"f{columns.index(c)}") / F.nullif(F.col(f"n{columns.index(c)}"), F.lit(0))).alias("fitting_share"))
+            for (c, op), cast in sorted(found.items())]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -354,7 +354,7 @@ def _exact(names, target: Layer, source: Layer, radius: Radius) -> str:
                                "touches": f"({near} AND NOT {nearer})", "disjoint": f"(NOT {near})"})
     if isinstance(radius, (int, float)):
         return (_buffered if radius > 0 else _eroded)(names, tk, sk)
-    eroded = _eroded(names, tk, sk) if tk == "point" and sk != "point" else pr.NEVER
+    eroded = _eroded(names, tk, sk) if tk == "point" and sk != "point" or (tk, sk) == ("box", "box") else pr.NEVER
     return (f"CASE WHEN _sr > 0 THEN {_buffered(names, tk, sk)} WHEN _sr < 0 THEN {eroded} "
             f"ELSE {_plain(names, tk, sk)} END")
 
@@ -381,10 +381,18 @@ def _buffered(names, tk: str, sk: str) -> str:
     t, s = _sides_sql(tk, sk)
     reach_sq = "_sr * _sr"
     if tk != "point":
-        if set(names) <= {"within", "coveredby"} and (tk, sk) == ("box", "point"):
-            return f"({pr.box_reach_sq(t, s)} <= {reach_sq})"
+        if tk == "box" and sk in ("box", "point") and not set(names) & {"overlaps", "crosses"}:
+            gap, far = pr.box_gap_sq(t, s), pr.box_reach_sq(t, s)
+            near, nearer = f"({gap} <= {reach_sq})", f"({gap} < {reach_sq})"
+            grown = (f"({s[0]} - _sr)", f"({s[1]} - _sr)", f"({s[2]} + _sr)", f"({s[3]} + _sr)")
+            covers = pr.bbox_covers(t, grown)
+            # its corners are rounded, so a grown box equals no box
+            return pr.pick(names, {
+                "intersects": near, "disjoint": f"(NOT {near})", "touches": f"({near} AND NOT {nearer})",
+                "coveredby": f"({far} <= {reach_sq})", "within": f"({far} <= {reach_sq} AND {nearer})",
+                "covers": covers, "contains": covers})
         if set(names) - {"intersects"}:
-            raise ValueError("a radius with lines, polygons or boxes as targets works with intersects only")
+            raise ValueError("a radius with lines or polygons works with intersects only, with boxes not with overlaps and crosses")
         if "shape" in (tk, sk):
             return f"({geo.distance_sql('_tgeom', '_sgeom')} <= _sr)"
         return f"({pr.box_gap_sq(t, s)} <= {reach_sq})"
@@ -401,9 +409,17 @@ def _buffered(names, tk: str, sk: str) -> str:
 
 
 def _eroded(names, tk: str, sk: str) -> str:
-    """Point targets against the polygon shrunk by the radius; a polygon that vanishes matches nothing."""
+    """Points or boxes against the polygon shrunk by the radius; a polygon that vanishes matches nothing."""
+    if (tk, sk) == ("box", "box"):
+        r, s = "abs(_sr)", SOURCE_BOX
+        left = f"({s[2]} - {s[0]} > 2 * {r} AND {s[3]} - {s[1]} > 2 * {r})"
+        shrunk = (f"({s[0]} + {r})", f"({s[1]} + {r})", f"({s[2]} - {r})", f"({s[3]} - {r})")
+        others = tuple(n for n in names if n != "disjoint")
+        met = f"({left} AND {pr.box_box(others, TARGET_BOX, shrunk)})"
+        apart = f"(NOT ({left} AND {pr.bbox_overlap(TARGET_BOX, shrunk)}))"
+        return pr.any_of(([met] if others else []) + ([apart] if "disjoint" in names else []))
     if tk != "point":
-        raise ValueError("a negative radius works with point targets only")
+        raise ValueError("a negative radius works with points, or with boxes on both sides")
     (x, y), r = TARGET_POINT[:2], "abs(_sr)"
     if sk == "box":
         left = f"(_sx1 - _sx0 > 2 * {r} AND _sy1 - _sy0 > 2 * {r})"

@@ -237,6 +237,26 @@ def p5(spark, sf_dir):
     return pf.text_columns_report(df.withColumn("brand_no", F.replace("p_brand", F.lit("Brand#"), F.lit(""))))
 
 
+def _brands(spark, sf_dir):
+    return ly.table(spark, sf_dir, "part").withColumn("brand_no", F.replace("p_brand", F.lit("Brand#"), F.lit("")))
+
+
+@register("f11_filter_type_report", """
+WITH c AS (SELECT count(nullif(p_brand, '')) AS n, count(TRY_CAST(trim(p_brand) AS DOUBLE)) AS f,
+  count(nullif(replace(p_brand, 'Brand#', ''), '')) AS bn, count(TRY_CAST(trim(replace(p_brand, 'Brand#', '')) AS DOUBLE)) AS bf,
+  count(p_size) AS sn FROM part)
+SELECT 'brand_no' AS "column", 'BETWEEN' AS operator, 'string' AS column_type, 'try_cast(brand_no AS double)' AS suggestion,
+  bn AS n_values, bf / bn AS fitting_share FROM c
+UNION ALL SELECT 'brand_no', '<=', 'string', 'try_cast(brand_no AS double)', bn, bf / bn FROM c
+UNION ALL SELECT 'p_brand', '>', 'string', 'try_cast(p_brand AS double)', n, f / n FROM c
+UNION ALL SELECT 'p_size', 'NOT LIKE', 'int', 'cast(p_size AS string)', sn, 1.0::DOUBLE FROM c""")
+def f11(spark, sf_dir):
+    """Which comparisons of a filter need a cast, and how many values survive it."""
+    expression = ("p_brand > 4 AND (brand_no <= 30 OR brand_no BETWEEN 41 AND 43) AND p_size NOT LIKE '1%' AND p_name = '5' "
+                  "AND p_type <> 'p_brand = 3' AND p_retailprice >= 10")
+    return pf.filter_type_report(_brands(spark, sf_dir), expression)
+
+
 @register("p5_display_field", """
 SELECT CASE WHEN count(c_name) > 0 THEN 'c_name' ELSE 'c_mktsegment' END AS display_field FROM customer""")
 def p5_display(spark, sf_dir):

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from geosieve.functions import expressions as ex
+from geosieve.functions import geometry as geo
 from geosieve.functions.crs import METRIC
+from geosieve.functions.wkb import to_wkb
 from geosieve.layer import Layer
 from geosieve.operators import filter_log as lg
 from geosieve.operators import filters as fl
 from geosieve.operators import joins as jn
 from geosieve.plans import layers as ly
 from geosieve.plans.registering import register
+from geosieve.sizing import checkpoint_dir
 from geosieve.sources import readers as rd
 from geosieve.sources import writers as wr
 
@@ -47,6 +52,20 @@ def s1(spark, sf_dir):
     return rd.scan(layer, fields=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
 
 
+@register("s1_wkb_layer", f"""
+SELECT p_partkey, CASE kind WHEN 'holed' THEN 260 WHEN 'ell' THEN 224 ELSE 324 END * unit * unit AS area,
+  CASE kind WHEN 'holed' THEN 10 WHEN 'ell' THEN 7 ELSE 5 END AS corners, x0 + unit AS xmin, y0 + unit AS ymin
+FROM {ly.PART_SHAPES} s""")
+def s1_wkb(spark, sf_dir):
+    """Shapes written as WKB in Parquet, as databases and GeoParquet hold them, and read back as a layer."""
+    shapes, folder = ly.part_shapes(spark, sf_dir), f"{checkpoint_dir(spark)}/wkb-{uuid.uuid4().hex}"
+    shapes.df.select("p_partkey", to_wkb(col("geom")).alias("geometry")).write.parquet(folder)
+    layer = rd.read_layer(spark, "geoparquet", folder, ("p_partkey",))
+    xmin, ymin, *_ = geo.bbox(col("geom"))
+    return layer.df.select("p_partkey", geo.area(col("geom")).alias("area"), geo.num_points(col("geom")).alias("corners"),
+                           xmin.alias("xmin"), ymin.alias("ymin"))
+
+
 @register("s2_projected_scan", """
 SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000
 ORDER BY o_orderkey LIMIT 1000""")

@@ -414,6 +414,34 @@ def j8_eroded(spark, sf_dir):
         "o_orderkey")
 
 
+@register("j7_eroded_boxes", f"""
+SELECT p_partkey FROM {ly.PART_BOXES} t WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s
+  WHERE s.xmax - s.xmin > 8 AND s.ymax - s.ymin > 8 AND s.p_partkey % 3 = 0
+  AND t.xmin <= s.xmax - 4 AND t.xmax >= s.xmin + 4 AND t.ymin <= s.ymax - 4 AND t.ymax >= s.ymin + 4)""")
+def j7_boxes(spark, sf_dir):
+    """Boxes that reach four units or more into one of a third of the boxes."""
+    boxes = ly.part_boxes(spark, sf_dir)
+    return sp.spatial_filter(boxes, boxes.where("p_partkey % 3 = 0"), radius=-4).select("p_partkey")
+
+
+@register("j5_within_grown_boxes", f"""
+SELECT t.p_partkey AS t_p_partkey, s.p_partkey AS s_p_partkey FROM {ly.PART_BOXES} t JOIN {ly.PART_BOXES} s
+  ON greatest(s.xmin - t.xmin, t.xmax - s.xmax, 0) ** 2 + greatest(s.ymin - t.ymin, t.ymax - s.ymax, 0) ** 2 <= 25""")
+def j5_within(spark, sf_dir):
+    """Boxes that lie wholly within five units of another."""
+    boxes = ly.part_boxes(spark, sf_dir)
+    return sp.spatial_pairs(boxes, boxes, "within", radius=5)
+
+
+@register("j5_contains_grown_boxes", f"""
+SELECT p_partkey FROM {ly.PART_BOXES} t WHERE EXISTS (SELECT 1 FROM {ly.PART_BOXES} s
+  WHERE t.xmin <= s.xmin - 3 AND t.xmax >= s.xmax + 3 AND t.ymin <= s.ymin - 3 AND t.ymax >= s.ymax + 3)""")
+def j5_contains(spark, sf_dir):
+    """Boxes that hold another with three units to spare."""
+    boxes = ly.part_boxes(spark, sf_dir)
+    return sp.spatial_filter(boxes, boxes, "contains", radius=3).select("p_partkey")
+
+
 # --- flat boxes and point shapes ---------------------------------------------------------------------
 
 

@@ -6,14 +6,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geosieve.functions.expressions import as_column
-from geosieve.layer import Layer, PointColumns, ShapeColumn
+from geosieve.functions.wkb import from_wkb
+from geosieve.layer import Layer, PointColumns, ShapeColumn, once
 from geosieve.operators.geometry_jobs import ingest_wkt
 
 # Provider names and the Spark format that reads them.
 FORMATS = {
     "parquet": "parquet",
+    "geoparquet": "parquet",
     "orc": "orc",
     "json": "json",
     "csv": "csv",
@@ -38,10 +41,17 @@ def read_table(spark: SparkSession, provider: str, path: str | None = None, sche
 
 
 def read_layer(spark: SparkSession, provider: str, path: str | None = None, pk: Sequence[str] = ("id",),
-               wkt: str | None = None, xy: tuple[str, str] | None = None, crs: str = "EPSG:3857", name: str = "",
+               wkt: str | None = None, wkb: str | None = None, xy: tuple[str, str] | None = None, crs: str = "EPSG:3857", name: str = "",
                schema=None, **options) -> Layer:
-    """A layer whose geometry is a struct column, a WKT text, two coordinates, or absent."""
+    """A layer whose geometry is a struct column, a WKT text, WKB bytes, two coordinates, or absent.
+
+    ``geoparquet`` takes the column ``geometry`` for WKB, as such files name it; its CRS is the caller's to say.
+    """
     df = read_table(spark, provider, path, schema, **options)
+    if provider == "geoparquet" and not (wkb or wkt or xy):
+        wkb = "geometry"
+    if wkb:
+        return Layer(once(df, "geom", from_wkb(F.col(wkb))).drop(wkb), pk, ShapeColumn("geom"), crs, name)
     if wkt:
         return Layer(ingest_wkt(df, wkt)[0].drop(wkt), pk, ShapeColumn("geom"), crs, name)
     if xy:

@@ -447,3 +447,15 @@ def test_geofence_of_moving_shapes(spark, tmp_path, kind):
     assert values(spark.read.parquet(f"{tmp_path}/hits")) == values(want) and want.count() > 10
     with pytest.raises(ValueError, match="stream"):
         streams.geofence(Layer(feed, "id", geometry).as_shapes(), Layer(fences, "fid", BoxColumns()), ("within",))
+
+
+def test_filter_type_report(spark):
+    df = spark.createDataFrame([("1", 2, "a"), ("x", 3, "b"), ("", None, None), (None, 4, "c")], "code string, n int, t string")
+    report = lambda e: [tuple(r) for r in pf.filter_type_report(df, e).collect()]
+    assert report("code > 5 AND n LIKE '1%' AND t = 'code < 3' AND try_cast(code AS double) < 7") == [
+        ("code", ">", "string", "try_cast(code AS double)", 2, 0.5), ("n", "LIKE", "int", "cast(n AS string)", 3, 1.0)]
+    assert report("`code` NOT BETWEEN 1 AND 2 OR code<>-3.5") == [
+        ("code", "<>", "string", "try_cast(code AS double)", 2, 0.5),
+        ("code", "NOT BETWEEN", "string", "try_cast(code AS double)", 2, 0.5)]
+    assert report("n > 5 AND t LIKE 'x' AND other.code > 3 AND code = '4'") == []
+    assert pf.filter_type_report(df.limit(0), "code > 5").first().fitting_share is None

@@ -75,6 +75,24 @@ def test_boxes_of_all_sizes(spark, way):
     assert ids(spatial.spatial_filter(target, source, plan=plan)) == {a for a, _ in expected}
 
 
+def test_whole_rows_are_exchanged_once(spark):
+    """A shuffled join on several levels sends keys and geometries; the other columns meet the found keys at the end."""
+    rows = [(i, float(i), 0.0, i + 4.0 ** (i % 6), 1.0) for i in range(60)]
+    layer = boxes(spark, rows)
+    wide = layer.with_df(layer.df.withColumn("payload", F.lit("x")))
+    plan = spatial.plan_join(wide, layer, strategy="shuffle")
+    assert len(plan.levels) > 1
+    for names, mode in ((("intersects",), "any"), (("disjoint",), "all")):
+        found = spatial.spatial_filter(wide, layer.where("id % 7 = 0"), names, mode=mode, plan=plan)
+        text = found._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        sent = [part for part in text.split("\n\n") if "Exchange" in part.split("\n")[0] and "payload" in part]
+        assert len(sent) <= 1, sent
+    met = {x.id for x in spatial.spatial_filter(wide, layer.where("id % 7 = 0"), plan=plan).collect()}
+    want = {i for i, a, _, b, _ in rows if any(j % 7 == 0 and a <= d and c_ <= b for j, c_, _, d, _ in rows)}
+    assert met == want
+
+
 @pytest.mark.parametrize("way", WAYS)
 def test_radius_over_boxes(spark, way):
     t, s = random_boxes(200, 3), random_boxes(200, 4, (0.1, 1, 7))
@@ -228,11 +246,50 @@ def test_within_radius_touches_and_wrong_uses(spark):
     with pytest.raises(ValueError):
         spatial.spatial_filter(target, centre, "near")
     with pytest.raises(ValueError):
-        spatial.spatial_filter(boxes(spark, [(1, 0.0, 0.0, 1.0, 1.0)]), centre, "touches", radius=5).count()
+        spatial.spatial_filter(boxes(spark, [(1, 0.0, 0.0, 1.0, 1.0)]), centre, "overlaps", radius=5).count()
     with pytest.raises(ValueError):
         spatial.spatial_pairs(target, centre, "disjoint")
 
 
+@pytest.mark.parametrize("way", ["broadcast", "shuffle"])
+def test_boxes_against_grown_and_shrunk_boxes(spark, way):
+    """All predicates of a radius between boxes, by plain formulas; whole coordinates, so that borders meet."""
+    r = random.Random(4)
+    rows = [[(i, *sum(([a, b] for a, b in [(float(r.randrange(40)), float(r.randrange(40)))]), []),
+              float(r.choice([0, 1, 4, 12])), float(r.choice([0, 2, 5, 9]))) for i in range(120)] for _ in range(2)]
+    sides = [[(i, x, y, x + w, y + h) for i, x, y, w, h in side] for side in rows]
+    target, source = (boxes(spark, side) for side in sides)
+    for radius in (3, -2):
+        plan = spatial.plan_join(target, source, radius, strategy=way)
+        for name in ("intersects", "within", "coveredby", "covers", "contains", "touches"):
+            got = {tuple(x) for x in spatial.spatial_pairs(target, source, name, radius=radius, plan=plan).collect()}
+            want = set()
+            for i, a0, b0, a1, b1 in sides[0]:
+                for j, c0, d0, c1, d1 in sides[1]:
+                    if radius > 0:
+                        gap = max(c0 - a1, a0 - c1, 0) ** 2 + max(d0 - b1, b0 - d1, 0) ** 2
+                        far = max(c0 - a0, a1 - c1, 0) ** 2 + max(d0 - b0, b1 - d1, 0) ** 2
+                        over = a0 <= c0 - radius and b0 <= d0 - radius and a1 >= c1 + radius and b1 >= d1 + radius
+                        ok = {"intersects": gap <= 9, "touches": gap == 9, "coveredby": far <= 9, "within": far <= 9 and gap < 9,
+                              "covers": over, "contains": over}[name]
+                    else:
+                        c0, d0, c1, d1 = c0 + 2, d0 + 2, c1 - 2, d1 - 2
+                        meet = a0 <= c1 and a1 >= c0 and b0 <= d1 and b1 >= d0
+                        inner = all((lo < a < hi) if a == b else (a < hi and b > lo)
+                                    for a, b, lo, hi in ((a0, a1, c0, c1), (b0, b1, d0, d1)))
+                        held, over = (a0 >= c0 and a1 <= c1 and b0 >= d0 and b1 <= d1,
+                                      a0 <= c0 and a1 >= c1 and b0 <= d0 and b1 >= d1)
+                        ok = c1 > c0 and d1 > d0 and {
+                            "intersects": meet, "touches": meet and not inner, "coveredby": held, "within": held and inner,
+                            "covers": over, "contains": over and inner}[name]
+                    if ok:
+                        want.add((i, j))
+            assert got == want, (name, radius)
+    apart = {x.id for x in spatial.spatial_filter(target, source, "disjoint", radius=-2, mode="all").collect()}
+    near = {x.id for x in spatial.spatial_filter(target, source, radius=-2).collect()}
+    assert apart == set(range(120)) - near and near
+
+
 def test_chain_modes_differ(spark):
     zone, far = boxes(spark, [(1, 0.0, 0.0, 10.0, 10.0)]), points(spark, [(1, 9.0, 5.0), (2, 30.0, 5.0)])
     target = points(spark, [(1, 8.0, 5.0), (2, 11.0, 5.0), (3, 29.0, 5.0)])
