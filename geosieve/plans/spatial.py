@@ -17,6 +17,7 @@ from geosieve.operators import spatial as sp
 from geosieve.operators.windows import bucketed_neighbour
 from geosieve.plans import layers as ly
 from geosieve.plans.registering import register
+from geosieve.sizing import settle
 
 col = F.col
 
@@ -320,7 +321,9 @@ SEGMENT_IN_BOX = """least(t.x, t.x2) <= s.xmax AND greatest(t.x, t.x2) >= s.xmin
 @register("g15_lines_meet_boxes", f"""
 SELECT DISTINCT t.event_id FROM {EVENT_LINES} t JOIN {ly.PART_BOXES} s ON {SEGMENT_IN_BOX}""")
 def g15_lines(spark, sf_dir):
-    return sp.spatial_filter(event_lines(spark, sf_dir), ly.part_boxes(spark, sf_dir)).select("event_id")
+    lines = event_lines(spark, sf_dir)
+    lines = lines.with_df(settle(lines.df.select("event_id", "geom")))  # read by each step of the plan and by the join
+    return sp.spatial_filter(lines, ly.part_boxes(spark, sf_dir)).select("event_id")
 
 
 # every shape is a few rectangles without overlap, so areas of intersections are sums over their pairs

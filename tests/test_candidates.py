@@ -6,7 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from geosieve.layer import BoxColumns, Layer, PointColumns
+from geosieve.functions import geometry as geo
+from geosieve.layer import BoxColumns, Layer, PointColumns, ShapeColumn
 from geosieve.operators import spatial
 
 
@@ -59,3 +60,25 @@ def test_levels_without_sources_match_larger_targets_only(spark):
     near = "t.xmin <= s.xmax AND t.xmax >= s.xmin AND t.ymin <= s.ymax AND t.ymax >= s.ymin"
     want = {r.id for r in target.df.alias("t").join(source.df.alias("s"), F.expr(near)).select("t.id").collect()}
     assert got == want
+
+
+def test_long_lines_are_cut_for_candidates_only(spark):
+    rows = [(i, float(i * 37 % 900), float(i * 53 % 900), float(i * 71 % 900), float(i * 91 % 900)) for i in range(60)]
+    rows += [(100, 0.0, 0.0, 900.0, 0.0), (101, 5.0, 5.0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double")
+    line = geo.make_line((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")))
+    target = Layer(df.withColumn("geom", line), ("id",), ShapeColumn())
+    source = some_boxes(spark, 80, (2, 30))
+    plan = replace(spatial.plan_join(target, source, strategy="shuffle"), current=True)
+    assert len(plan.levels) > 1
+    cut = spatial._cut_lines(target, source, plan)
+    area = lambda layer: spatial._target_side(layer, False).agg(F.expr("sum((_tx1 - _tx0) * (_ty1 - _ty0))")).first()[0]
+    assert area(cut) < area(target) / 4
+    found = {r.id for r in spatial.spatial_filter(target, source, plan=plan).collect()}
+    apart = {r.id for r in spatial.spatial_filter(target, source, "disjoint", mode="all", plan=plan).collect()}
+    side = lambda x, y: f"((t.x2 - t.x1) * (s.{y} - t.y1) - (t.y2 - t.y1) * (s.{x} - t.x1))"
+    sides = ", ".join(side(x, y) for x in ("xmin", "xmax") for y in ("ymin", "ymax"))
+    meet = ("least(t.x1, t.x2) <= s.xmax AND greatest(t.x1, t.x2) >= s.xmin AND least(t.y1, t.y2) <= s.ymax AND "
+            f"greatest(t.y1, t.y2) >= s.ymin AND NOT (least({sides}) > 0 OR greatest({sides}) < 0)")
+    want = {r.id for r in df.alias("t").join(source.df.alias("s"), F.expr(meet)).select("t.id").collect()}
+    assert found == want and apart == {r[0] for r in rows} - want and want
