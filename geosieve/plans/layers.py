@@ -138,6 +138,9 @@ ZONES = """(SELECT *, CASE WHEN n_nationkey % 2 = 1 THEN 'ell' WHEN n_nationkey
 def part_shapes(spark, sf_dir) -> Layer:
     """A polygon per part: square, holed square or L of up to 50 units."""
     df = table(spark, sf_dir, "part")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)  # a small file is few tasks, and shapes are dear to build
     key = F.col("p_partkey")
     kind = F.when(key % 3 == 1, "ell").when(key % 3 == 2, "holed").otherwise("square")
     df = df.withColumns({"kind": kind, "x0": ((key * 613) % 1000).cast("double"),
