@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geosieve.layer import Layer, PointColumns
 from geosieve.operators import spatial
 from tests.test_candidates import boxes, some_boxes
 
@@ -26,3 +27,49 @@ def test_targets_of_all_sizes_share_a_join_per_level_of_sources(spark):
         want = _meeting(target, source)
         assert {r.id for r in found.collect()} == want and want
         assert {r.id for r in apart.collect()} == set(range(200)) - want
+
+
+def _crowd(spark, n: int):
+    """Boxes on few places, many within others, some flat, and points on and off their borders."""
+    rows = [(i, float(i * 37 % 50), float(i * 53 % 50), float(i * 37 % 50 + i % 13), float(i * 53 % 50 + i % 11)) for i in range(n)]
+    rows += [(-1, None, 0.0, 90.0, 90.0)]
+    points = spark.createDataFrame(
+        [(i, i * 7 % 150 / 2 - 4, i * 11 % 141 / 2 - 4) for i in range(3000)] + [(-1, None, 1.0)], "pid long, x double, y double")
+    return boxes(spark, rows), Layer(points, ("pid",), PointColumns())
+
+
+def test_points_meet_only_what_decides_in_crowded_cells(spark, monkeypatch):
+    source, points = _crowd(spark, 2000)
+    inside = "t.x BETWEEN s.xmin AND s.xmax AND t.y BETWEEN s.ymin AND s.ymax"
+    within = "t.x > s.xmin AND t.x < s.xmax AND t.y > s.ymin AND t.y < s.ymax"
+    near = "t.x IS NOT NULL AND pow(greatest(s.xmin - t.x, t.x - s.xmax, 0), 2) + pow(greatest(s.ymin - t.y, t.y - s.ymax, 0), 2) <= 1"
+    solid = source.where("xmax > xmin AND ymax > ymin")
+    shapes = solid.as_shapes()
+    keys = lambda df: {r.pid for r in df.select("pid").collect()}
+    for layer, names, radius, test in ((source, ("intersects",), None, inside), (shapes, ("intersects",), None, inside),
+                                       (shapes, ("within",), None, within), (shapes, ("intersects",), 1, near)):
+        raw = spatial.plan_join(points, layer, radius, strategy="broadcast")
+        kept = sum(t.count() for t in spatial._thinned(layer, radius, raw))
+        assert kept < raw.tiles / 2
+        monkeypatch.setattr(spatial, "BROADCAST_ROWS", kept)
+        plan = spatial.plan_join(points, layer, radius, names=names)
+        assert plan.thinned and plan.strategy == "broadcast" and not spatial.plan_join(points, layer, radius).thinned
+        solids = solid.df if layer is shapes else source.df
+        want = keys(points.df.alias("t").join(solids.alias("s"), F.expr(test)).select("t.pid"))
+        assert keys(spatial.spatial_filter(points, layer, names, radius)) == want and 0 < len(want) < 3000
+        if names == ("intersects",):
+            apart = keys(spatial.spatial_filter(points, layer, "disjoint", radius, mode="all"))
+            assert apart == set(range(3000)) - want
+    border = f"{inside} AND NOT ({within})"
+    want = keys(points.df.alias("t").join(solid.df.alias("s"), F.expr(border)).select("t.pid"))
+    assert keys(spatial.spatial_filter(points, shapes, "touches")) == want
+
+
+def test_cells_keep_few_of_many_boxes(spark):
+    counts = []
+    for n in (2000, 8000):
+        source, points = _crowd(spark, n)
+        plan = spatial.plan_join(points, source, strategy="broadcast")
+        assert plan.crowded()
+        counts.append(sum(t.count() for t in spatial._thinned(source, None, plan)))
+    assert counts[1] <= counts[0] * 1.2 and counts[0] < plan.tiles / 8
