@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geosieve.functions.crs import metre_bounds_sql, metre_gap_sql, to_mercator
 from geosieve.layer import Layer, PointColumns
 from geosieve.operators import spatial
 from tests.test_candidates import boxes, some_boxes
@@ -73,3 +74,27 @@ def test_cells_keep_few_of_many_boxes(spark):
         assert plan.crowded()
         counts.append(sum(t.count() for t in spatial._thinned(source, None, plan)))
     assert counts[1] <= counts[0] * 1.2 and counts[0] < plan.tiles / 8
+
+
+def test_metre_bounds_agree_with_the_formula(spark):
+    rows = [(lon + i * 0.031, lat + j * 0.029, lon, lat, metres) for lon in (0.0, 179.0) for lat in (-80.0, -40.0, 0.0, 33.0, 70.0, 88.5)
+            for metres in (0.5, 25000.0, 150000.0) for i in range(-20, 21, 4) for j in range(-20, 21, 4)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, m double")
+    (tx, ty), (sx, sy) = to_mercator(F.col("a"), F.col("b")), to_mercator(F.col("c"), F.col("d"))
+    df = df.select("m", tx.alias("tx"), ty.alias("ty"), sx.alias("sx"), sy.alias("sy"))
+    surely, never = metre_bounds_sql("tx", "ty", "sx", "sy", "m")
+    found = df.selectExpr(f"{surely} AS surely", f"{never} AS never", f"{metre_gap_sql('tx', 'ty', 'sx', 'sy')} < m AS near").collect()
+    assert all(r.near for r in found if r.surely) and not any(r.near for r in found if r.never)
+    assert sum(not r.surely and not r.never for r in found) < len(found) * 0.6 and any(r.surely for r in found)
+
+
+def test_geodesic_pairs_come_once_without_an_aggregate_of_them(spark):
+    rows = [(i, lon, lat) for i, (lon, lat) in enumerate([(179.99, 10.0), (-179.99, 10.0), (0.0, 89.7), (90.0, 89.7), (-180.0, 89.7),
+                                                         (180.0, 89.7), (-90.0, 89.7), (0.0, 0.0), (0.1, 0.1)])]
+    points = lambda rows: Layer(spark.createDataFrame(rows, "id long, x double, y double"), ("id",), PointColumns(), "EPSG:4326")
+    pairs = spatial.spatial_pairs(points(rows), points(rows), radius=100000, metric="geodesic")
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = {(a, b) for group in ((0, 1), (2, 3, 4, 5, 6), (7, 8)) for a in group for b in group}
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(want)
+    twice = spatial.spatial_pairs(points(rows * 2), points(rows), radius=100000, metric="geodesic")
+    assert sorted(tuple(r) for r in twice.collect()) == sorted(want)
