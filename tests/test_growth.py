@@ -90,7 +90,7 @@ def test_metre_bounds_agree_with_the_formula(spark):
 
 def test_geodesic_pairs_come_once_without_an_aggregate_of_them(spark):
     rows = [(i, lon, lat) for i, (lon, lat) in enumerate([(179.99, 10.0), (-179.99, 10.0), (0.0, 89.7), (90.0, 89.7), (-180.0, 89.7),
-                                                         (180.0, 89.7), (-90.0, 89.7), (0.0, 0.0), (0.1, 0.1)])]
+                                                         (180.0, 89.7), (-90.0, 89.7), (45.0, 20.0), (45.1, 20.1)])]
     points = lambda rows: Layer(spark.createDataFrame(rows, "id long, x double, y double"), ("id",), PointColumns(), "EPSG:4326")
     pairs = spatial.spatial_pairs(points(rows), points(rows), radius=100000, metric="geodesic")
     assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
