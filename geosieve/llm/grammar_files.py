@@ -31,6 +31,7 @@ from operator import or_
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ END_ID = 1
 SHARD_IDS = 1 << 20
 LEAST_COUNT = 8  # a rule takes 12 bytes and saves 4 with each use
 KEPT_CHARACTERS = 6_000_000  # of words, up to about 150 MB a worker
+BUCKET_BITS = 21
 LEAST_GAIN = 0.03  # a round that shortens the shard by less is the last
 HAS_ID, IS_LAST = 1, 2
 
@@ -50,17 +52,22 @@ _HEAD = "<4sIIII"
 _ENTRY = np.dtype([("doc", "<i8"), ("row", "<i8"), ("part", "<u4"), ("ids", "<u4"), ("symbols", "<u4"), ("flags", "<u4")])
 # what is not Latin text and its punctuation, whose normal form is itself; the first four are spaces for str.split() only
 _NOT_PLAIN = "[\x1c-\x1f\u0250-\u200f\u2028-\u202f\u205f-\u209f\u20c0-\U0010ffff]"
-_WORD_END = b"\xff"
+_PLAIN = [c for c in range(0x20C0) if not 0x250 <= c < 0x2010]
+_WORD_END = "\x1c"  # which no plain text has
+_LETTER, _NUMBER, _OTHER = 1, 2, 3  # kinds of characters; 0: white space
+_CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+_PIECES = "|".join([*_CONTRACTIONS, r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"])
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids of the ``tokenizers`` library (little-endian, 32-bit) for a byte-level BPE file with word ends, lower case.
 
-    As no token reaches over white space, the words of a list of texts are encoded once per worker, and kept until they
-    take too much room. Words of letters and signs that normalisation leaves alone are cut and encoded here: a faster
-    encoder takes the mark of a word's end for a byte that UTF-8 does not have, whose merges come first. Texts with
-    an added token, other characters, or what only Python takes for white space go to the library whole.
+    As no token reaches over white space, each word is encoded once per worker; words have numbers, under which their
+    ids are kept until they take too much room. Words of letters and signs that normalisation leaves alone are cut here,
+    all new ones of a list of texts at once, and encoded by a faster encoder that takes the mark of a word's end for a
+    character that such texts do not have, whose merges come first. Texts with an added token, other characters, or what
+    only Python takes for white space go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -70,43 +77,83 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_NOT_PLAIN, *map(re.escape, added)]))
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = re.compile(_NOT_PLAIN).search
         self.terminals = self.library.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.pieces = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        if file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != _PIECES:
+            raise ValueError(f"{path} cuts words in another way")
         end, byte = file["model"]["end_of_word_suffix"], byte_of_character()
-        ranks = {}
+        ranks, self.is_last = {}, np.zeros(self.terminals, bool)
         for token, i in file["model"]["vocab"].items():
-            if token not in added:
-                body, last = (token[:-len(end)], _WORD_END) if token.endswith(end) else (token, b"")
-                ranks[bytes(byte[c] for c in body) + last] = i
-        self.fast = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
-        self.words: dict[str, bytes] = {}
-        self.kept = 0
+            if token not in self.added:
+                last = token.endswith(end)
+                body = bytes(byte[c] for c in (token[:-len(end)] if last else token))
+                ranks[body + _WORD_END.encode() * last] = i
+                self.is_last[i] = last
+        self.fast = tiktoken.Encoding("words", pat_str=f"[^{_WORD_END}]*{_WORD_END}", mergeable_ranks=ranks, special_tokens={})
+        lower = "".join(map(chr, _PLAIN)).lower()
+        self.kind = np.full(max(map(ord, lower)) + 1, _OTHER, np.uint8)
+        for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (0, r"\s")):
+            self.kind[list(map(ord, regex.findall(pattern, lower)))] = kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.kept = pa.array([], pa.string()), 0
+        self.ids, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)  # ends: one before the first word too
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_plain(self, words: list[str]) -> list[bytes]:
-        one = self.fast._encode_single_piece
-        ids = [[i for piece in self.pieces(word.lower()) for i in one(piece.encode() + _WORD_END)] for word in words]
-        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = np.cumsum([0, *map(len, ids)]) * 4
-        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    def cut(self, words: pa.Array) -> tuple[str, np.ndarray]:
+        """The words' pieces, each with the mark of an end behind it, and how many pieces each word has."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py() + " "
+        chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = self.kind[chars]
+        begins = np.ones(len(chars), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+        for at in np.flatnonzero(begins & (chars == ord("'"))).tolist():
+            if found := next((c for c in _CONTRACTIONS if joined.startswith(c, at)), None):
+                begins[at + 1:at + len(found)] = False
+                begins[at + len(found)] = True
+        space = np.flatnonzero(chars == ord(" "))
+        first = np.flatnonzero(begins & (kind > 0))
+        stop = np.flatnonzero(begins)  # a piece ends where the next piece or white space begins
+        stop = stop[np.searchsorted(stop, first, "right")]
+        marked = np.insert(chars, stop, ord(_WORD_END))
+        marked = marked[np.insert(kind > 0, stop, True)]
+        return marked.tobytes().decode("utf-32-le"), np.diff(np.searchsorted(first, space), prepend=0)
+
+    def learn(self, words: pa.Array) -> None:
+        marked, pieces = self.cut(words)
+        ids = self.fast.encode_to_numpy(marked)
+        ends = np.append(0, np.flatnonzero(self.is_last[ids]) + 1)  # of pieces
+        self.ends = np.append(self.ends, len(self.ids) + ends[np.cumsum(pieces)])
+        self.ids = np.append(self.ids, ids)
+        self.words = pa.concat_arrays([self.words, words])
+        self.kept += len(marked)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.kept > KEPT_CHARACTERS:
-            self.words, self.kept = {}, 0
-        words, new = self.words, set()
-        split = [None if self.whole.search(t) else t.split() for t in texts]
-        for own in split:
-            new.update(() if own is None else set(own).difference(words))
-        new = list(new)
-        words.update(zip(new, self.encode_plain(new)))
-        self.kept += sum(map(len, new))
-        return [self.encode(t) if own is None else b"".join([words[w] for w in own]) for t, own in zip(texts, split)]
+            self.forget()
+        plain = [not self.odd(t) and not any(a in t for a in self.added) for t in texts]
+        lower = pa.array([t.lower().strip() if yes else "" for t, yes in zip(texts, plain)], pa.string())
+        split = pc.utf8_split_whitespace(lower)  # an empty text has an empty word
+        own = split.flatten().dictionary_encode()
+        found = pc.index_in(own.dictionary, self.words)
+        number, new = found.fill_null(0).to_numpy(), np.flatnonzero(found.is_null())
+        if len(new):
+            number = number.copy()
+            number[new] = len(self.words) + np.arange(len(new))
+            self.learn(own.dictionary.take(pa.array(new)))
+        words = number[own.indices.to_numpy()]
+        begin = self.ends[words]
+        size = self.ends[words + 1] - begin
+        last = np.append(0, np.cumsum(size))
+        flat = self.ids[np.arange(last[-1]) + np.repeat(begin - last[:-1], size)].tobytes()
+        ends = (4 * last[split.offsets.to_numpy()]).tolist()
+        return [flat[a:b] if yes else self.encode(t) for t, yes, a, b in zip(texts, plain, ends, ends[1:])]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -115,6 +162,33 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _buckets(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
+
+
+def _counted(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that are there at least so often, ascending, and how often."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[:len(values)])
+    count = np.diff(np.append(first, len(values)))
+    return values[first[count >= least]], count[count >= least]
+
+
+def _places(pairs: np.ndarray, bucket: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are among ``found`` (ascending), and their places in it: by their bucket, if one alone has it."""
+    n = len(found)
+    place = np.full(1 << BUCKET_BITS, n, np.int32)
+    own = _buckets(found)
+    place[own] = np.arange(n)
+    which = place[bucket]
+    shared = np.zeros(1 << BUCKET_BITS, bool)
+    shared[own[place[own] != np.arange(n)]] = True
+    again = np.flatnonzero(shared[bucket])
+    which[again] = np.searchsorted(found, pairs[again])
+    same = np.append(found, -1)[which] == pairs
+    return same, which[same]
+
+
 def re_pair(ids: np.ndarray, begins: np.ndarray, terminals: int, least_count: int = LEAST_COUNT,
             least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, where documents begin among them (flags), and rules (n, 2). Rule i is symbol ``terminals`` + i."""
@@ -123,15 +197,16 @@ def re_pair(ids: np.ndarray, begins: np.ndarray, terminals: int, least_count: in
         pairs = symbols[:-1] << 32 | symbols[1:]
         pairs[begins[1:]] = -1
         # pairs whose bucket is rare are rare, so only the others are sorted
-        bucket = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
-        often = np.bincount(bucket.view(np.int64), minlength=1 << 21) >= least_count
+        bucket = _buckets(pairs)
+        often = np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least_count
         at = np.flatnonzero(often[bucket] & (pairs >= 0))
-        found, which, count = np.unique(pairs[at], return_inverse=True, return_counts=True)
+        pairs, bucket = pairs[at], bucket[at]
+        found, count = _counted(pairs, least_count)
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(found), np.int64)
         rank[order] = np.arange(len(found))
-        frequent = count[which] >= least_count
-        at, place = at[frequent], rank[which[frequent]]
+        frequent, which = _places(pairs, bucket, found)
+        at, place = at[frequent], rank[which]
         ranks = np.full(len(symbols) + 1, len(found), np.int32)  # by the pair's first symbol, one further on
         ranks[at + 1] = place
         taken = (place < ranks[at]) & (place <= ranks[at + 2])

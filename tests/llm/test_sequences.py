@@ -277,6 +277,36 @@ def test_word_encoder_is_the_library_on_a_table(spark):
     assert encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_word_encoder_takes_all_new_words_at_once(monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeéß'st,.-17ÅÉȺ") for _ in range(r.randrange(1, 9)))
+    words = [word() for _ in range(2000)] + ["don't", "'re", "x''s", "it'll've", "'d1'm", "<|ENDOFTEXT|>"]
+    texts = [" \n".join(r.choices(words, k=r.randrange(40))) + r.choice(["", " "]) for _ in range(400)] + ["", "  ", "日 a"]
+    library, encode, calls = Tokenizer.from_file(WORDS), grammar_files.WordEncoder(WORDS), []
+    fast = encode.fast
+
+    class Fast:
+        def encode_to_numpy(self, text):
+            calls.append(text)
+            return fast.encode_to_numpy(text)
+
+    encode.fast = Fast()
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encode(texts) == expected and len(calls) == 1
+    assert encode(texts[::-1]) == expected[::-1] and len(calls) == 1
+    monkeypatch.setattr(grammar_files, "KEPT_CHARACTERS", 10)
+    assert encode(texts[7:]) == expected[7:] and len(calls) == 2
+    assert encode([]) == []
+
+
+def test_re_pair_when_pairs_share_buckets(monkeypatch):
+    r = np.random.default_rng(5)
+    ids, begins = (r.zipf(1.3, 30_000) % 700).astype(np.uint32), r.random(30_000) < 0.01
+    apart = re_pair(ids, begins, 700)
+    monkeypatch.setattr(grammar_files, "BUCKET_BITS", 5)
+    assert all((a == b).all() for a, b in zip(apart, re_pair(ids, begins, 700), strict=True))
+
+
 def test_re_pair_round_trip():
     r = np.random.default_rng(2)
     for n, kinds in ((1, 3), (50, 1), (5000, 2), (40_000, 300), (3000, 2900)):
