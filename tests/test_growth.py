@@ -98,3 +98,24 @@ def test_geodesic_pairs_come_once_without_an_aggregate_of_them(spark):
     assert sorted(tuple(r) for r in pairs.collect()) == sorted(want)
     twice = spatial.spatial_pairs(points(rows * 2), points(rows), radius=100000, metric="geodesic")
     assert sorted(tuple(r) for r in twice.collect()) == sorted(want)
+
+
+def test_boxes_within_grown_ones_seldom_need_the_farthest_corner(spark):
+    target = boxes(spark, [(i, float(i * 37 % 60), float(i * 53 % 60), i * 37 % 60 + i % 7 / 2, i * 53 % 60 + i % 5 / 2) for i in range(300)])
+    source = boxes(spark, [(i, float(i * 31 % 60), float(i * 47 % 60), float(i * 31 % 60 + i % 9), float(i * 47 % 60 + i % 4)) for i in range(200)])
+    far, gap = ("pow(greatest({0}, {1}, 0), 2) + pow(greatest({2}, {3}, 0), 2)".format(*sides) for sides in (
+        ("s.xmin - t.xmin", "t.xmax - s.xmax", "s.ymin - t.ymin", "t.ymax - s.ymax"),
+        ("s.xmin - t.xmax", "t.xmin - s.xmax", "s.ymin - t.ymax", "t.ymin - s.ymax")))
+    both = target.df.alias("t").join(source.df.alias("s"), F.lit(True)).selectExpr("t.id AS t_id", "s.id AS s_id", f"{far} AS far", f"{gap} AS gap")
+    for name, test in (("within", "far <= {0} AND gap < {0}"), ("coveredby", "far <= {0}")):
+        want = sorted(map(tuple, both.where(test.format(25)).select("t_id", "s_id").collect()))
+        for way in ("broadcast", "shuffle"):
+            found = spatial.spatial_pairs(target, source, name, radius=5, strategy=way)
+            assert sorted(map(tuple, found.collect())) == want and len(want) > 500
+        radii = source.with_df(source.df.withColumn("r", F.lit(5.0)))
+        assert sorted(map(tuple, spatial.spatial_pairs(target, radii, name, radius="r").collect())) == want
+        hits = {r.id for r in spatial.spatial_filter(target, source, name, radius=5).collect()}
+        assert hits == {t for t, _ in want}
+        # sides decide before any corner is looked at, and the overlap of the boxes is no test of its own
+        condition = spatial._exact((name,), target, source, 5)
+        assert condition.index("0.7D * _sr") < condition.index("greatest") and spatial._candidate(target, source, 5, (name,)) == "true"
